@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from arcweave.llm import substring
+from arcweave.llm import simhash, substring
 
 _ALL = {
+    "op3_simhash": (simhash.op3_simhash, None),
     "op2_substring_dedup": (substring.op2_substring_dedup, substring.OP2_SQL),
 }
 

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The word pattern in the dialect of Java and RE2.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -119,7 +120,7 @@ def pieces(batches: Iterator[pa.RecordBatch], most: int, column: str = "text") -
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.array(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), np.int64) + 8
+        sizes = np.array(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64) + 8
         at, total = 0, 0
         for i, x in enumerate(sizes):
             if total and total + x > most:
