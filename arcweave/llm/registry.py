@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from arcweave.llm import simhash, substring
+from arcweave.llm import mixing, simhash, substring, topk
 
 _ALL = {
+    "op1_mixing": (mixing.op1_mixing, mixing.OP1_SQL),
+    "op7_topk": (topk.op7_topk, topk.OP7_SQL),
     "op3_simhash": (simhash.op3_simhash, None),
     "op2_substring_dedup": (substring.op2_substring_dedup, substring.OP2_SQL),
 }
