@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from arcweave.llm import mixing, simhash, substring, topk
+from arcweave.llm import mixing, packing, simhash, substring, topk, wavelet
 
 _ALL = {
+    "op5_packing": (packing.op5_packing, None),
+    "op10_wavelet": (wavelet.op10_wavelet, None),
     "op1_mixing": (mixing.op1_mixing, mixing.OP1_SQL),
     "op7_topk": (topk.op7_topk, topk.OP7_SQL),
     "op3_simhash": (simhash.op3_simhash, None),
