@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from arcweave.llm import minhash, mixing, packing, simhash, substring, topk, wavelet
+from arcweave.llm import minhash, mixing, packing, simhash, substring, topk, toxicity, wavelet
 
 _ALL = {
+    "op8_toxicity": (toxicity.op8_toxicity, None),
     "op6_minhash": (minhash.op6_minhash, None),
     "op5_packing": (packing.op5_packing, None),
     "op10_wavelet": (wavelet.op10_wavelet, None),
