@@ -91,3 +91,42 @@ def test_odd_rows(spark):
     got = sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.near_duplicates(docs).collect())
     assert got == [(-1, -1), (-1, 5), (5, 5), (5, 5), (7, 7)]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def jaccard(a, b):
+    sets = []
+    for t in (a, b):
+        w = (t or "").encode().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+def test_similar_texts_leave_one_of_each_group(spark):
+    rng = random.Random(8)
+    groups, texts_ = [], []
+    for g in range(60):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(60, 400))]
+        for c in range(rng.choice([1, 1, 2, 6])):
+            copy = list(base)
+            if c > 1:
+                copy[rng.randrange(len(copy))] = "edit"
+            groups.append(g)
+            texts_.append(" ".join(copy))
+    rows = list(enumerate(texts_, 10)) + [(3, None), (4, ""), (3, None), (None, texts_[0]), (None, "alone"), (None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "2 as id", "'x' as row")
+    out = simhash.drop_similar(docs)
+    assert out.columns == docs.columns
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in out.collect())
+    assert [r[0] for r in got] == sorted([-1, 3] + [10 + groups.index(g) for g in range(60)])
+    kept = [t for _, t in got]
+    assert all(jaccard(kept[i], kept[j]) < 0.8 for i in range(len(kept)) for j in range(i))
+    assert simhash.drop_similar(docs.limit(0)).count() == 0
+
+
+def test_different_texts_stay(spark):
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 60)))) for i in range(150)], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_similar(docs).collect()}
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    for i in set(rows) - kept:
+        assert any(jaccard(rows[i], rows[j]) >= 0.8 for j in rows if j != i)
