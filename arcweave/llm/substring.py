@@ -171,7 +171,6 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
     Two different windows share a 64-bit hash with a chance of about 2**-64 a pair.
     """
     spark = docs.sparkSession
-    had = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")
     blocks = cluster.staged(
         docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
             _pack, "block long, n long, ids binary, no_id binary, offsets binary, text binary"
@@ -182,17 +181,12 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
     total = blocks.agg(F.sum("n")).first()[0] or 0
     buckets = max(cluster.shuffle_partitions(spark), -(-total // BUCKET_HASHES))
     keys = cluster.balanced_keys(spark, buckets)
-    try:  # the window hashes on disk are of no use once they are answered
-        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-        answers = cluster.staged(
-            blocks.mapInArrow(_send(length, keys), "key long, block long, low long, hashes binary, least binary")
-            .repartition(buckets, "key")
-            .mapInArrow(_answer, "block long, hashes binary"),
-            "answers",
-            "none",
-        )
-    finally:
-        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", had)
+    # Once they are answered, the window hashes on disk are gone.
+    answers = cluster.staged(
+        blocks.mapInArrow(_send(length, keys), "key long, block long, low long, hashes binary, least binary").repartition(buckets, "key").mapInArrow(_answer, "block long, hashes binary"),
+        "answers",
+        "none",
+    )
     return (
         blocks.drop("n")
         .groupBy("block")
