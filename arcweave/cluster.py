@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,11 +49,26 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """What is computed inside leaves no shuffle files behind: its result has been written, and nothing reads them again."""
+    had = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, had)
+
+
 def staged(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write a table into the shared folder and read it back: the lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.option("compression", compression).parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,6 +78,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of ids that a join may broadcast; some tens of bytes each.
+BROADCAST_ROWS = 300_000
+
+
+def join_ids(left: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join to a table of a few id columns: broadcast if its count is below BROADCAST_ROWS, by a shuffle beyond that."""
+    small = ids.count() <= BROADCAST_ROWS
+    return left.join(F.broadcast(ids) if small else ids.hint("merge"), on, how)
+
+
 _shipped: set[str] = set()
 
 
