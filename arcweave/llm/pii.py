@@ -426,7 +426,7 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(field or default_field())  # as large as the training table makes it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, 4 << 20):
+        for piece in pieces(batches, 1 << 20):
             base, more = spans_of(piece.column("text").to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), _rows(base), _rows(more)], names=["doc_id", "base", "added"])
 
@@ -450,7 +450,7 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
     place = next(i for i, f in enumerate(schema.fields) if f.name == "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, 4 << 20):
+        for piece in pieces(batches, 1 << 20):
             texts = piece.column("text").to_pylist()
             base, more = spans_of(texts, shared.value)
             new = [None if t is None else mask(t, b + m) if b or m else t for t, b, m in zip(texts, base, more, strict=True)]

@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ("do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(iter([batch]), 8 << 20, "_text"):
+            for part in pieces(iter([batch]), 2 << 20, "_text"):
                 data, offsets = text_buffer(part.column("_text"))
                 raw, cuts = data.tobytes(), offsets.tolist()
                 columns = [np.array([fingerprint(raw[a:b], shingle, seed) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], np.uint64) for seed in seeds]
@@ -112,7 +112,7 @@ def _tree(fps: np.ndarray, bit: int, every: bool, most: int) -> tuple[np.ndarray
         a.append(x[x < y])
         b.append(y[x < y])
         count += len(a[-1])
-        if count > 4 * n:
+        if count > n:
             break
     else:
         return fps[np.concatenate(a)], fps[np.concatenate(b)]
@@ -144,7 +144,7 @@ def _link(most: int, last: bool, tree: bool = False, run_limit: int | None = Non
         size = np.diff(np.append(edge, len(key)))
         run = np.repeat(size, size)
         number = np.repeat(np.arange(len(edge)), size)
-        a, b = [], []
+        a, b, at = [], [], []
         small = 64 if tree else _SMALL
         for k in range(1, min(small, int(size.max(initial=0)))):
             i = np.flatnonzero((number[:-k] == number[k:]) & (run[:-k] <= small))
@@ -153,7 +153,14 @@ def _link(most: int, last: bool, tree: bool = False, run_limit: int | None = Non
             ok &= every[i] | (((x ^ y) >> bit[i]) & np.uint64(1)).astype(bool)
             a.append(x[ok])
             b.append(y[ok])
-        for e in np.flatnonzero(size > small):
+            at.append(number[i[ok]])
+        dense = size > small
+        if tree and at:  # runs with more pairs than fingerprints give their trees instead
+            pair_run = np.concatenate(at)
+            many = np.bincount(pair_run, minlength=len(size)) > size
+            dense |= many
+            a, b = [np.concatenate(a)[~many[pair_run]]], [np.concatenate(b)[~many[pair_run]]]
+        for e in np.flatnonzero(dense):
             s = slice(edge[e], edge[e] + size[e])
             if size[e] > limit and not last:
                 yield emit(fp[s], fp[s], key[s], segment[s])

@@ -59,7 +59,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     at = 0
     while at < len(data):
-        to = min(len(data), at + 4 * _PIECE)
+        to = min(len(data), at + _PIECE)
         while to < len(data) and _LETTER[data[to]]:
             to += 1
         inside = _LETTER[data[at:to]]
@@ -138,7 +138,7 @@ def _counted(chosen: Chosen | None):
     """Per piece of rows (y, text): feature hashes (of all, or of those chosen) with the number of texts that have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, 4 * _PIECE):
+        for piece in pieces(batches, _PIECE):
             texts, y = piece.column("text").to_pylist(), np.array(piece.column("y"), np.int64)
             if chosen is None:
                 keys, owner = features(texts)
