@@ -18,22 +18,23 @@ def smallest_member(edges: DataFrame, src: str = "src", dst: str = "dst") -> Dat
     """
     named = edges.select(F.col(src).cast("bigint").alias("a"), F.col(dst).cast("bigint").alias("b")).where("a is not null and b is not null")
     named = checkpointed(named.distinct())
-    label = checkpointed(named.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id")))
-    left = checkpointed(named.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while not left.isEmpty():
+    n = named.count()
+    label = checkpointed(named.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id")), 2 * n)
+    left = checkpointed(named.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), n)
+    while left_rows := left.count():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = checkpointed(both.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p")))
+        hook = checkpointed(both.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p")), 2 * left_rows)
         while True:
             up = hook.select(F.col("a").alias("p"), F.col("p").alias("up"))
-            jumped = checkpointed(hook.join(up, "p").select("a", F.col("up").alias("p"), (F.col("up") < F.col("p")).alias("moved")))
+            jumped = checkpointed(hook.join(up, "p").select("a", F.col("up").alias("p"), (F.col("up") < F.col("p")).alias("moved")), 2 * left_rows)
             hook = jumped.select("a", "p")
             if jumped.where("moved").isEmpty():
                 break
         label = checkpointed(
-            label.join(hook.select(F.col("a").alias("component"), "p"), "component", "left").select("id", F.coalesce("p", "component").alias("component"))
+            label.join(hook.select(F.col("a").alias("component"), "p"), "component", "left").select("id", F.coalesce("p", "component").alias("component")), 2 * n
         )
         far = hook.select(F.col("a").alias("b"), F.col("p").alias("q"))
         left = checkpointed(
-            left.join(hook, "a").join(far, "b").where("p <> q").select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct()
+            left.join(hook, "a").join(far, "b").where("p <> q").select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct(), left_rows
         )
     return label

@@ -72,9 +72,18 @@ def staged(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` in the shared folder; for small tables inside loops, Spark's cleaner removes the files."""
+#: Rows that a partition of a small table may have before it is written by more tasks.
+SMALL_ROWS = 200_000
+
+
+def checkpointed(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``checkpoint()`` in the shared folder; for small tables inside loops, Spark's cleaner removes the files.
+
+    rows: a bound on the number of rows, if known; few rows are then written by few tasks.
+    """
     shared_dir(df.sparkSession)
+    if rows is not None and (n := rows // SMALL_ROWS + 1) < shuffle_partitions(df.sparkSession):
+        df = df.coalesce(n)
     return df.checkpoint()
 
 
