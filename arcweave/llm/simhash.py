@@ -98,13 +98,22 @@ def _star(fps: np.ndarray, bit: int, every: bool, most: int) -> tuple[np.ndarray
     return fps[root[member]], fps[member]
 
 
-def _tree(fps: np.ndarray, bit: int, every: bool, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs that a run links, or if they are many the shortest trees that connect the same fingerprints."""
+def _met_before(x: np.ndarray, masks: list[np.uint64]) -> np.ndarray:
+    """Whether fingerprints that differ in x share a key of an earlier segment: their link is found there."""
+    out = np.zeros(x.shape, bool)
+    for m in masks:
+        out |= np.bitwise_count(x & m) <= 1
+    return out
+
+
+def _tree(fps: np.ndarray, bit: int, every: bool, most: int, masks: list[np.uint64]) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs that a run links and no earlier one, or if they are many the shortest trees that connect the same."""
     n = len(fps)
     side = (fps >> np.uint64(bit)) & np.uint64(1)
     a, b, count = [], [], 0
     for at in range(0, n, 256):
-        hit = np.bitwise_count(fps[at : at + 256, None] ^ fps[None, :]) <= most
+        x = fps[at : at + 256, None] ^ fps[None, :]
+        hit = (np.bitwise_count(x) <= most) & ~_met_before(x, masks)
         if not every:
             hit &= side[at : at + 256, None] != side[None, :]
         x, y = np.nonzero(hit)
@@ -121,13 +130,13 @@ def _tree(fps: np.ndarray, bit: int, every: bool, most: int) -> tuple[np.ndarray
         i = int(np.where(left, near, 100).argmin())
         left[i] = False
         d = np.bitwise_count(fps ^ fps[i]).astype(np.int64)
-        closer = left & (d < near) & (d <= most) & (every | (side != side[i]))
+        closer = left & (d < near) & (d <= most) & (every | (side != side[i])) & ~_met_before(fps ^ fps[i], masks)
         near[closer], parent[closer] = d[closer], i
     member = np.flatnonzero(parent >= 0)
     return fps[parent[member]], fps[member]
 
 
-def _link(most: int, last: bool, tree: bool = False, run_limit: int | None = None):
+def _link(most: int, last: bool, tree: bool = False, masks: tuple[np.uint64, ...] = (), run_limit: int | None = None):
     """Sorted rows (key, fp, bit, every, segment) to stars (a, b), or for runs that are too long to their rows again."""
 
     limit = RUN if run_limit is None else run_limit
@@ -151,6 +160,8 @@ def _link(most: int, last: bool, tree: bool = False, run_limit: int | None = Non
             x, y = fp[i], fp[i + k]
             ok = np.bitwise_count(x ^ y) <= most
             ok &= every[i] | (((x ^ y) >> bit[i]) & np.uint64(1)).astype(bool)
+            for number_, m in enumerate(masks[:-1]):
+                ok &= (segment[i] <= number_) | (np.bitwise_count((x ^ y) & m) > 1)
             a.append(x[ok])
             b.append(y[ok])
             at.append(number[i[ok]])
@@ -165,7 +176,8 @@ def _link(most: int, last: bool, tree: bool = False, run_limit: int | None = Non
             if size[e] > limit and not last:
                 yield emit(fp[s], fp[s], key[s], segment[s])
                 continue
-            x, y = (_tree if tree else _star)(fp[s], int(bit[edge[e]]), bool(every[edge[e]]), most)
+            first = int(bit[edge[e]]), bool(every[edge[e]]), most
+            x, y = _tree(fp[s], *first, list(masks[: int(segment[edge[e]])])) if tree else _star(fp[s], *first)
             a.append(x)
             b.append(y)
         if a and sum(map(len, a)):
@@ -245,8 +257,9 @@ def links(fps: DataFrame, most: int = 3, partitions: int | None = None, parts: i
         following = []
         for rows, bits, upper in todo:
             last = len(bits) <= 18 or level >= 4
+            masks = tuple(np.uint64(sum(1 << b for b in x)) for x in _segments(bits, parts)) if tree else ()
             keyed = _keys(rows, bits, parts, upper).repartition(n, "key").sortWithinPartitions("key")
-            out = cluster.staged(keyed.mapInArrow(_link(most, last, tree), "a bigint, b bigint, key bigint, segment int"), "links")
+            out = cluster.staged(keyed.mapInArrow(_link(most, last, tree, masks), "a bigint, b bigint, key bigint, segment int"), "links")
             found.append(out.where("segment < 0").select("a", "b"))
             again = out.where("segment >= 0").select(F.col("a").alias("fp"), "key", "segment")
             if not last and not again.isEmpty():
