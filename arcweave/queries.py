@@ -42,16 +42,16 @@ def tpch_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         g = g.with_vertices(df.select(_id(name, key).alias("id"), F.col(key).cast("bigint").alias("key"), *props), label)
     line = t("lineitem")
     eid = lambda code, c: (F.lit(code) * _STEP + c.cast("bigint")).alias("eid")
-    number = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    number = lambda code: F.xxhash64(F.lit(code), *line.columns).alias("eid")
     return (
         g.with_edges(t("orders").select(eid(0, F.col("o_orderkey")), _id("customer", "o_custkey").alias("src"), _id("orders", "o_orderkey").alias("dst")), "PLACED", "Customer", "Order")
         .with_edges(
-            line.select(eid(1, number), _id("orders", "l_orderkey").alias("src"), _id("part", "l_partkey").alias("dst"), *[F.col(c).alias(c[2:]) for c in line.columns if c not in ("l_orderkey", "l_partkey", "l_suppkey")]),
+            line.select(number(1), _id("orders", "l_orderkey").alias("src"), _id("part", "l_partkey").alias("dst"), *[F.col(c).alias(c[2:]) for c in line.columns if c not in ("l_orderkey", "l_partkey", "l_suppkey")]),
             "CONTAINS",
             "Order",
             "Part",
         )
-        .with_edges(line.select(eid(2, number), _id("orders", "l_orderkey").alias("src"), _id("supplier", "l_suppkey").alias("dst"), F.col("l_quantity").alias("quantity")), "SHIPPED_BY", "Order", "Supplier")
+        .with_edges(line.select(number(2), _id("orders", "l_orderkey").alias("src"), _id("supplier", "l_suppkey").alias("dst"), F.col("l_quantity").alias("quantity")), "SHIPPED_BY", "Order", "Supplier")
         .with_edges(t("customer").select(eid(3, F.col("c_custkey")), _id("customer", "c_custkey").alias("src"), _id("nation", "c_nationkey").alias("dst")), "LOCATED_IN", "Customer", "Nation")
         .with_edges(t("supplier").select(eid(4, F.col("s_suppkey")), _id("supplier", "s_suppkey").alias("src"), _id("nation", "s_nationkey").alias("dst")), "LOCATED_IN", "Supplier", "Nation")
         .with_edges(t("nation").select(eid(5, F.col("n_nationkey")), _id("nation", "n_nationkey").alias("src"), _id("region", "n_regionkey").alias("dst")), "IN_REGION", "Nation", "Region")

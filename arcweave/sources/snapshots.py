@@ -40,7 +40,7 @@ def from_edge_list(edges: DataFrame, src: str = "src", dst: str = "dst", type: s
     e = edges.withColumnsRenamed({src: "src", dst: "dst"})
     if "eid" not in e.columns:
         e = e.withColumn("eid", F.xxhash64(*e.columns))
-    ids = e.select(F.explode(F.array("src", "dst")).cast("bigint").alias("id")).distinct()
+    ids = e.select(F.explode(F.array(F.col("src").cast("bigint"), F.col("dst").cast("bigint"))).alias("id")).distinct()
     return PropertyGraph(edges.sparkSession).with_vertices(ids, label).with_edges(e, type, label, label)
 
 
