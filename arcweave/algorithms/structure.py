@@ -143,14 +143,15 @@ def spanning_forest(graph: PropertyGraph, weight: str | None = None, types=()) -
     e = edges_of(graph, types, weight).where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w")
     e = checkpointed(e.groupBy("src", "dst").agg(F.min("w").alias("w")).select("src", "dst", "w", F.col("src").alias("p"), F.col("dst").alias("q")))
     chosen = checkpointed(e.select("src", "dst", "w").limit(0))
-    while not e.isEmpty():
-        best = F.min(F.struct("w", "src", "dst")).alias("e")
-        each = e.select("p", "w", "src", "dst").unionByName(e.select(F.col("q").alias("p"), "w", "src", "dst")).groupBy("p").agg(best)
-        new = checkpointed(each.select("e.src", "e.dst", "e.w").distinct())
+    while rows := e.count():
+        best = F.min(F.struct("w", "src", "dst", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))).alias("e")
+        each = e.unionByName(e.select("src", "dst", "w", F.col("q").alias("p"), F.col("p").alias("q"))).groupBy("p").agg(best)
+        new = checkpointed(each.select("e.*").distinct(), rows)
         chosen = checkpointed(chosen.unionByName(new.select("src", "dst", "w")))
-        part = smallest_member(chosen)
-        p, q = (part.select(F.col("id").alias(k), F.col("component").alias(v)) for k, v in (("src", "p"), ("dst", "q")))
-        e = checkpointed(e.drop("p", "q").join(p, "src", "left").join(q, "dst", "left").withColumn("p", F.coalesce("p", "src")).withColumn("q", F.coalesce("q", "dst")).where("p <> q"))
+        part = smallest_member(new, "p", "q")
+        p, q = (part.select(F.col("id").alias(k), F.col("component").alias(v)) for k, v in (("p", "p2"), ("q", "q2")))
+        e = e.join(p, "p").join(q, "q").where("p2 <> q2").select("src", "dst", "w", F.col("p2").alias("p"), F.col("q2").alias("q"))
+        e = checkpointed(e, rows)
     return chosen
 
 
