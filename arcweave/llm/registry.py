@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from arcweave.llm import minhash, mixing, packing, pii, simhash, substring, topk, toxicity, wavelet
+from arcweave.llm import minhash, mixing, packing, pii, simhash, substring, topk, toxicity, warc, wavelet
 
 _ALL = {
+    "op4_warc": (warc.op4_warc, warc.OP4_SQL),
     "op9_pii": (pii.op9_pii, None),
     "op8_toxicity": (toxicity.op8_toxicity, None),
     "op6_minhash": (minhash.op6_minhash, None),

@@ -180,7 +180,7 @@ def put(path: str, content: bytes) -> None:
     """Write a file to any store that pyarrow knows, the shared folder's among them."""
     store, name = fs.FileSystem.from_uri(path)
     store.create_dir(name.rpartition("/")[0], recursive=True)
-    with store.open_output_stream(name) as out:
+    with store.open_output_stream(name, compression=None) as out:
         out.write(content)
 
 
