@@ -117,7 +117,8 @@ class TripleStore:
 
 def _parsed(c: Column) -> Column:
     body = F.regexp_extract(c, r'^"((?:[^"\\]|\\.)*)"', 1)
-    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"\\n", "\n"), r'\\"', '"'), r"\\\\", r"\\")
+    for old, new in ((r"\\", "\0"), (r"\n", "\n"), (r"\"", '"'), ("\0", "\\")):
+        body = F.replace(body, F.lit(old), F.lit(new))
     empty = lambda x: F.when(x != "", x)
     kind = F.when(c.startswith("<"), "iri").when(c.startswith("_:"), "blank").otherwise("literal")
     value = F.when(c.startswith("<"), F.regexp_extract(c, "^<(.*)>$", 1)).when(c.startswith("_:"), F.substring(c, 3, 1 << 20)).otherwise(body)
@@ -125,7 +126,9 @@ def _parsed(c: Column) -> Column:
 
 
 def _written(c: Column) -> Column:
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(c["value"], r"\\", r"\\\\\\\\"), '"', r'\\\\"'), "\n", r"\\\\n")
+    text = c["value"]
+    for old, new in (("\\", r"\\"), ('"', r"\""), ("\n", r"\n")):
+        text = F.replace(text, F.lit(old), F.lit(new))
     tail = F.when(c["lang"].isNotNull(), F.concat(F.lit("@"), c["lang"])).when(c["datatype"].isNotNull(), F.concat(F.lit("^^<"), c["datatype"], F.lit(">"))).otherwise("")
     return F.when(c["kind"] == "iri", F.concat(F.lit("<"), c["value"], F.lit(">"))).when(c["kind"] == "blank", F.concat(F.lit("_:"), c["value"])).otherwise(F.concat(F.lit('"'), text, F.lit('"'), tail))
 
