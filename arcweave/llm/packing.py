@@ -131,7 +131,7 @@ def _cut(spec, end: int, length: int, keep_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, count = encoder(spec.value), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in pieces(iter([batch]), 2 << 20):
+            for piece in pieces(iter([batch]), 1 << 20):
                 flat, ends = coder.encode(*text_buffer(piece.column("text")), end)
                 raw = memoryview(flat.astype("<u4").tobytes())
                 size = np.diff(ends)

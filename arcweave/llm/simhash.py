@@ -106,14 +106,14 @@ def _met_before(x: np.ndarray, masks: list[np.uint64]) -> np.ndarray:
     return out
 
 
-def _tree(fps: np.ndarray, others: np.ndarray, bit: int, every: bool, most: int, masks: list[np.uint64], found) -> tuple[np.ndarray, np.ndarray]:
+def _tree(fps: np.ndarray, groups: np.ndarray, bit: int, every: bool, most: int, masks: list[np.uint64]) -> tuple[np.ndarray, np.ndarray]:
     """All pairs that a run links and no earlier one, or if they are many the shortest trees that connect the same."""
     n = len(fps)
     side = (fps >> np.uint64(bit)) & np.uint64(1)
     a, b, count = [], [], 0
     for at in range(0, n, 256):
         x = fps[at : at + 256, None] ^ fps[None, :]
-        hit = (np.bitwise_count(x) <= most) & ~_met_before(x, masks) & ~found(others[at : at + 256, None] ^ others[None, :])
+        hit = (np.bitwise_count(x) <= most) & ~_met_before(x, masks) & (groups[at : at + 256, None] != groups[None, :])
         if not every:
             hit &= side[at : at + 256, None] != side[None, :]
         x, y = np.nonzero(hit)
@@ -130,21 +130,17 @@ def _tree(fps: np.ndarray, others: np.ndarray, bit: int, every: bool, most: int,
         i = int(np.where(left, near, 100).argmin())
         left[i] = False
         d = np.bitwise_count(fps ^ fps[i]).astype(np.int64)
-        closer = left & (d < near) & (d <= most) & (every | (side != side[i])) & ~_met_before(fps ^ fps[i], masks) & ~found(others ^ others[i])
+        closer = left & (d < near) & (d <= most) & (every | (side != side[i])) & ~_met_before(fps ^ fps[i], masks) & (groups != groups[i])
         near[closer], parent[closer] = d[closer], i
     member = np.flatnonzero(parent >= 0)
     return fps[parent[member]], fps[member]
 
 
-def _link(most: int, last: bool, tree: bool = False, masks: tuple[np.uint64, ...] = (), before: tuple[np.uint64, ...] | None = None, run_limit: int | None = None):
+def _link(most: int, last: bool, tree: bool = False, masks: tuple[np.uint64, ...] = (), run_limit: int | None = None):
     """Sorted rows (key, fp, bit, every, segment) to stars (a, b), or for runs that are too long to their rows again."""
 
     limit = RUN if run_limit is None else run_limit
 
-    def found(x: np.ndarray) -> np.ndarray:
-        """Whether a search by other fingerprints that differ in x has linked the two already."""
-        return _met_before(x, before) & (np.bitwise_count(x) <= most) if before else np.zeros(x.shape, bool)
-
     def emit(a, b, key, segment) -> pa.RecordBatch:
         """segment: of rows to be indexed again, else None."""
         segment = np.full(len(a), -1) if segment is None else segment
@@ -152,7 +148,7 @@ def _link(most: int, last: bool, tree: bool = False, masks: tuple[np.uint64, ...
             [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(key), pa.array(segment, pa.int32())], names=["a", "b", "key", "segment"]
         )
 
-    def whole(key: np.ndarray, fp: np.ndarray, bit: np.ndarray, every: np.ndarray, segment: np.ndarray, other: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def whole(key: np.ndarray, fp: np.ndarray, bit: np.ndarray, every: np.ndarray, segment: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(edge, len(key)))
         run = np.repeat(size, size)
@@ -164,8 +160,8 @@ def _link(most: int, last: bool, tree: bool = False, masks: tuple[np.uint64, ...
             x, y = fp[i], fp[i + k]
             ok = np.bitwise_count(x ^ y) <= most
             ok &= every[i] | (((x ^ y) >> bit[i]) & np.uint64(1)).astype(bool)
-            if before:
-                ok &= ~found(other[i] ^ other[i + k])
+            if tree:
+                ok &= group[i] != group[i + k]
             for number_, m in enumerate(masks[:-1]):
                 ok &= (segment[i] <= number_) | (np.bitwise_count((x ^ y) & m) > 1)
             a.append(x[ok])
@@ -180,10 +176,10 @@ def _link(most: int, last: bool, tree: bool = False, masks: tuple[np.uint64, ...
         for e in np.flatnonzero(dense):
             s = slice(edge[e], edge[e] + size[e])
             if size[e] > limit and not last:
-                yield emit(fp[s], other[s], key[s], segment[s])
+                yield emit(fp[s], group[s].view(np.uint64), key[s], segment[s])
                 continue
             first = int(bit[edge[e]]), bool(every[edge[e]]), most
-            x, y = _tree(fp[s], other[s], *first, list(masks[: int(segment[edge[e]])]), found) if tree else _star(fp[s], *first)
+            x, y = _tree(fp[s], group[s], *first, list(masks[: int(segment[edge[e]])])) if tree else _star(fp[s], *first)
             a.append(x)
             b.append(y)
         if a and sum(map(len, a)):
@@ -196,7 +192,7 @@ def _link(most: int, last: bool, tree: bool = False, masks: tuple[np.uint64, ...
 
         def columns(batch):
             get = lambda name, kind: np.array(batch.column(name)).astype(kind, copy=False)
-            return [get("key", np.int64), get("fp", np.int64).view(np.uint64), get("bit", np.int64).astype(np.uint64), get("every", bool), get("segment", np.int64), get("other", np.int64).view(np.uint64)]
+            return [get("key", np.int64), get("fp", np.int64).view(np.uint64), get("bit", np.int64).astype(np.uint64), get("every", bool), get("segment", np.int64), get("group", np.int64)]
 
         for batch in batches:
             if not batch.num_rows:
@@ -208,7 +204,7 @@ def _link(most: int, last: bool, tree: bool = False, masks: tuple[np.uint64, ...
             if long is not None:  # goes straight on
                 n = int(np.searchsorted(key, long, "right"))
                 if n:
-                    yield emit(new[1][:n], new[5][:n], key[:n], new[4][:n])
+                    yield emit(new[1][:n], new[5][:n].view(np.uint64), key[:n], new[4][:n])
                 new = [x[n:] for x in new]
                 key = new[0]
                 if not len(key):
@@ -221,7 +217,7 @@ def _link(most: int, last: bool, tree: bool = False, masks: tuple[np.uint64, ...
             held = [x[cut:] for x in new]
             if len(held[0]) > limit and not last:
                 long = held[0][-1]
-                yield emit(held[1], held[5], held[0], held[4])
+                yield emit(held[1], held[5].view(np.uint64), held[0], held[4])
                 held = []
         if held and len(held[0]):
             yield from whole(*held)
@@ -239,10 +235,10 @@ def _keys(rows: DataFrame, bits: list[int], pieces_: int, upper) -> DataFrame:
             entries.append((number, m - (1 << 64) if m >> 63 else m, b, i == 0))
     table = F.array(*[F.struct(F.lit(t).alias("segment"), F.lit(m).cast("bigint").alias("m"), F.lit(b).alias("bit"), F.lit(e).alias("every")) for t, m, b, e in entries])
     key = F.xxhash64("v.bit", F.col("fp").bitwiseAND(F.col("v.m")), *upper)
-    return rows.select("*", F.explode(table).alias("v")).select(key.alias("key"), "fp", "v.bit", "v.every", "v.segment", "other")
+    return rows.select("*", F.explode(table).alias("v")).select(key.alias("key"), "fp", "v.bit", "v.every", "v.segment", "group")
 
 
-def links(fps: DataFrame, most: int = 3, partitions: int | None = None, parts: int | None = None, tree: bool = False, again: bool = False) -> DataFrame:
+def links(fps: DataFrame, most: int = 3, partitions: int | None = None, parts: int | None = None, tree: bool = False) -> DataFrame:
     """Stars (a, b) that connect just what chains of fingerprints at ``most`` or fewer differing bits connect.
 
     fps: distinct non-null BIGINT ``fp``. A key is a 64-bit hash of segment and value: chance equality costs a
@@ -251,12 +247,11 @@ def links(fps: DataFrame, most: int = 3, partitions: int | None = None, parts: i
     what is compared all with all in the end is bounded by the number of values of the open bits.
 
     With fewer ``parts`` than most // 2 + 1 a pair is found if some segment differs in one bit or none, which is no
-    longer sure. With ``tree`` linked pairs themselves come out where they are few, and shortest trees elsewhere. With
-    ``again``, rows also have ``other``, a fingerprint by which a search of this kind has been made before: pairs that
-    it has linked are left out.
+    longer sure. With ``tree`` linked pairs themselves come out where they are few, and shortest trees elsewhere; then
+    rows may have ``group``, what a fingerprint is known to be connected to: pairs of one group are left out.
     """
     parts = parts or most // 2 + 1
-    fps = fps if "other" in fps.columns else fps.withColumn("other", F.lit(0).cast("bigint"))
+    fps = fps if "group" in fps.columns else fps.withColumn("group", F.col("fp"))
     cut = lambda bits: tuple(np.uint64(sum(1 << b for b in x)) for x in _segments(bits, parts))
     n = partitions or cluster.shuffle_partitions(fps.sparkSession)
     found = []
@@ -269,9 +264,9 @@ def links(fps: DataFrame, most: int = 3, partitions: int | None = None, parts: i
             last = len(bits) <= 18 or level >= 4
             masks = cut(bits) if tree else ()
             keyed = _keys(rows, bits, parts, upper).repartition(n, "key").sortWithinPartitions("key")
-            out = cluster.staged(keyed.mapInArrow(_link(most, last, tree, masks, cut(list(range(64))) if again else None), "a bigint, b bigint, key bigint, segment int"), "links")
+            out = cluster.staged(keyed.mapInArrow(_link(most, last, tree, masks), "a bigint, b bigint, key bigint, segment int"), "links")
             found.append(out.where("segment < 0").select("a", "b"))
-            left = out.where("segment >= 0").select(F.col("a").alias("fp"), F.col("b").alias("other"), "key", "segment")
+            left = out.where("segment >= 0").select(F.col("a").alias("fp"), F.col("b").alias("group"), "key", "segment")
             if not last and not left.isEmpty():
                 for number, segment in enumerate(_segments(bits, parts)):
                     following.append((left.where(F.col("segment") == number), [b for b in bits if b not in segment], (F.col("key"),)))
@@ -301,7 +296,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFra
 
 
 #: For texts at a Jaccard similarity of 0.8, 15 % of a fingerprint's bits differ on average, 9.7 of 64.
-_FAR, _PARTS, _SEEDS = 15, 4, (42, 43)
+_NEAR, _FAR, _PARTS, _SEEDS = 3, 15, 4, (42, 43)
 #: Differing bits of both fingerprints together: 19 of 128 at 0.8 on average, 27 and more in one pair of thirty.
 _FAR_BOTH = 27
 
@@ -331,6 +326,18 @@ def _shingle_sets(shingle: int):
     return run
 
 
+def _verified(rows: DataFrame, nodes: DataFrame, found: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of pairs of texts (a, b) those whose shingle sets are similar; each text's set is made once."""
+    x, y = (nodes.select(F.col("node").alias(k), F.array(*[f"fp{i}" for i in range(len(_SEEDS))]).alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, d: n + d)
+    found = cluster.checkpointed(found.join(x, "a").join(y, "b").where(apart <= _FAR_BOTH).select("a", "b"))
+    needed = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "first.*")
+    sets = cluster.join_ids(rows, cluster.checkpointed(needed), ["node", "no_id", "id"], "left_semi").select("node", "text").mapInArrow(_shingle_sets(shingle), "node long, shingles binary")
+    sets = cluster.staged(sets, "shingles").dropDuplicates(["node"])  # rows that repeat both text and doc_id
+    x, y = (sets.select(F.col("node").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return cluster.staged(found.join(x, "a").join(y, "b").mapInArrow(_jaccard(similarity), "a long, b long"), "similar")
+
+
 def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns, but of each group of similar texts only the row with the smallest doc_id.
 
@@ -348,27 +355,23 @@ def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     rows = keyed.select("node", F.when(F.col("id").isNull(), 1).otherwise(0).alias("no_id"), F.coalesce("id", F.lit(least)).alias("id"), "text")
     prints = cluster.staged(fingerprints(rows, shingle, ("node", "no_id", "id"), _SEEDS), "fingerprints")
     nodes = cluster.checkpointed(prints.groupBy("node").agg(F.min(F.struct("no_id", "id")).alias("first"), *[F.first(f"fp{i}").alias(f"fp{i}") for i in range(len(_SEEDS))]))
-    found = None
-    for i in range(len(_SEEDS)):
-        fp = F.col(f"fp{i}")
-        # Of the texts with a fingerprint one leads: it links for all, and its first fingerprint is what it was linked by.
-        lead = cluster.checkpointed(nodes.groupBy(fp.alias("fp")).agg(F.min(F.struct("node", "fp0")).alias("n")).select("fp", F.col("n.node").alias("lead"), F.col("n.fp0").alias("other")))
-        pairs = links(lead.select("fp", "other"), _FAR, parts=_PARTS, tree=True, again=i > 0)
-        lead = lead.drop("other")
-        same = nodes.join(lead, fp == F.col("fp")).where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    similar = None
+    for i, (most, parts) in enumerate(((_NEAR, None), *[(_FAR, _PARTS)] * len(_SEEDS))):
+        # First what differs in a few bits; what is then known to be one group is spared the wide searches.
+        fp = F.col(f"fp{max(i - 1, 0)}")
+        if similar is None:
+            known = nodes.withColumn("group", F.col("node"))
+        else:
+            label = smallest_member(similar, "a", "b").withColumnRenamed("id", "node")
+            known = cluster.checkpointed(nodes.join(label, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component"))
+        lead = cluster.checkpointed(known.groupBy(fp.alias("fp")).agg(F.min(F.struct("node", "group")).alias("n")).select("fp", F.col("n.node").alias("lead"), F.col("n.group").alias("group")))
+        pairs = links(lead.select("fp", "group"), most, parts=parts, tree=similar is not None)
+        same = known.join(lead.drop("group"), fp == F.col("fp")).where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
         far = lead.select(F.col("fp").alias("b"), F.col("lead").alias("q"))
-        near = pairs.join(lead.withColumnRenamed("fp", "a"), "a").join(far, "b").select(F.col("lead").alias("a"), F.col("q").alias("b"))
-        both = cluster.checkpointed(same.unionByName(near))
-        found = both if found is None else found.unionByName(both)
-    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    x, y = (nodes.select(F.col("node").alias(k), F.array(*[f"fp{i}" for i in range(len(_SEEDS))]).alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, d: n + d)
-    found = cluster.checkpointed(found.join(x, "a").join(y, "b").where(apart <= _FAR_BOTH).select("a", "b"))
-    needed = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "first.*")
-    sets = cluster.join_ids(rows, cluster.checkpointed(needed), ["node", "no_id", "id"], "left_semi").select("node", "text").mapInArrow(_shingle_sets(shingle), "node long, shingles binary")
-    sets = cluster.staged(sets, "shingles").dropDuplicates(["node"])  # rows that repeat both text and doc_id
-    x, y = (sets.select(F.col("node").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    similar = cluster.staged(found.join(x, "a").join(y, "b").mapInArrow(_jaccard(similarity), "a long, b long"), "similar")
+        near = pairs.join(lead.select(F.col("fp").alias("a"), "lead"), "a").join(far, "b").select(F.col("lead").alias("a"), F.col("q").alias("b"))
+        found = same.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = _verified(rows, nodes, found, shingle, similarity)
+        similar = new if similar is None else similar.unionByName(new)
     component = smallest_member(similar, "a", "b").withColumnRenamed("id", "node")
     counted = cluster.checkpointed(prints.groupBy("node", "no_id", "id").agg(F.count(F.lit(1)).alias("n")))
     grouped = cluster.checkpointed(counted.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")))

@@ -16,8 +16,8 @@ from tokenizers import Tokenizer
 from arcweave.llm.words import mix, rolling
 
 #: Remembered pieces: slots of the direct-mapped table, and the ids and pieces held before it starts
-#: anew; some 130 MB in all.
-SLOTS, HELD, PIECES = 1 << 22, 12_000_000, 3_000_000
+#: anew; some 70 MB in all.
+SLOTS, HELD, PIECES = 1 << 21, 6_000_000, 1_500_000
 _STEP = 1 << 20
 _byte = np.arange(256)
 _ALNUM = (_byte >= 48) & (_byte <= 57) | (_byte >= 65) & (_byte <= 90) | (_byte >= 97) & (_byte <= 122)
