@@ -64,3 +64,30 @@ def test_one_row_and_none(spark):
     (row,) = minhash.with_edits(docs).collect()
     assert row.near_next == 1
     assert minhash.with_edits(docs.limit(0)).count() == 0
+
+
+def test_near_duplicates_by_bands(spark):
+    rng = random.Random(12)
+    rows = []
+    for g in range(25):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(40, 200))]
+        for _ in range(rng.choice([1, 2, 5]) if g else 45):  # one group is larger than a bucket for pairs
+            copy = list(base)
+            copy[rng.randrange(len(copy))] = f"edit{rng.randrange(50)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(900, None), (901, ""), (None, rows[0][1]), (5, rows[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node")
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    least = {}
+    for (d, _), r in zip(rows, root, strict=True):
+        if d is not None:
+            least[r] = min(d, least.get(r, d))
+    want = sorted((-1 if d is None else d, least[r]) for (d, _), r in zip(rows, root, strict=True))
+    assert len(sets) == len(want)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect()) == want
+    assert minhash.near_duplicates(docs.limit(0)).count() == 0
