@@ -19,9 +19,11 @@ def shared_dir(spark: SparkSession) -> str:
     since no folder of one machine would do there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if found:
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(found)
         return found.rstrip("/")
-    context = spark.sparkContext
     if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     found = "file://" + tempfile.mkdtemp(prefix="arcweave-")
