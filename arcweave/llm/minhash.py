@@ -173,7 +173,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     empty texts are one text. A null doc_id is never the smallest. An empty table gives an empty one.
     """
     from arcweave.algorithms.contraction import smallest_member
-    from arcweave.llm.simhash import _jaccard, _shingle_sets
+    from arcweave.llm.similar import _jaccard, shingle_sets
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     banded = cluster.staged(rows.select("node", "text").mapInArrow(_banded, "node long, bands array<long>").dropDuplicates(["node"]), "bands")
@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     found = star.where("a <> b").unionByName(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = cluster.checkpointed(found)
     needed = cluster.checkpointed(found.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = cluster.staged(cluster.join_ids(rows.select("node", "text"), needed, ["node"], "left_semi").mapInArrow(_shingle_sets(SHINGLE), "node long, shingles binary").dropDuplicates(["node"]), "shingles")
+    sets = cluster.staged(cluster.join_ids(rows.select("node", "text"), needed, ["node"], "left_semi").mapInArrow(shingle_sets(SHINGLE), "node long, shingles binary").dropDuplicates(["node"]), "shingles")
     x, y = (sets.select(F.col("node").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
     similar = cluster.staged(found.join(x, "a").join(y, "b").mapInArrow(_jaccard(similarity), "a long, b long"), "similar")
     component = smallest_member(similar, "a", "b").withColumnRenamed("id", "node")

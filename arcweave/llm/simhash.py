@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from arcweave import cluster
 from arcweave.algorithms.contraction import smallest_member
-from arcweave.llm.minhash import shingle_hashes
+from arcweave.llm import similar
 from arcweave.llm.words import pieces, text_buffer
 
 SEED = 42
@@ -290,44 +290,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFra
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-#: For texts at a Jaccard similarity of 0.8, 15 % of a fingerprint's bits differ on average, 9.7 of 64.
-_FAR, _PARTS, _SEEDS = 15, 4, (42, 43)
-#: Differing bits of both fingerprints together: 19 of 128 at 0.8 on average, 27 and more in one pair of thirty.
-_FAR_BOTH = 27
-
-
-def _jaccard(least: float):
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= least * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return check
-
-
-def _shingle_sets(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(iter([batch]), 1 << 20):
-                h, first = shingle_hashes(*text_buffer(part.column("text")), shingle)
-                h = (h >> np.uint64(32)).astype(np.uint32)
-                sets = [np.unique(h[a:b]).tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
-
-    return run
-
-
 def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns, but of each group of similar texts only the row with the smallest doc_id.
 
     Similar: the sets of ``shingle``-word shingles have a Jaccard similarity of at least ``similarity``; groups are
-    what such pairs connect. Pairs are sought by two 64-bit fingerprints of their lower-cased words, each with four
-    segments of which one differs in a bit at most (of pairs at 0.8 that finds nine in ten, at 0.9 nearly all), and
-    verified on the shingle sets. Where a group's links are many, its shortest trees of fingerprints are verified.
+    what such pairs connect. The join is exact: ``similar.by_prefix`` gives buckets in which all such pairs meet, and
+    ``similar.components`` verifies on the shingle sets all pairs of a bucket that aren't in one group already.
 
     Equal texts are one group always, null and empty texts are one text; of rows that share doc_id and text one
     stays. A null doc_id is larger than any other. An empty table gives an empty one.
@@ -336,34 +304,17 @@ def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     # Of each text: a 64-bit hash stands for it.
     keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.col("doc_id").cast("bigint").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = keyed.select("node", F.when(F.col("id").isNull(), 1).otherwise(0).alias("no_id"), F.coalesce("id", F.lit(least)).alias("id"), "text")
-    prints = cluster.staged(fingerprints(rows, shingle, ("node", "no_id", "id"), _SEEDS), "fingerprints")
-    nodes = cluster.checkpointed(prints.groupBy("node").agg(F.min(F.struct("no_id", "id")).alias("first"), *[F.first(f"fp{i}").alias(f"fp{i}") for i in range(len(_SEEDS))]))
-    found = None
-    for i in range(len(_SEEDS)):
-        fp = F.col(f"fp{i}")
-        lead = cluster.checkpointed(nodes.groupBy(fp.alias("fp")).agg(F.min("node").alias("lead")))
-        pairs = links(lead.select("fp"), _FAR, parts=_PARTS, tree=True)
-        same = nodes.join(lead, fp == F.col("fp")).where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-        far = lead.select(F.col("fp").alias("b"), F.col("lead").alias("q"))
-        near = pairs.join(lead.withColumnRenamed("fp", "a"), "a").join(far, "b").select(F.col("lead").alias("a"), F.col("q").alias("b"))
-        both = cluster.checkpointed(same.unionByName(near))
-        found = both if found is None else found.unionByName(both)
-    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    x, y = (nodes.select(F.col("node").alias(k), F.array(*[f"fp{i}" for i in range(len(_SEEDS))]).alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, d: n + d)
-    found = cluster.checkpointed(found.join(x, "a").join(y, "b").where(apart <= _FAR_BOTH).select("a", "b"))
-    needed = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "first.*")
-    sets = cluster.join_ids(rows, cluster.checkpointed(needed), ["node", "no_id", "id"], "left_semi").select("node", "text").mapInArrow(_shingle_sets(shingle), "node long, shingles binary")
-    sets = cluster.staged(sets, "shingles").dropDuplicates(["node"])  # rows that repeat both text and doc_id
-    x, y = (sets.select(F.col("node").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    similar = cluster.staged(found.join(x, "a").join(y, "b").mapInArrow(_jaccard(similarity), "a long, b long"), "similar")
-    component = smallest_member(similar, "a", "b").withColumnRenamed("id", "node")
-    counted = cluster.checkpointed(prints.groupBy("node", "no_id", "id").agg(F.count(F.lit(1)).alias("n")))
+    names = cluster.staged(rows.select("node", "no_id", "id"), "nodes")
+    counted = cluster.checkpointed(names.groupBy("node", "no_id", "id").agg(F.count(F.lit(1)).alias("n")))
+    key = ["node", "no_id", "id"]
+    again = counted.join(counted.groupBy("node").agg(F.min(F.struct("no_id", "id")).alias("first")), "node").where(F.struct("no_id", "id") != F.col("first"))
+    texts = cluster.join_ids(rows, cluster.checkpointed(again.select(*key)), key, "left_anti").select("node", "text")
+    sets_of = lambda nodes: cluster.join_ids(texts, nodes, ["node"], "left_semi").mapInArrow(similar.shingle_sets(shingle), "node long, shingles binary")
+    component = similar.components(similar.by_prefix(texts, shingle, similarity), sets_of, similarity)
     grouped = cluster.checkpointed(counted.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")))
     winner = grouped.groupBy("component").agg(F.min(F.struct("no_id", "id", "node", "n")).alias("w")).select("w.*")
     gone = cluster.checkpointed(grouped.select("node", "no_id", "id").join(winner, ["node", "no_id", "id"], "left_anti"))
     many = cluster.checkpointed(winner.where("n > 1").select("node", "no_id", "id"))
-    key = ["node", "no_id", "id"]
     kept = keyed.select("row", "node", F.when(F.col("id").isNull(), 1).otherwise(0).alias("no_id"), F.coalesce("id", F.lit(least)).alias("id"))
     kept = cluster.join_ids(kept, gone, key, "left_anti")
     if many.isEmpty():

@@ -130,3 +130,34 @@ def test_different_texts_stay(spark):
     rows = {r.doc_id: r.text for r in docs.collect()}
     for i in set(rows) - kept:
         assert any(jaccard(rows[i], rows[j]) >= 0.8 for j in rows if j != i)
+
+
+def near_copies(rng, base, n, edits):
+    out = []
+    for _ in range(n):
+        copy = list(base)
+        for at in rng.sample(range(len(copy)), edits):
+            copy[at] = f"e{rng.randrange(10**6)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def firsts(ts):
+    """The first of each group that pairs at 0.8 connect."""
+    root = list(range(len(ts)))
+    for i in range(len(ts)):
+        for j in range(i):
+            if root[i] != root[j] and jaccard(ts[i], ts[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return sorted(set(root))
+
+
+def test_groups_inside_a_family_are_all_found(spark):
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(4000)}" for _ in range(200)]
+    ts = near_copies(rng, base, 60, 14)  # mostly below 0.8 to each other, with one fingerprint segment in common
+    ts += [t for x in ts[:20] for t in near_copies(rng, x.split(), 2, 3)]  # and groups of three at 0.8 and more inside
+    rng.shuffle(ts)
+    kept = sorted(r.doc_id for r in simhash.drop_similar(spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")).collect())
+    assert kept == firsts(ts)
