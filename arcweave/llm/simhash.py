@@ -309,7 +309,12 @@ def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     key = ["node", "no_id", "id"]
     again = counted.join(counted.groupBy("node").agg(F.min(F.struct("no_id", "id")).alias("first")), "node").where(F.struct("no_id", "id") != F.col("first"))
     texts = cluster.join_ids(rows, cluster.checkpointed(again.select(*key)), key, "left_anti").select("node", "text")
-    sets_of = lambda nodes: cluster.join_ids(texts, nodes, ["node"], "left_semi").mapInArrow(similar.shingle_sets(shingle), "node long, shingles binary")
+    repeated = not counted.where("n > 1").isEmpty()  # rows that share both text and doc_id
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        sets = cluster.join_ids(texts, nodes, ["node"], "left_semi").mapInArrow(similar.shingle_sets(shingle), "node long, shingles binary")
+        return sets.dropDuplicates(["node"]) if repeated else sets
+
     component = similar.components(similar.by_prefix(texts, shingle, similarity), sets_of, similarity)
     grouped = cluster.checkpointed(counted.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")))
     winner = grouped.groupBy("component").agg(F.min(F.struct("no_id", "id", "node", "n")).alias("w")).select("w.*")

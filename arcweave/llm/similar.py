@@ -82,17 +82,20 @@ def _prefix(shingle: int, least: float, frequent):
             none = np.flatnonzero(size == 0)  # texts without words are alike
             text = np.concatenate([text[few], none])
             bucket = np.concatenate([h[few], np.zeros(len(none), np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), part.column("node").take(pa.array(text)), pa.array(size[text], pa.int32())], names=["bucket", "node", "size"])
+            rest = size[text] - np.concatenate([place[few], none * 0])
+            columns = [pa.array(bucket), part.column("node").take(pa.array(text)), pa.array(size[text], pa.int32()), pa.array(rest, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "node", "size", "rest"])
 
     return run
 
 
 def by_prefix(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """bucket, node, size of (node, text): buckets in which all pairs of at least ``similarity`` meet.
+    """bucket, node, size, rest of (node, text): buckets in which all pairs of at least ``similarity`` meet.
 
     Sets x and y of that similarity share at least ``similarity`` x |x| shingles. So in one order of all shingles the
     first |x| - that + 1 of x and those of y have one in common, and a text has a bucket for each of these only. The
-    order is that of the hashes, with shingles that are frequent in an eighth of the texts last.
+    order is that of the hashes, with shingles that are frequent in an eighth of the texts last. rest: how many of the
+    text's shingles don't come before the bucket's; in the first bucket of a pair both must have enough of them.
     """
     some = texts.where(F.pmod(F.xxhash64("node"), F.lit(_SAMPLE)) == 0)
     seen = some.mapInArrow(_seen(shingle), "bucket long").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= _SEEN)
@@ -100,44 +103,51 @@ def by_prefix(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     last = np.array(found.column("bucket")).astype(np.int64, copy=False).view(np.uint64)
     order = np.argsort(last)
     frequent = texts.sparkSession.sparkContext.broadcast((last[order], np.array(found.column("n")).astype(np.int64, copy=False)[order]))
-    return texts.mapInArrow(_prefix(shingle, similarity, frequent), "bucket long, node long, size int")
+    return texts.mapInArrow(_prefix(shingle, similarity, frequent), "bucket long, node long, size int, rest int")
 
 
 def _meet(least: float, most: int):
-    """Sorted rows (bucket, node, size) to pairs (a, b, bucket null), or for larger buckets to (first node, node, bucket)."""
+    """Sorted rows (bucket, node, size, rest) to pairs (a, b, bucket null), or for larger buckets to (first node, node, bucket).
 
-    def emit(a, b, bucket) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(bucket) if bucket is not None else pa.nulls(len(a), pa.int64())], names=["a", "b", "bucket"])
+    a is null where the two can't be similar, or have met in another bucket.
+    """
+
+    def may(size, rest, other_size, other_rest):
+        return np.minimum(rest, other_rest) >= least / (1 + least) * (size + other_size) - 1e-9
+
+    def emit(a, b, bucket, ok=None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, mask=None if ok is None else ~ok), pa.array(b), pa.array(bucket) if bucket is not None else pa.nulls(len(a), pa.int64())], names=["a", "b", "bucket"])
 
-    def whole(bucket: np.ndarray, node: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def whole(bucket: np.ndarray, node: np.ndarray, size: np.ndarray, rest: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         n = np.diff(np.append(edge, len(bucket)))
         run, number = np.repeat(n, n), np.repeat(np.arange(len(edge)), n)
         for k in range(1, min(most, int(n.max()))):
             i = np.flatnonzero((number[:-k] == number[k:]) & (run[:-k] <= most))
-            i = i[np.minimum(size[i], size[i + k]) >= least * np.maximum(size[i], size[i + k]) - 1e-9]
+            i = i[may(size[i], rest[i], size[i + k], rest[i + k])]
             if len(i):
                 yield emit(node[i], node[i + k], None)
         if len(i := np.flatnonzero(run > most)):
-            yield emit(node[edge[number[i]]], node[i], bucket[i])
+            first = edge[number[i]]
+            yield emit(node[first], node[i], bucket[i], may(size[first], rest[first], size[i], rest[i]))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3  # the last bucket so far, which may go on
-        long = None  # bucket, first and last node of one that is known to be large
+        held = [np.zeros(0, np.int64)] * 4  # the last bucket so far, which may go on
+        long = None  # bucket, last node and the first with size and rest, of one that is known to be large
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [np.array(batch.column(c)).astype(np.int64, copy=False) for c in ("bucket", "node", "size")]
+            new = [np.array(batch.column(c)).astype(np.int64, copy=False) for c in ("bucket", "node", "size", "rest")]
             new = [np.concatenate(x) for x in zip(held, new, strict=True)]
             once = np.concatenate([[True], (new[0][1:] != new[0][:-1]) | (new[1][1:] != new[1][:-1])])
-            if long is not None and new[0][0] == long[0] and new[1][0] == long[2]:
+            if long is not None and new[0][0] == long[0] and new[1][0] == long[1]:
                 once[0] = False
             new, held = [x[once] for x in new], [x[:0] for x in new]
             if long is not None:
                 n = int(np.searchsorted(new[0], long[0], "right"))
                 if n:
-                    yield emit(np.full(n, long[1]), new[1][:n], new[0][:n])
-                    long = (long[0], long[1], new[1][n - 1])
+                    yield emit(np.full(n, long[2]), new[1][:n], new[0][:n], may(*long[3:], new[2][:n], new[3][:n]))
+                    long = (long[0], new[1][n - 1], *long[2:])
                 new = [x[n:] for x in new]
                 if not len(new[0]):
                     continue
@@ -147,9 +157,9 @@ def _meet(least: float, most: int):
                 yield from whole(*(x[:cut] for x in new))
             held = [x[cut:] for x in new]
             if len(held[0]) > most:
-                bucket, node, _ = held
-                yield emit(np.full(len(node), node[0]), node, bucket)
-                long, held = (bucket[0], node[0], node[-1]), [x[:0] for x in held]
+                bucket, node, size, rest = held
+                yield emit(np.full(len(node), node[0]), node, bucket, may(size[0], rest[0], size, rest))
+                long, held = (bucket[0], node[-1], node[0], size[0], rest[0]), [x[:0] for x in held]
         if len(held[0]):
             yield from whole(*held)
 
@@ -209,16 +219,16 @@ def _blocks(least: float):
 def components(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, most: int = 32) -> DataFrame:
     """node and component (its smallest node): what verified pairs of a common bucket connect; lone nodes are left out.
 
-    members: bucket, node and size (BIGINT, BIGINT, INT: of the shingle set, or 0 where it isn't known).
-    sets_of: from a table of nodes, once, to their shingle sets as ``shingle_sets`` makes them.
+    members: bucket, node, size and rest as ``by_prefix`` gives them, the last two 0 where they aren't known.
+    sets_of: from a table of nodes to their shingle sets as ``shingle_sets`` makes them, one row each.
     Buckets of up to ``most`` nodes give their pairs; larger ones links to a node of theirs, then blocks.
     """
     n = cluster.shuffle_partitions(members.sparkSession)
     met = members.repartition(n, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(_meet(similarity, most), "a long, b long, bucket long")
     met = cluster.staged(met, "met")
     found = cluster.checkpointed(met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    needed = cluster.checkpointed(found.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = cluster.staged(sets_of(needed).dropDuplicates(["node"]), "shingles")
+    needed = found.select(F.explode(F.array("a", "b")).alias("node")).unionByName(met.where("bucket is not null").select(F.col("b").alias("node")))
+    sets = cluster.staged(sets_of(cluster.checkpointed(needed.distinct())), "shingles")
     x, y = (sets.select(F.col("node").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
     similar = cluster.staged(found.join(x, "a").join(y, "b").mapInArrow(_jaccard(similarity), "a long, b long"), "similar")
     component = smallest_member(similar, "a", "b").withColumnRenamed("id", "node")

@@ -161,3 +161,15 @@ def test_groups_inside_a_family_are_all_found(spark):
     rng.shuffle(ts)
     kept = sorted(r.doc_id for r in simhash.drop_similar(spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")).collect())
     assert kept == firsts(ts)
+
+
+def test_all_pairs_just_above_the_limit_are_found(spark):
+    rng = random.Random(33)
+    ts = []
+    while len(ts) < 400:  # pairs at 0.80 to 0.85
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(100, 300))]
+        (copy,) = near_copies(rng, base, 1, max(1, len(base) // 50))
+        if 0.8 <= jaccard(" ".join(base), copy) < 0.85:
+            ts += [" ".join(base), copy]
+    kept = sorted(r.doc_id for r in simhash.drop_similar(spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")).collect())
+    assert kept == list(range(0, 400, 2))
