@@ -150,7 +150,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
 
 #: Bands of the signature that are joined: at a similarity of 0.8 some of 25 bands of 5 agree in all but 5 of 100,000 pairs.
 BANDS, ROWS = 25, 5
-#: Up to so many different texts, those of a bucket are compared all with all; beyond, all with its leader.
+#: Up to so many different texts, those of a bucket give their pairs; beyond, they are compared in blocks.
 BUCKET = 32
 
 
@@ -167,30 +167,16 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id: the smallest doc_id that chains of similar texts reach, one row per input row.
 
     Similar: a Jaccard similarity of at least ``similarity`` of the sets of five-word shingles, verified on these.
-    Candidates are texts whose signatures agree in a band. In buckets of more than BUCKET texts each is compared with
-    the bucket's leader, another one for each band: of a dense group all texts meet a leader that they are close to,
-    while a text that is close to some few of a large bucket only can be missed. Equal texts are one group; null and
-    empty texts are one text. A null doc_id is never the smallest. An empty table gives an empty one.
+    Candidates are all texts whose signatures agree in a band; ``similar.components`` verifies all pairs of a bucket,
+    whatever its size, that aren't in one group already. Equal texts are one group; null and empty texts are one text. A null doc_id is never the smallest. An empty table gives an empty one.
     """
-    from arcweave.algorithms.contraction import smallest_member
-    from arcweave.llm.similar import _jaccard, shingle_sets
+    from arcweave.llm.similar import components, shingle_sets
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     banded = cluster.staged(rows.select("node", "text").mapInArrow(_banded, "node long, bands array<long>").dropDuplicates(["node"]), "bands")
-    keyed = banded.select("node", F.posexplode("bands").alias("band", "key"))
-    leader = F.min(F.struct(F.xxhash64("node", "band").alias("h"), "node"))["node"].alias("leader")
-    buckets = cluster.staged(keyed.groupBy("band", "key").agg(leader, F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    members = keyed.join(buckets, ["band", "key"])
-    star = members.where(F.col("n") > BUCKET).select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    small = members.where(F.col("n") <= BUCKET).select("band", "key", "node")
-    pairs = small.join(small.withColumnRenamed("node", "other"), ["band", "key"]).where("node < other").select(F.col("node").alias("a"), F.col("other").alias("b"))
-    found = star.where("a <> b").unionByName(pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = cluster.checkpointed(found)
-    needed = cluster.checkpointed(found.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = cluster.staged(cluster.join_ids(rows.select("node", "text"), needed, ["node"], "left_semi").mapInArrow(shingle_sets(SHINGLE), "node long, shingles binary").dropDuplicates(["node"]), "shingles")
-    x, y = (sets.select(F.col("node").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    similar = cluster.staged(found.join(x, "a").join(y, "b").mapInArrow(_jaccard(similarity), "a long, b long"), "similar")
-    component = smallest_member(similar, "a", "b").withColumnRenamed("id", "node")
+    members = banded.select("node", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node", F.lit(0).alias("size"), F.lit(0).alias("rest"))
+    sets_of = lambda nodes: cluster.join_ids(rows.select("node", "text"), nodes, ["node"], "left_semi").mapInArrow(shingle_sets(SHINGLE), "node long, shingles binary").dropDuplicates(["node"])
+    component = components(members, sets_of, similarity, BUCKET)
     ids = cluster.staged(rows.select("doc_id", "node").join(component, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component")), "components")
     least = cluster.checkpointed(ids.groupBy("component").agg(F.min("doc_id").alias("component_id")))
     return ids.join(least, "component").select("doc_id", "component_id")

@@ -91,3 +91,14 @@ def test_near_duplicates_by_bands(spark):
     assert len(sets) == len(want)
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect()) == want
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_pairs_in_large_buckets_are_found(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "_banded", lambda batches: (pa.RecordBatch.from_arrays([b.column("node"), pa.array([[1] * minhash.BANDS] * b.num_rows, pa.list_(pa.int64()))], names=["node", "bands"]) for b in batches))
+    rng = random.Random(4)
+    rows = []
+    for _ in range(150):  # pairs of near copies that share all buckets with 298 other texts
+        base = [f"w{rng.randrange(3000)}" for _ in range(80)]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join([*base[:-1], "edit"]))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i - i % 2) for i in range(300)]
