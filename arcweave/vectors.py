@@ -28,13 +28,12 @@ def search(df: DataFrame, query, k: int, column: str = "embedding", key: str = "
 
 
 def batch_search(df: DataFrame, queries: DataFrame, k: int, column: str = "embedding", key: str = "id", query_key: str = "query", metric: str = "cosine", most_queries: int = 100_000) -> DataFrame:
-    """query, key, rank, distance for a bounded set of queries (query_key, column): they go to every executor, and a
-    query's best of each partition are merged."""
-    n = queries.count()
-    if n > most_queries:
-        raise ValueError(f"{n} queries; at most {most_queries} are sent to all executors at once")
+    """query, key, rank, distance for each query (query_key, column). Up to ``most_queries`` go to every executor; more
+    meet the vectors partition by partition. A query's best of each partition are merged."""
     q = queries.select(F.col(query_key).alias("_q"), F.col(column).alias("_v"))
-    d = df.select(key, F.col(column).alias("_x")).crossJoin(F.broadcast(q)).select(F.col("_q").alias(query_key), key, METRICS[metric](F.col("_x"), F.col("_v")).alias("distance"))
+    if queries.count() <= most_queries:
+        q = F.broadcast(q)
+    d = df.select(key, F.col(column).alias("_x")).crossJoin(q).select(F.col("_q").alias(query_key), key, METRICS[metric](F.col("_x"), F.col("_v")).alias("distance"))
     w = Window.partitionBy(query_key).orderBy("distance", key)
     return d.where("distance is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -41,3 +41,10 @@ def test_quantizers(spark):
     p = vectors.ProductQuantizer.train(df, parts=4, centroids=32)
     near = df.select("id", p.distance(p.encode(F.col("embedding")), v[5]).alias("d")).orderBy("d").limit(5).collect()
     assert 5 in {r.id for r in near}
+
+
+def test_more_queries_than_are_broadcast(spark):
+    df, _ = frame(spark)
+    queries = df.withColumnRenamed("id", "query")
+    rows = lambda **k: sorted((r.query, r.rank, r.id) for r in vectors.batch_search(df, queries, 3, **k).collect())
+    assert rows(most_queries=7) == rows() and len(rows()) == 180
