@@ -1,6 +1,6 @@
 """Document fingerprints: MinHash signatures over five-word shingles.
 
-A shingle's 64-bit hash (Rabin-Karp over word hashes) goes through 128 universal hash permutations a*h + b modulo
+A shingle's 64-bit hash (over word hashes) goes through 128 universal hash permutations a*h + b modulo
 2**64; for each, the smallest value over a document's shingles is kept, of it 16 bits. The share of equal components
 estimates the Jaccard similarity of the shingle sets.
 """
@@ -16,39 +16,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweave import cluster
-from arcweave.llm.words import mix, pieces, text_buffer, window_hashes, word_hashes
+from arcweave.llm import similar
+from arcweave.llm.words import mix, pieces, shingle_hashes, text_buffer
 
 SHINGLE, PERMUTATIONS, SEED = 5, 128, 20240229
 _PIECE = 1 << 20
 
 
-def _family() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(SEED)
+def _family(level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED + level)
     draw = lambda: rng.integers(0, 2**64, PERMUTATIONS, np.uint64)
     return draw() | np.uint64(1), draw()
 
 
-def shingle_hashes(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all k-word shingles in a row, and where each text's begin. Fewer words make one shingle, none make none."""
-    words, first = word_hashes(data, offsets)
-    h, _, document = window_hashes(words, first, k)
-    count = np.maximum(np.diff(first) - k + 1, 0)
-    short = np.flatnonzero((np.diff(first) > 0) & (count == 0))
-    if len(short):
-        own = [window_hashes(words[a:b], np.array([0, b - a]), b - a)[0][0] for a, b in zip(first[short].tolist(), first[short + 1].tolist(), strict=True)]
-        h = np.insert(h, np.searchsorted(document, short), np.array(own, np.uint64))
-        count[short] = 1
-    return h, np.concatenate([[0], np.cumsum(count)])
-
-
 def signatures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """uint16 (texts, permutations); texts without words have the largest value throughout."""
-    h, first = shingle_hashes(data, offsets)
+    return _signed(*shingle_hashes(data, offsets, SHINGLE))
+
+
+def _signed(h: np.ndarray, first: np.ndarray, level: int = 0) -> np.ndarray:
     out = np.full((len(first) - 1, PERMUTATIONS), 0xFFFF, np.uint16)
     some = np.flatnonzero(np.diff(first))
     if len(some):
         starts, v = first[some], np.empty_like(h)
-        for k, (a, b) in enumerate(zip(*_family(), strict=True)):
+        for k, (a, b) in enumerate(zip(*_family(level), strict=True)):
             np.multiply(h, a, out=v)
             np.add(v, b, out=v)
             # From the middle: the high bits of a minimum are zeros, the lowest ones have a short period.
@@ -150,34 +141,63 @@ def with_edits(docs: DataFrame) -> DataFrame:
 
 #: Bands of the signature that are joined: at a similarity of 0.8 some of 25 bands of 5 agree in all but 5 of 100,000 pairs.
 BANDS, ROWS = 25, 5
-#: Up to so many different texts, those of a bucket give their pairs; beyond, they are compared in blocks.
-BUCKET = 32
+
+
+def band_keys(h: np.ndarray, first: np.ndarray, level: int = 0) -> np.ndarray:
+    """uint64 (texts, BANDS): equal keys where a band of the signatures agrees. Levels have permutations of their own."""
+    sig = _signed(h, first, level)[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.zeros(sig.shape[:2], np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        key = mix(key ^ sig[:, :, r])
+    return key
+
+
+def finer(level: int):
+    """Rows (bucket, node, shingles, component) to members of finer buckets: other bands inside each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(iter([batch]), _PIECE, "shingles"):
+                sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in part.column("shingles")]
+                size = np.array(list(map(len, sets)))
+                keys = band_keys(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]), level + 1)
+                of = np.array(part.column("bucket")).astype(np.int64).view(np.uint64)
+                keys = mix(keys ^ mix(of + np.uint64(level))[:, None])
+                repeat = np.repeat(np.arange(len(sets)), BANDS)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.ravel().view(np.int64)), part.column("node").take(pa.array(repeat)), pa.array(size[repeat], pa.int32()), part.column("component").take(pa.array(repeat))],
+                    names=["bucket", "node", "size", "component"],
+                )
+
+    return run
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in pieces(batches, _PIECE):
-        sig = signatures(*text_buffer(piece.column("text")))[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
-        key = np.zeros(sig.shape[:2], np.uint64)
-        for r in range(ROWS):
-            key = mix(key ^ sig[:, :, r])
-        yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array(list(key.view(np.int64)), pa.list_(pa.int64()))], names=["node", "bands"])
+        h, first = shingle_hashes(*text_buffer(piece.column("text")), SHINGLE)
+        size = [len(np.unique(h[a:b])) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        keys = band_keys(h, first).view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [*(piece.column(c) for c in similar.KEY), pa.array(size, pa.int32()), pa.array(list(keys), pa.list_(pa.int64()))],
+            names=[*similar.KEY, "size", "bands"],
+        )
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id: the smallest doc_id that chains of similar texts reach, one row per input row.
 
     Similar: a Jaccard similarity of at least ``similarity`` of the sets of five-word shingles, verified on these.
-    Candidates are all texts whose signatures agree in a band; ``similar.components`` verifies all pairs of a bucket,
-    whatever its size, that aren't in one group already. Equal texts are one group; null and empty texts are one text. A null doc_id is never the smallest. An empty table gives an empty one.
+    Candidates are all texts whose signatures agree in a band; ``similar.components`` verifies all pairs of a bucket
+    that aren't in one group already, large ones by way of further bands. Equal texts are one group; null and empty
+    texts are one text. A null doc_id is never the smallest. An empty table gives an empty one.
     """
-    from arcweave.llm.similar import components, shingle_sets
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-    banded = cluster.staged(rows.select("node", "text").mapInArrow(_banded, "node long, bands array<long>").dropDuplicates(["node"]), "bands")
-    members = banded.select("node", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node", F.lit(0).alias("size"), F.lit(0).alias("rest"))
-    sets_of = lambda nodes: cluster.join_ids(rows.select("node", "text"), nodes, ["node"], "left_semi").mapInArrow(shingle_sets(SHINGLE), "node long, shingles binary").dropDuplicates(["node"])
-    component = components(members, sets_of, similarity, BUCKET)
-    ids = cluster.staged(rows.select("doc_id", "node").join(component, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component")), "components")
+    rows = similar.keyed(docs.select("doc_id", "text")).select(*similar.KEY, "text")
+    banded = cluster.staged(rows.mapInArrow(_banded, "h1 long, h2 long, no_id int, id long, size int, bands array<long>"), "bands")
+    nodes, sets_of = similar.texts_of(banded, rows, SHINGLE, ["size", "bands"])
+    members = nodes.select("node", "size", F.col("node").alias("component"), F.explode("bands").alias("bucket"))
+    component = similar.components(members, None, sets_of, similarity, finer)
+    of = nodes.select("h1", "h2", "node").join(component, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
+    ids = cluster.staged(banded.select(*similar.KEY).join(of, ["h1", "h2"]).select(F.when(F.col("no_id") == 0, F.col("id")).alias("doc_id"), "component"), "components")
     least = cluster.checkpointed(ids.groupBy("component").agg(F.min("doc_id").alias("component_id")))
     return ids.join(least, "component").select("doc_id", "component_id")
 

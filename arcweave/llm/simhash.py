@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from arcweave import cluster
 from arcweave.algorithms.contraction import smallest_member
-from arcweave.llm import similar
-from arcweave.llm.words import pieces, text_buffer
+from arcweave.llm import minhash, similar
+from arcweave.llm.words import pieces, shingle_hashes, text_buffer
 
 SEED = 42
 #: Runs up to this length are compared all with all; longer ones get finer keys while bits are left to make them from.
@@ -98,49 +98,9 @@ def _star(fps: np.ndarray, bit: int, every: bool, most: int) -> tuple[np.ndarray
     return fps[root[member]], fps[member]
 
 
-def _met_before(x: np.ndarray, masks: list[np.uint64]) -> np.ndarray:
-    """Whether fingerprints that differ in x share a key of an earlier segment: their link is found there."""
-    out = np.zeros(x.shape, bool)
-    for m in masks:
-        out |= np.bitwise_count(x & m) <= 1
-    return out
-
-
-def _tree(fps: np.ndarray, bit: int, every: bool, most: int, masks: list[np.uint64]) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs that a run links and no earlier one, or if they are many the shortest trees that connect the same."""
-    n = len(fps)
-    side = (fps >> np.uint64(bit)) & np.uint64(1)
-    a, b, count = [], [], 0
-    for at in range(0, n, 256):
-        x = fps[at : at + 256, None] ^ fps[None, :]
-        hit = (np.bitwise_count(x) <= most) & ~_met_before(x, masks)
-        if not every:
-            hit &= side[at : at + 256, None] != side[None, :]
-        x, y = np.nonzero(hit)
-        x += at
-        a.append(x[x < y])
-        b.append(y[x < y])
-        count += len(a[-1])
-        if count > n:
-            break
-    else:
-        return fps[np.concatenate(a)], fps[np.concatenate(b)]
-    near, parent, left = np.full(n, 99), np.full(n, -1), np.ones(n, bool)
-    for _ in range(n):
-        i = int(np.where(left, near, 100).argmin())
-        left[i] = False
-        d = np.bitwise_count(fps ^ fps[i]).astype(np.int64)
-        closer = left & (d < near) & (d <= most) & (every | (side != side[i])) & ~_met_before(fps ^ fps[i], masks)
-        near[closer], parent[closer] = d[closer], i
-    member = np.flatnonzero(parent >= 0)
-    return fps[parent[member]], fps[member]
-
-
-def _link(most: int, last: bool, tree: bool = False, masks: tuple[np.uint64, ...] = (), run_limit: int | None = None):
+def _link(most: int, last: bool, limit: int):
     """Sorted rows (key, fp, bit, every, segment) to stars (a, b), or for runs that are too long to their rows again."""
 
-    limit = RUN if run_limit is None else run_limit
-
     def emit(a, b, key, segment) -> pa.RecordBatch:
         """segment: of rows to be indexed again, else None."""
         segment = np.full(len(a), -1) if segment is None else segment
@@ -153,31 +113,20 @@ def _link(most: int, last: bool, tree: bool = False, masks: tuple[np.uint64, ...
         size = np.diff(np.append(edge, len(key)))
         run = np.repeat(size, size)
         number = np.repeat(np.arange(len(edge)), size)
-        a, b, at = [], [], []
-        small = 64 if tree else _SMALL
-        for k in range(1, min(small, int(size.max(initial=0)))):
-            i = np.flatnonzero((number[:-k] == number[k:]) & (run[:-k] <= small))
+        a, b = [], []
+        for k in range(1, min(_SMALL, int(size.max(initial=0)))):
+            i = np.flatnonzero((number[:-k] == number[k:]) & (run[:-k] <= _SMALL))
             x, y = fp[i], fp[i + k]
             ok = np.bitwise_count(x ^ y) <= most
             ok &= every[i] | (((x ^ y) >> bit[i]) & np.uint64(1)).astype(bool)
-            for number_, m in enumerate(masks[:-1]):
-                ok &= (segment[i] <= number_) | (np.bitwise_count((x ^ y) & m) > 1)
             a.append(x[ok])
             b.append(y[ok])
-            at.append(number[i[ok]])
-        dense = size > small
-        if tree and at:  # runs with more pairs than fingerprints give their trees instead
-            pair_run = np.concatenate(at)
-            many = np.bincount(pair_run, minlength=len(size)) > size
-            dense |= many
-            a, b = [np.concatenate(a)[~many[pair_run]]], [np.concatenate(b)[~many[pair_run]]]
-        for e in np.flatnonzero(dense):
+        for e in np.flatnonzero(size > _SMALL):
             s = slice(edge[e], edge[e] + size[e])
             if size[e] > limit and not last:
                 yield emit(fp[s], fp[s], key[s], segment[s])
                 continue
-            first = int(bit[edge[e]]), bool(every[edge[e]]), most
-            x, y = _tree(fp[s], *first, list(masks[: int(segment[edge[e]])])) if tree else _star(fp[s], *first)
+            x, y = _star(fp[s], int(bit[edge[e]]), bool(every[edge[e]]), most)
             a.append(x)
             b.append(y)
         if a and sum(map(len, a)):
@@ -236,18 +185,15 @@ def _keys(rows: DataFrame, bits: list[int], pieces_: int, upper) -> DataFrame:
     return rows.select("*", F.explode(table).alias("v")).select(key.alias("key"), "fp", "v.bit", "v.every", "v.segment")
 
 
-def links(fps: DataFrame, most: int = 3, partitions: int | None = None, parts: int | None = None, tree: bool = False) -> DataFrame:
+def links(fps: DataFrame, most: int = 3, partitions: int | None = None) -> DataFrame:
     """Stars (a, b) that connect just what chains of fingerprints at ``most`` or fewer differing bits connect.
 
     fps: distinct non-null BIGINT ``fp``. A key is a 64-bit hash of segment and value: chance equality costs a
     comparison and nothing else. Runs beyond RUN fingerprints are indexed again by the bits outside their segment
     (that have the rest of the differences); there two keys fix most bits, and the next level the others, so that
     what is compared all with all in the end is bounded by the number of values of the open bits.
-
-    With fewer ``parts`` than most // 2 + 1 a pair is found if some segment differs in one bit or none, which is no
-    longer sure. With ``tree`` linked pairs themselves come out where they are few, and shortest trees elsewhere.
     """
-    parts = parts or most // 2 + 1
+    parts = most // 2 + 1
     n = partitions or cluster.shuffle_partitions(fps.sparkSession)
     found = []
     # Each level's rows, the bits that no key of the levels before has fixed, and those keys.
@@ -257,9 +203,8 @@ def links(fps: DataFrame, most: int = 3, partitions: int | None = None, parts: i
         following = []
         for rows, bits, upper in todo:
             last = len(bits) <= 18 or level >= 4
-            masks = tuple(np.uint64(sum(1 << b for b in x)) for x in _segments(bits, parts)) if tree else ()
             keyed = _keys(rows, bits, parts, upper).repartition(n, "key").sortWithinPartitions("key")
-            out = cluster.staged(keyed.mapInArrow(_link(most, last, tree, masks), "a bigint, b bigint, key bigint, segment int"), "links")
+            out = cluster.staged(keyed.mapInArrow(_link(most, last, RUN), "a bigint, b bigint, key bigint, segment int"), "links")
             found.append(out.where("segment < 0").select("a", "b"))
             again = out.where("segment >= 0").select(F.col("a").alias("fp"), "key", "segment")
             if not last and not again.isEmpty():
@@ -290,38 +235,65 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFra
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def _sketched(shingle: int):
+    """KEY and text to KEY, size of the shingle set, SimHash over the shingles, and bands of their MinHash signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, 1 << 20):
+            h, first = shingle_hashes(*text_buffer(part.column("text")), shingle)
+            size = [len(np.unique(h[a:b])) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            fp = np.zeros(part.num_rows, np.uint64)
+            for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                count = np.zeros(64, np.int64)
+                for at in range(a, b, _CHUNK):
+                    count += np.unpackbits(h[at : min(b, at + _CHUNK)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+                fp[i] = np.packbits(2 * count > b - a, bitorder="little").view("<u8")[0]
+            keys = minhash.band_keys(h, first).view(np.int64)
+            columns = [pa.array(size, pa.int32()), pa.array(fp.view(np.int64)), pa.array(list(keys), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in similar.KEY), *columns], names=[*similar.KEY, "size", "fp", "bands"])
+
+    return run
+
+
+def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most: int = 3) -> DataFrame:
     """The rows of ``docs``, all columns, but of each group of similar texts only the row with the smallest doc_id.
 
     Similar: the sets of ``shingle``-word shingles have a Jaccard similarity of at least ``similarity``; groups are
-    what such pairs connect. The join is exact: ``similar.by_prefix`` gives buckets in which all such pairs meet, and
-    ``similar.components`` verifies on the shingle sets all pairs of a bucket that aren't in one group already.
+    what such pairs connect. Fingerprints at ``most`` or fewer differing bits, found by their deletion variants, give
+    most of the groups. At a similarity of 0.8 some 15 % of a fingerprint's bits differ, which no key of few bits
+    finds; what is left is sought by bands of MinHash signatures (all but 5 of 100,000 pairs at 0.8 meet). Either
+    way a pair counts only if the shingle sets say so; ``similar.components`` looks at all pairs that meet and
+    aren't in one group already.
 
     Equal texts are one group always, null and empty texts are one text; of rows that share doc_id and text one
     stays. A null doc_id is larger than any other. An empty table gives an empty one.
     """
-    least = -(1 << 63)
-    # Of each text: a 64-bit hash stands for it.
-    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), F.col("doc_id").cast("bigint").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = keyed.select("node", F.when(F.col("id").isNull(), 1).otherwise(0).alias("no_id"), F.coalesce("id", F.lit(least)).alias("id"), "text")
-    names = cluster.staged(rows.select("node", "no_id", "id"), "nodes")
-    counted = cluster.checkpointed(names.groupBy("node", "no_id", "id").agg(F.count(F.lit(1)).alias("n")))
-    key = ["node", "no_id", "id"]
-    again = counted.join(counted.groupBy("node").agg(F.min(F.struct("no_id", "id")).alias("first")), "node").where(F.struct("no_id", "id") != F.col("first"))
-    texts = cluster.join_ids(rows, cluster.checkpointed(again.select(*key)), key, "left_anti").select("node", "text")
-    repeated = not counted.where("n > 1").isEmpty()  # rows that share both text and doc_id
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        sets = cluster.join_ids(texts, nodes, ["node"], "left_semi").mapInArrow(similar.shingle_sets(shingle), "node long, shingles binary")
-        return sets.dropDuplicates(["node"]) if repeated else sets
-
-    component = similar.components(similar.by_prefix(texts, shingle, similarity), sets_of, similarity)
-    grouped = cluster.checkpointed(counted.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    winner = grouped.groupBy("component").agg(F.min(F.struct("no_id", "id", "node", "n")).alias("w")).select("w.*")
-    gone = cluster.checkpointed(grouped.select("node", "no_id", "id").join(winner, ["node", "no_id", "id"], "left_anti"))
-    many = cluster.checkpointed(winner.where("n > 1").select("node", "no_id", "id"))
-    kept = keyed.select("row", "node", F.when(F.col("id").isNull(), 1).otherwise(0).alias("no_id"), F.coalesce("id", F.lit(least)).alias("id"))
-    kept = cluster.join_ids(kept, gone, key, "left_anti")
+    key = similar.KEY
+    keyed = similar.keyed(docs)
+    rows = keyed.select(*key, "text")
+    sketched = cluster.staged(rows.mapInArrow(_sketched(shingle), "h1 long, h2 long, no_id int, id long, size int, fp long, bands array<long>"), "sketches")
+    nodes, sets_of = similar.texts_of(sketched, rows, shingle, ["size", "fp", "bands"])
+
+    of = cluster.checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")))
+    near = links(of.select("fp"), most)
+    lead = of.select(F.col("fp").alias("a"), F.col("lead").alias("x")), of.select(F.col("fp").alias("b"), F.col("lead").alias("y"))
+    near = near.join(lead[0], "a").join(lead[1], "b").select("x", "y")
+    equal = nodes.select("fp", F.col("node").alias("y")).join(of.where("n > 1").select("fp", F.col("lead").alias("x")), "fp").where("x <> y").select("x", "y")
+    pairs = cluster.checkpointed(near.unionByName(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    sets = cluster.staged(sets_of(cluster.checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())), "shingles")
+    known = cluster.staged(similar.verified(pairs, sets, similarity), "known")
+    group = smallest_member(known, "a", "b").withColumnRenamed("id", "node")
+
+    members = nodes.select("node", "size", "bands").join(group, "node", "left").select("node", "size", F.coalesce("component", "node").alias("component"), F.explode("bands").alias("bucket"))
+    component = similar.components(members, known, sets_of, similarity, minhash.finer)
+
+    first = nodes.select("node", *key).join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    winner = cluster.checkpointed(first.groupBy("component").agg(F.min(F.struct("no_id", "id", "h1", "h2")).alias("w")).select("w.*"))
+    counted = sketched.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    judged = counted.join(winner.withColumn("wins", F.lit(True)), key, "left").select(*key, "n", F.coalesce("wins", F.lit(False)).alias("wins"))
+    judged = cluster.checkpointed(judged.where("n > 1 or not wins"))
+    kept = cluster.join_ids(keyed.select("row", *key), judged.where("not wins").select(*key), key, "left_anti")
+    many = judged.where("wins").select(*key)
     if many.isEmpty():
         return kept.select("row.*")
     once = cluster.join_ids(kept, many, key, "left_semi").dropDuplicates(key)

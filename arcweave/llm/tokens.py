@@ -1,8 +1,8 @@
 """Token ids of texts by a file of the ``tokenizers`` library, a batch at a time.
 
 Ids are the library's. Where the file is a plain byte-level BPE, no token spans certain places of a text; texts are
-cut there, pieces are told apart by a 64-bit hash, and the library gets each piece once for as long as it is
-remembered. Other files are used on whole texts.
+cut there, short pieces are told apart by two independent 64-bit hashes, and the library gets each once for as long as
+it is remembered; longer pieces go to it each time. Other files are used on whole texts.
 """
 
 from __future__ import annotations
@@ -13,11 +13,13 @@ from itertools import chain
 import numpy as np
 from tokenizers import Tokenizer
 
-from arcweave.llm.words import mix, rolling
+from arcweave.llm.words import span_hashes
 
 #: Remembered pieces: slots of the direct-mapped table, and the ids and pieces held before it starts
 #: anew; some 70 MB in all.
 SLOTS, HELD, PIECES = 1 << 21, 6_000_000, 1_500_000
+#: Pieces of more bytes aren't remembered.
+REMEMBERED = 256
 _STEP = 1 << 20
 _byte = np.arange(256)
 _ALNUM = (_byte >= 48) & (_byte <= 57) | (_byte >= 65) & (_byte <= 90) | (_byte >= 97) & (_byte <= 122)
@@ -61,7 +63,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.key, self.number = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int32)
+        self.key, self.check, self.number = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int32)
         self.ids, self.start, self.length = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
         self.held = self.known = 0
 
@@ -96,15 +98,30 @@ class Encoder:
         return ids, np.diff(at, prepend=-1)
 
     def _numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The number of each piece of data; new ones are encoded."""
+        """The number of each piece of data; new ones are encoded, long ones each time."""
+        long = np.flatnonzero(end - start > REMEMBERED)
+        if not len(long):
+            return self._short(data, start, end)
+        number = np.empty(len(start), np.int64)
+        short = np.flatnonzero(end - start <= REMEMBERED)
+        number[short] = self._short(data, start[short], end[short])
+        number[long] = self._alone(data, start[long], end[long])
+        return number
+
+    def _alone(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        known = self.known
+        self._add(*self._plain([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist(), strict=True)]))
+        return known + np.arange(len(start))
+
+    def _short(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         if not len(start):
             return np.zeros(0, np.int64)
         low = int(start[0])
-        part = data[low : int(end[-1])].astype(np.uint64) + np.uint64(1)
-        h = mix(rolling(part, start - low, end - low) ^ mix((end - start).astype(np.uint64)))
+        part = data[low : int(end[-1])]
+        h, h2 = span_hashes(part, start - low, end - low, 1), span_hashes(part, start - low, end - low, 2)
         slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
         number = self.number[slot].astype(np.int64)
-        lost = np.flatnonzero((self.key[slot] != h) | (number < 0))
+        lost = np.flatnonzero((self.key[slot] != h) | (self.check[slot] != h2) | (number < 0))
         if len(lost):
             new, first, which = np.unique(h[lost], return_index=True, return_inverse=True)
             where = lost[first]
@@ -117,11 +134,14 @@ class Encoder:
             new, where, which, inline = new[order], where[order], place[which], int(row.sum())
             known = self.known
             self._add(*self._row(data, start[where[:inline]], end[where[:inline]]))
-            self._add(*self._plain([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[where[inline:]].tolist(), end[where[inline:]].tolist(), strict=True)]))
+            self._alone(data, start[where[inline:]], end[where[inline:]])
             number[lost] = known + which
-            at = slot[where]  # a slot that two new pieces want goes to one of them, key and number alike
+            other = lost[h2[lost] != h2[where[which]]]  # of the same first hash, and yet another piece
+            if len(other):
+                number[other] = self._alone(data, start[other], end[other])
+            at = slot[where]  # a slot that two new pieces want goes to one of them, keys and number alike
             at, one = np.unique(at, return_index=True)
-            self.key[at], self.number[at] = new[one], known + one
+            self.key[at], self.check[at], self.number[at] = new[one], h2[where[one]], known + one
         return number
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcweave import cluster
-from arcweave.llm.words import mix, pieces, rolling, text_buffer
+from arcweave.llm.words import pieces, span_hashes, text_buffer
 
 #: Labelled rows that a model is fitted on, at most: those with the smallest hash of their doc_id.
 SAMPLE = 20_000
@@ -71,12 +71,12 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         end[edge - 1] = inside[edge - 1]
         start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
         owner = np.searchsorted(offsets, start + at, "right") - 1
-        values = data[at:to].astype(np.uint64) + np.uint64(1)
+        values = data[at:to]
         for k in _PREFIXES:
             ok = slice(None) if k == 0 else np.flatnonzero(end - start >= k)
             s = start[ok]
             e = end[ok] if k == 0 else s + k
-            keys.append(mix(rolling(values, s, e) + np.uint64(k * 7919 + 1)))
+            keys.append(span_hashes(values, s, e, k))
             owners.append(owner[ok])
         at = to
     return np.concatenate(keys), np.concatenate(owners)

@@ -3,8 +3,9 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from arcweave.llm import minhash
+from arcweave.llm import minhash, similar
 from arcweave.llm.words import text_buffer
 
 
@@ -93,8 +94,18 @@ def test_near_duplicates_by_bands(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_pairs_in_large_buckets_are_found(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "_banded", lambda batches: (pa.RecordBatch.from_arrays([b.column("node"), pa.array([[1] * minhash.BANDS] * b.num_rows, pa.list_(pa.int64()))], names=["node", "bands"]) for b in batches))
+def same_bands_of(banded, batches):
+    """All texts in one bucket a band."""
+    for b in banded(batches):
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*similar.KEY, "size")), pa.array([[1] * minhash.BANDS] * b.num_rows, pa.list_(pa.int64()))], names=b.schema.names)
+
+
+@pytest.mark.parametrize(("finer", "hot"), [(1024, 2000), (64, 2000), (64, 1)])
+def test_pairs_in_large_buckets_are_found(spark, monkeypatch, finer, hot):
+    banded = minhash._banded
+    monkeypatch.setattr(minhash, "_banded", lambda batches: same_bands_of(banded, batches))
+    monkeypatch.setattr(similar, "FINER", finer)
+    monkeypatch.setattr(similar, "HOT", hot)
     rng = random.Random(4)
     rows = []
     for _ in range(150):  # pairs of near copies that share all buckets with 298 other texts
