@@ -117,22 +117,20 @@ def with_edits(docs: DataFrame) -> DataFrame:
     range before it, so that a task sees each row's next; which rows these are takes one number per range.
     """
     spark = docs.sparkSession
-    n = cluster.shuffle_partitions(spark)
     least = -(1 << 63)
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    rows, _ = cluster.id_buckets(rows, "doc_id", n)
+    rows, n = cluster.ranged(rows, "doc_id", cluster.shuffle_partitions(spark))
     rows = rows.withColumn("_order", F.coalesce("doc_id", F.lit(least)))
     found = sorted(((r["_bucket"], r["_order"]) for r in rows.groupBy("_bucket").agg(F.max("_order").alias("_order")).collect()), reverse=True)
     heads = spark.createDataFrame([(b, o, found[i - 1][0]) for i, (b, o) in enumerate(found)], "_bucket int, _order long, _before int")
     sent = F.when(F.col("_before").isNull(), F.array(F.struct(F.col("_bucket").alias("r"), F.lit(False).alias("h")))).otherwise(
         F.array(F.struct(F.col("_bucket").alias("r"), F.lit(False).alias("h")), F.struct(F.col("_before").alias("r"), F.lit(True).alias("h")))
     )
-    keys = F.array(*[F.lit(k).cast("bigint") for k in cluster.balanced_keys(spark, n)])
     return (
         rows.join(F.broadcast(heads), ["_bucket", "_order"], "left")  # at most a row for each range
         .select("doc_id", "text", "_order", F.explode(sent).alias("s"))
         .select("doc_id", "text", "_order", F.col("s.r").alias("_range"), F.col("s.h").alias("_head"))
-        .repartition(n, F.element_at(keys, F.col("_range") + 1))
+        .repartitionById(n, F.col("_range"))
         .sortWithinPartitions("_range", "_head", F.col("_order").desc(), F.col("doc_id").desc_nulls_last(), "text")
         .select("doc_id", "text", "_range", "_head")
         .mapInArrow(_edited, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -1,6 +1,6 @@
 """Mixing sources to target weights: shares of words, repetition rates, and copies by a hash-seeded draw.
 
-DataFrame functions only. Texts are counted where they are read and never move; what is grouped is one row per source.
+DataFrame functions only. Texts are counted where they are read and don't move; what is grouped is one row per source.
 """
 
 from __future__ import annotations
@@ -92,45 +92,45 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     One row per input row; needs doc_id, text and source, and leaves other columns aside. size is the number of words;
     a null text has none. A source's rate is target / source_size; a document gets floor(rate) copies and one more if
     its draw is below the fraction. The draw depends on seed and doc_id alone, so that reruns agree; rows that share
-    a doc_id share its fate. For each source the draw is turned by that multiple of 1/32 whose words come nearest to
-    the target (the smallest of equals), which leaves each document's probability as it is. A source without words
-    has target 0 and no copies. Null is a source of its own, the last. An empty table gives an empty one.
+    a doc_id share its fate. Each source's draws are turned around the circle by one of 32 multiples of 1/32: the one
+    whose words come nearest to the target (the smallest of equals). Each turn by itself is a fair draw; choosing
+    among them by outcome trades a little of that for a total near the target. A source without words has target 0
+    and no copies. Null is a source of its own, the last. An empty table gives an empty one.
     """
-    sized = cluster.staged(docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size")), "sizes")
-    return _mixed(sized, weights, share, most, seed)
+    sized = cluster.staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    planned = _attach(sized, _plan(sized, weights, share, most, seed), ["source_size", "target", "rate", "turn"])
+    copies = planned.withColumn("copies", _taken(seed))
+    return copies.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
 
+def _taken(seed: str) -> Column:
+    """Copies of a row with doc_id, rate and turn."""
+    return _copies(F.col("rate"), _turned(draw(F.col("doc_id"), seed), F.col("turn")))
 
-def _mixed(sized: DataFrame, weights, share, most, seed) -> DataFrame:
-    targets = cluster.checkpointed(source_targets(sized, weights, share, most))
+
+def _plan(sized: DataFrame, weights, share, most, seed) -> DataFrame:
+    """A row for each source: source, source_size, target, rate, turn."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rated = _attach(sized, targets.withColumn("rate", rate), ["source_size", "target", "rate"]).withColumn("u", draw(F.col("doc_id"), seed))
+    targets = cluster.checkpointed(source_targets(sized, weights, share, most).withColumn("rate", rate))
+    rated = _attach(sized, targets, ["source_size", "target", "rate"]).withColumn("u", draw(F.col("doc_id"), seed))
     tried = rated.groupBy("source").agg(
-        F.first("target").alias("target"), *[F.sum(F.col("size") * _copies(F.col("rate"), _turned(F.col("u"), k))).alias(f"t{k}") for k in range(TURNS)]
+        *[F.first(c).alias(c) for c in ("source_size", "target", "rate")],
+        *[F.sum(F.col("size") * _copies(F.col("rate"), _turned(F.col("u"), k))).alias(f"t{k}") for k in range(TURNS)],
     )
     miss = F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("d"), F.lit(k).alias("turn")) for k in range(TURNS)])
-    turns = cluster.checkpointed(tried.select("source", F.array_min(miss)["turn"].alias("turn")))
-    copies = _copies(F.col("rate"), _turned(F.col("u"), F.col("turn")))
-    return (
-        _attach(rated, turns, ["turn"])
-        .withColumn("copies", copies)
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
-    )
+    return cluster.checkpointed(tried.select("source", "source_size", "target", "rate", F.array_min(miss)["turn"].alias("turn")))
 
 
 def emit(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
     """The mix itself: the rows of ``docs``, all columns, each as often as ``mix`` takes it.
 
-    Each source's rate and turn come from ``mix``'s plan; they are applied where a document is read, so that texts
-    aren't shuffled. Cases as in ``mix``.
+    Each source's rate and turn come from ``mix``'s plan, a row for each source; they are applied where a document is
+    read, so that texts aren't shuffled (beyond BROADCAST_SOURCES sources they are, once). Cases as in ``mix``.
     """
     sized = cluster.staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    taken = _mixed(sized, weights, share, most, seed)
-    # doc_id and source decide, so one row for each pair says it for all rows that share them.
-    copies = taken.groupBy("doc_id", "source").agg(F.max("copies").alias("copies"))
-    left = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("d"), F.col("source").alias("s"))
-    on = F.col("d").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source"))
-    joined = left.join(copies, on).select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-    return joined.select("row.*")
+    plan = _plan(sized, weights, share, most, seed)
+    planned = _attach(docs.select(F.struct("*").alias("row"), "doc_id", "source"), plan, ["rate", "turn"])
+    return planned.select("row", F.explode(F.array_repeat(F.lit(0), _taken(seed).cast("int")))).select("row.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 The field labels tokens (letters, digits, or one other sign) with begin and inside of each kind. Its features are word
 shapes of a token and its neighbours and a few cue words. It is trained by forward-backward from a small labelled
-table and decoded by Viterbi over batches of stretches of text. A span holds a digit, an @ or a spelled-out dot, so
-only stretches around these are decoded, in every whole text; what it finds must pass its kind's check and touch no
-exact span.
+table and decoded by Viterbi over batches of stretches of text. A span that its kind's check lets pass holds a digit,
+an @ or a spelled-out at with a host and a dot behind it, so only stretches around these are decoded, in every whole
+text: from 60 characters before such a place to 60 behind it, and on to white space. A span lies in one stretch; it
+must pass its check and touch no exact span.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcweave import cluster
 from arcweave.llm.words import pieces
 
 KINDS = ("email", "ip", "card", "phone")
@@ -80,8 +82,12 @@ def exact(text: str) -> list[Span]:
 
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
+_DOT = r"(?:\.|(?<!\w)(?:dot|punkt|punto|point)(?!\w))"
+#: The at of an address: @, or a spelled one with a word, a dot of some kind and another word behind it.
+_AT = re.compile(rf"@|(?<!\w)(?:at|arroba)(?!\w)[^\w@]{{1,4}}[\w-]{{1,63}}[^\w@]{{0,3}}{_DOT}[^\w@]{{0,3}}\w", re.I)
+_DOTTED = re.compile(_DOT, re.I)
 _TRIGGER = re.compile(r"[0-9@]")
-_SPELLED = re.compile(r"\b(?:dot|punkt|punto|point)\b", re.I)
+_SPELLED = re.compile(r"(?<!\w)(?:at|arroba)(?!\w)", re.I)
 _REACH = 60
 # Words that the field may tell apart; all others are known by their shape.
 _CUES = frozenset(
@@ -137,7 +143,7 @@ def labelled_table(rows: int = 650, seed: int = 9) -> list[tuple[str, list[Span]
     def spell(kind: str) -> str:
         if kind == "email":
             name, host, top = word() + rng.choice(["", digits(2), "." + word()]), word(), rng.choice(["com", "org", "net", "de", "example.com"])
-            at, dot = rng.choice([("@", "."), (" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" AT ", " DOT "), (" @ ", " . "), ("[at]", "[dot]"), (" at ", " punkt "), (" arroba ", " punto ")])
+            at, dot = rng.choice([("@", "."), (" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" AT ", " DOT "), (" @ ", " . "), ("[at]", "[dot]"), (" at ", "."), (" [at] ", "."), ("(at)", "."), (" at ", " punkt "), (" arroba ", " punto ")])
             return f"{name.replace('.', dot if at != '@' and rng.random() < 0.5 else '.')}{at}{host}{dot}{top.replace('.', dot)}"
         if kind == "ip":
             return rng.choice([".", ".", " . ", "[.]", "(.)"]).join(str(rng.randrange(1, 256)) for _ in range(4))
@@ -201,9 +207,9 @@ def labelled_table(rows: int = 650, seed: int = 9) -> list[tuple[str, list[Span]
 def _stretches(text: str) -> list[tuple[int, int]]:
     """Parts of a text, cut at white space, that a span could lie in."""
     found = [m.start() for m in _TRIGGER.finditer(text)]
-    low = text.lower() if len(text) < 1 << 26 else text
-    if any(x in low for x in ("dot", "punkt", "punto", "point")):
-        found = sorted(found + [m.start() for m in _SPELLED.finditer(text)])
+    spelled = [m.start() for m in _SPELLED.finditer(text) if _AT.match(text, m.start())]
+    if spelled:
+        found = sorted(found + spelled)
     out: list[list[int]] = []
     for p in found:
         if out and p < out[-1][1]:
@@ -231,11 +237,6 @@ def _tokens(text: str, a: int, b: int) -> list[tuple[int, int]]:
     return [m.span() for m in _TOKEN.finditer(text, a, b)]
 
 
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 class Field:
     """A trained field: weights of (feature, label) and of (label, next label)."""
 
@@ -293,11 +294,17 @@ _START = np.array([0.0 if x[0] in "OB" else -1e9 for x in LABELS])
 _ALLOWED = np.array([[0.0 if b[0] in "OB" or a[2:] == b[2:] and a != "O" else -1e9 for b in LABELS] for a in LABELS])
 
 
-def train(table: list[tuple[str, list[Span]]], steps: int = 100, rate: float = 0.15, ridge: float = 1e-3) -> Field:
-    """Maximum likelihood by forward-backward and Adam over a table of (text, spans)."""
+def train(table: list[tuple[str, list[Span]]], steps: int = 80, rate: float = 0.15, ridge: float = 1e-3) -> Field:
+    """Maximum likelihood by forward-backward and Adam over a table of (text, spans).
+
+    Longest sentences first, so that those still running at a place are the first rows; forward and backward values
+    are kept to a sum of 1 at each place.
+    """
     sequences, golds = [], []
     for text, spans in table:
         at = _tokens(text, 0, len(text))
+        if not at:
+            continue
         glued = [i > 0 and at[i - 1][1] == a for i, (a, _) in enumerate(at)]
         gold = []
         for a, b in at:
@@ -305,62 +312,61 @@ def train(table: list[tuple[str, list[Span]]], steps: int = 100, rate: float = 0
             gold.append(0 if inside is None else LABELS.index(("B-" if a == inside[1] else "I-") + inside[0]))
         sequences.append(_features([text[a:b] for a, b in at], glued))
         golds.append(gold)
+    order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
+    sequences, golds = [sequences[i] for i in order], [golds[i] for i in order]
     seen: dict[str, int] = {}
     for s in sequences:
         for f in s:
             for x in f:
                 seen[x] = seen.get(x, 0) + 1
     index = {x: i for i, x in enumerate(sorted(x for x, n in seen.items() if n >= 2))}
-    b, t, m = len(sequences), max(map(len, sequences)), len(LABELS)
-    n = np.array(list(map(len, sequences)))
-    live = np.arange(t)[None, :] < n[:, None]
-    gold = np.zeros((b, t), np.int64)
-    where, which = [], []
-    for r, (s, g) in enumerate(zip(sequences, golds, strict=True)):
-        gold[r, : len(g)] = g
-        for c, f in enumerate(s):
-            for x in f:
-                if x in index:
-                    where.append(r * t + c)
-                    which.append(index[x])
-    where, which = np.array(where), np.array(which)
+    m, n = len(LABELS), np.array(list(map(len, sequences)))
+    b, t = len(n), int(n.max())
+    live = [int((n > i).sum()) for i in range(t)]  # the rows that reach place i
+    base = np.concatenate([[0], np.cumsum(live)])  # tokens lie place by place
+    place = [[int(base[c]) + r for c in range(k)] for r, k in enumerate(n.tolist())]
+    where = np.array([p for r, s in enumerate(sequences) for p, f in zip(place[r], s, strict=True) for x in f if x in index])
+    which = np.array([index[x] for s in sequences for f in s for x in f if x in index])
     order = np.argsort(which, kind="stable")
     by_feature, cuts = where[order], np.searchsorted(which[order], np.arange(len(index)))
     order = np.argsort(where, kind="stable")
     by_place, filled = which[order], np.unique(where)
     starts = np.searchsorted(where[order], filled)
-    target_emit = np.zeros((b * t, m))
-    rows, columns = np.nonzero(live)
-    target_emit[rows * t + columns, gold[rows, columns]] = 1
-    pair = live[:, 1:]
+    want = np.zeros((int(n.sum()), m), np.float32)
     target_move = np.zeros((m, m))
-    np.add.at(target_move, (gold[:, :-1][pair], gold[:, 1:][pair]), 1)
-    emit, move = np.zeros((len(index), m)), np.zeros((m, m))
+    for r, g in enumerate(golds):
+        want[place[r], g] = 1
+        np.add.at(target_move, (g[:-1], g[1:]), 1)
+    emit, move = np.zeros((len(index), m), np.float32), np.zeros((m, m))
     moments = [np.zeros_like(emit), np.zeros_like(emit), np.zeros_like(move), np.zeros_like(move)]
+    head = np.exp(_START)
     for step in range(1, steps + 1):
-        score = np.zeros((b * t, m))
+        score = np.zeros((len(want), m), np.float32)
         score[filled] = np.add.reduceat(emit[by_place], starts)
-        score = score.reshape(b, t, m)
-        way = move + _ALLOWED
-        forward = np.zeros((b, t, m))
-        forward[:, 0] = score[:, 0] + _START
+        score -= score.max(axis=1, keepdims=True)
+        odds, way = np.exp(score.astype(float)), np.exp(move + _ALLOWED)
+        forward, backward, scale = np.empty_like(odds), np.ones_like(odds), np.ones(len(odds))
+        for i in range(t):
+            s = slice(base[i], base[i + 1])
+            x = odds[s] * (head if i == 0 else forward[base[i - 1] : base[i - 1] + live[i]] @ way)
+            scale[s] = x.sum(axis=1)
+            forward[s] = x / scale[s, None]
+        after = np.zeros_like(odds)  # for tokens that aren't the first: odds x backward / scale
+        for i in range(t - 1, 0, -1):
+            s = slice(base[i], base[i + 1])
+            after[s] = odds[s] * backward[s] / scale[s, None]
+            backward[base[i - 1] : base[i - 1] + live[i]] = after[s] @ way.T
+        chance = (forward * backward).astype(np.float32)
+        grad = np.add.reduceat((chance - want)[by_feature], cuts) / b + ridge * emit
+        turn = np.zeros((m, m))
         for i in range(1, t):
-            new = _log_sum(forward[:, i - 1, :, None] + way[None], 1) + score[:, i]
-            forward[:, i] = np.where(live[:, i, None], new, forward[:, i - 1])
-        backward = np.zeros((b, t, m))
-        for i in range(t - 2, -1, -1):
-            new = _log_sum(way[None] + (score[:, i + 1] + backward[:, i + 1])[:, None, :], 2)
-            backward[:, i] = np.where(live[:, i + 1, None], new, 0.0)
-        total = _log_sum(forward[:, -1], 1)
-        chance = np.exp(forward + backward - total[:, None, None]) * live[:, :, None]
-        grad = np.add.reduceat((chance.reshape(-1, m) - target_emit)[by_feature], cuts) / b + ridge * emit
-        joint = forward[:, :-1, :, None] + way[None, None] + (score[:, 1:] + backward[:, 1:])[:, :, None, :] - total[:, None, None, None]
-        turn = (np.exp(joint) * pair[:, :, None, None]).sum(axis=(0, 1))
+            turn += forward[base[i - 1] : base[i - 1] + live[i]].T @ after[base[i] : base[i + 1]]
+        turn *= way
         for w, g, k in ((emit, grad, 0), (move, (turn - target_move) / b + ridge * move, 2)):
             moments[k] = 0.9 * moments[k] + 0.1 * g
             moments[k + 1] = 0.99 * moments[k + 1] + 0.01 * g * g
             w -= rate * (moments[k] / (1 - 0.9**step)) / (np.sqrt(moments[k + 1] / (1 - 0.99**step)) + 1e-8)
-    return Field(index, emit, move + _ALLOWED)
+    return Field(index, emit.astype(float), move + _ALLOWED)
 
 
 @lru_cache(maxsize=2)
@@ -372,7 +378,7 @@ def _valid(kind: str, text: str) -> bool:
     digits = _digits(text)
     if kind == "email":
         host = re.search(r"\b(?:at|arroba)\b\W+(\w+)", text, re.I)
-        return not (host and host[1].lower() in _NO_HOST) and bool(re.search(r"@|\bat\b|\barroba\b", text, re.I) and re.search(r"\.|\bdot\b|\bpunkt\b|\bpunto\b|\bpoint\b", text, re.I)) and len(_TOKEN.findall(text)) >= 5
+        return not (host and host[1].lower() in _NO_HOST) and bool(_AT.search(text) and _DOTTED.search(text)) and len(_TOKEN.findall(text)) >= 5
     if kind == "ip":
         parts = _DIGITS.findall(text)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -423,6 +429,7 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     One row per input row, with its doc_id, null or not; a null text is an empty one. Other columns are left aside.
     """
+    cluster.ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field or default_field())  # as large as the training table makes it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -445,6 +452,7 @@ def mask(text: str, spans: list[Span]) -> str:
 
 def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, with what ``find`` finds in ``text`` masked; a null text stays null."""
+    cluster.ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field or default_field())
     schema = docs.schema
     place = next(i for i, f in enumerate(schema.fields) if f.name == "text")

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,7 +160,7 @@ def _counted(chosen: Chosen | None):
 
 
 def _rows(chosen: Chosen):
-    """Per row (y, text): places of its chosen features, and of those of its counterfactual if it has one."""
+    """Per row (y, text): places of its chosen features, and of those of its counterfactual if it has one, and a hash of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, _PIECE):
@@ -169,7 +171,9 @@ def _rows(chosen: Chosen):
                 owner, at = chosen.present(side)
                 cut = np.searchsorted(owner, np.arange(len(texts) + 1))
                 lists.append([None if t is None and side is other else at[a:b].astype(np.int32).tolist() for t, a, b in zip(side, cut[:-1], cut[1:], strict=True)])
-            yield pa.RecordBatch.from_arrays([piece.column("y"), pa.array(lists[0], pa.list_(pa.int32())), pa.array(lists[1], pa.list_(pa.int32()))], names=["y", "has", "swapped"])
+            mark = [xxhash.xxh3_64_intdigest(repr(pair)) >> 1 for pair in zip(*lists, strict=True)]
+            columns = [piece.column("y"), pa.array(lists[0], pa.list_(pa.int32())), pa.array(lists[1], pa.list_(pa.int32())), pa.array(mark, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["y", "has", "swapped", "mark"])
 
     return run
 
@@ -187,14 +191,24 @@ def _informative(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.n
 
 def train(rows: list[tuple[int, list[int], list[int] | None]], keys: np.ndarray) -> Model:
     """rows: label, places of features, places in the counterfactual or None."""
-    y = np.array([r[0] for r in rows], float)
-    if not len(rows) or y.min() == y.max():
-        rate = (y.sum() + 0.5) / (len(y) + 1) if len(rows) else 0.0
+    lists = lambda i: pa.array([r[i] for r in rows], pa.list_(pa.int32()))
+    return _train(np.array([r[0] for r in rows], float), lists(1), lists(2), keys)
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the value of every element; null lists have none."""
+    n = np.array(pc.fill_null(pc.list_value_length(lists), 0))
+    return np.repeat(np.arange(len(lists)), n), np.array(lists.flatten()).astype(np.int64)
+
+
+def _train(y: np.ndarray, has: pa.ListArray, other: pa.ListArray, keys: np.ndarray) -> Model:
+    if not len(y) or y.min() == y.max():
+        rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.0
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6))))
-    flat = lambda i, pick: (np.repeat(np.arange(len(pick)), [len(r[i]) for r in pick]), np.array([x for r in pick for x in r[i]], np.int64))
-    doc, at = flat(1, rows)
-    pairs = [r for r in rows if r[2] is not None]
-    (p1, a1), (p2, a2) = flat(1, pairs), flat(2, pairs)
+    doc, at = _flat(has)
+    paired = other.is_valid()
+    (p1, a1), (p2, a2) = _flat(has.filter(paired)), _flat(other.filter(paired))
+    pairs = int(pc.sum(paired).as_py() or 0)
     # A mention: the features of each identity term, whose weights should come to nothing.
     mention, term = Chosen(keys).present(list(_SWAP))
     weight = np.where(y == 1, _POSITIVE, 1.0)
@@ -209,8 +223,8 @@ def train(rows: list[tuple[int, list[int], list[int] | None]], keys: np.ndarray)
         g = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * weight
         grad = np.bincount(a_, g[d_], minlength=len(w)) + _RIDGE * w
         if pairs:
-            d = np.bincount(p1, w[a1], minlength=len(pairs)) - np.bincount(p2, w[a2], minlength=len(pairs))
-            grad += 2 * _COUNTERFACTUAL / len(pairs) * (np.bincount(a1, d[p1], minlength=len(w)) - np.bincount(a2, d[p2], minlength=len(w)))
+            d = np.bincount(p1, w[a1], minlength=pairs) - np.bincount(p2, w[a2], minlength=pairs)
+            grad += 2 * _COUNTERFACTUAL / pairs * (np.bincount(a1, d[p1], minlength=len(w)) - np.bincount(a2, d[p2], minlength=len(w)))
         if len(term):
             d = np.bincount(mention, w[term], minlength=len(_SWAP))
             grad += 2 * _COUNTERFACTUAL / len(_SWAP) * np.bincount(term, d[mention], minlength=len(w))
@@ -245,12 +259,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     order = order[told[order] >= LEAST_TOLD][:FEATURES]
     terms, _ = features(list(_SWAP))
     keys = np.union1d(found["key"].to_numpy(np.int64)[order].view(np.uint64), terms)
-    got = rows.mapInArrow(_rows(Chosen(keys)), "y int, has array<int>, swapped array<int>").collect()
-    return train(sorted(((r["y"], r["has"], r["swapped"]) for r in got), key=lambda r: (r[0], r[1], r[2] or [])), keys)
+    got = rows.mapInArrow(_rows(Chosen(keys)), "y int, has array<int>, swapped array<int>, mark long").toArrow()
+    got = got.take(pa.array(np.lexsort((np.array(got.column("mark")), np.array(got.column("y"))))))  # whatever order they came in
+    y, has, other = (got.column(c).combine_chunks() for c in ("y", "has", "swapped"))
+    return _train(np.array(y, float), has, other, keys)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and ``_score``: the probability that the text is toxic. A null text is an empty one."""
+    """The columns ``keep`` and ``_score``: the probability that the text is toxic. A null text is an empty one.
+
+    ``_score`` and ``_text`` are names of this function: columns of ``docs`` that have them stay behind.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

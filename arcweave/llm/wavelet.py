@@ -28,8 +28,9 @@ from arcweave.llm.tokens import encoder
 from arcweave.llm.words import pieces, text_buffer
 
 MAGIC = b"AWWM1\n\0\0"
-#: Tokens after which a shard's file is closed, and bytes of text that a range of doc_ids has on average.
-FILE_TOKENS, RANGE_BYTES = 8_000_000, 24 << 20
+#: Tokens after which a shard's file is closed, bytes of text that a range of doc_ids has on average, and the most ranges
+#: there are (one number for each on the driver, a row for each in one task).
+FILE_TOKENS, RANGE_BYTES, RANGES = 8_000_000, 24 << 20, 1 << 16
 
 
 def _filter(values: np.ndarray, bits: np.ndarray, n: int) -> np.ndarray:
@@ -246,10 +247,8 @@ def write_files(docs: DataFrame, spec: str, folder: str, end: int = 0) -> DataFr
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     total = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    n = max(1, min(max(cluster.shuffle_partitions(spark), total["bytes"] // RANGE_BYTES), total["n"]))
-    ranged, _ = cluster.id_buckets(docs, "doc_id", n)
-    keys = F.array(*[F.lit(k).cast("bigint") for k in cluster.balanced_keys(spark, n)])
-    ordered = ranged.repartition(n, F.element_at(keys, F.col("_bucket") + 1)).sortWithinPartitions("_bucket", F.col("doc_id").asc_nulls_first())
+    ranged, n = cluster.ranged(docs, "doc_id", max(1, min(max(cluster.shuffle_partitions(spark), total["bytes"] // RANGE_BYTES), total["n"], RANGES)))
+    ordered = ranged.repartitionById(n, F.col("_bucket")).sortWithinPartitions("_bucket", F.col("doc_id").asc_nulls_first())
     shared = spark.sparkContext.broadcast(spec)  # a tokenizer file: a few megabytes, whatever the corpus
     files = cluster.checkpointed(ordered.mapInArrow(_write(shared, end, folder), "bucket long, part long, file string, documents long, tokens long"))
     before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)

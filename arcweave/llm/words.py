@@ -175,14 +175,6 @@ def windows(first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(first[:-1] - (np.cumsum(n) - n), n) + np.arange(len(document)), document
 
 
-def window_hashes(words: np.ndarray, first: np.ndarray, length: int, base: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rabin-Karp hashes (below 2**61) of all windows of ``length`` words that lie in one document: hash, first word, document."""
-    start, document = windows(first, length)
-    if not len(start):
-        return np.zeros(0, np.uint64), start, document
-    return rolling(words, length, base)[start], start, document
-
-
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all k-word shingles in a row, and where each text's begin. Fewer words make one shingle, none make none."""
     words, first = word_hashes(data, offsets)

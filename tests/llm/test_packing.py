@@ -9,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from arcweave.llm import packing
+from test_words import thue_morse
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -42,7 +43,7 @@ def test_islands_keep_every_item_once_and_improve(seed):
 def test_pieces_fill_sequences(spark, spec, monkeypatch, items):
     monkeypatch.setattr(packing, "SHARD_ITEMS", items)
     rng = random.Random(2)
-    texts = ["", None, "a"] + [" ".join(rng.choice(["the", "éa", "word", "x!!"]) for _ in range(rng.choice([0, 3, 20, 63, 64, 65, 200]))) for _ in range(200)]
+    texts = ["", None, "a", *thue_morse(4096)] + [" ".join(rng.choice(["the", "éa", "word", "x!!"]) for _ in range(rng.choice([0, 3, 20, 63, 64, 65, 200]))) for _ in range(200)]
     rows = [(i % 190 if i % 50 else None, t) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1L as item", "2L as length")
     got = packing.pack(docs, spec, 64, 2, keep_ids=True).collect()

@@ -66,6 +66,28 @@ def test_field_on_a_table_it_has_not_seen():
     assert hit >= 0.93 * all_ and extra <= 0.03 * all_
 
 
+def test_stretches_hold_every_place_that_a_span_needs():
+    rng = random.Random(3)
+    parts = ["at", "At", "arroba", "dot", "punto", ".", " ", " ", "[", "]", "(", ")", "-", "host", "com", "noon", "a", "é", "@", "7", "\n", "x" * 70]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(30)))
+        stretches = pii._stretches(text)
+        places = [m.start() for m in pii._AT.finditer(text)] + [m.start() for m in re.finditer("[0-9]", text)]
+        assert all(any(a <= p < b for a, b in stretches) for p in places), text
+        assert all(a < b for a, b in stretches) and all(x[1] < y[0] for x, y in itertools.pairwise(stretches))
+    # And what passes a kind's check has such a place.
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        if any(pii._valid(kind, text) for kind in pii.KINDS):
+            assert pii._stretches(text), text
+
+
+@pytest.mark.parametrize("text", ["mail john at example.com now", "jo [at] mail.example.org", "ann(at)host.de"])
+def test_spelled_at_with_a_plain_dot(text):
+    ((kind, a, b),) = pii.added([text], [pii.exact(text)], pii.default_field())[0]
+    assert kind == "email" and text[b - 1] in "gem" and "at" in text[a:b]
+
+
 @pytest.mark.parametrize("text", ["version 3.0 of 2019-01-02 at 12:30:45", "meet me at noon dot dot", "", 'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"', "1234567890123456"])
 def test_clean_texts_stay(text):
     assert pii.added([text], [pii.exact(text)], pii.default_field()) == [[]]

@@ -115,3 +115,41 @@ def assert_packed(docs, packed):
 def test_run(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert rows and {"doc_id", "piece", "sequence_id", "offset"} <= set(rows[0].asDict())
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Nulls everywhere, repeated rows, a very long text, and columns whose names the stages use inside."""
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60_000))
+    rows = [(1, "one two three four five six", "en", "a"), (1, "one two three four five six", "en", "a"), (None, "no id at all here", "en", "a"), (None, None, None, None)]
+    rows += [(2, None, "en", "b"), (3, "", "en", "b"), (3, "other text of the same id", "en", None), (4, long, "de", "c"), (5, long + " end", "de", "c"), (6, " \n\t", "fr", "a")]
+    path = tmp_path_factory.mktemp("odd")
+    df = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df.selectExpr("*", "'r' as row", "1L as node", "2 as bands", "3 as copies", "4L as item", "5 as _score", "6 as h1").write.parquet(str(path / "documents.parquet"))
+    spark.createDataFrame([(1, None, 0), (None, 1, 1), (2, 1, None), (9, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(path / "labels.parquet"))
+    return str(path)
+
+
+def test_odd_rows_go_through_all_stages(spark, odd):
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    seen = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, odd)
+        if name != "packing":
+            assert out.columns == docs.columns
+            docs = spark.createDataFrame(out.collect(), docs.schema)
+        seen.append(out.collect())
+    toxicity, single, masked, mixed, packed = seen
+    assert len(toxicity) == 10  # labels of one kind: no text is rejected
+    # One row of (1, text); null and empty texts are one; the long texts are near copies; a text of white space has no words, either.
+    assert sorted((r.doc_id if r.doc_id is not None else -1, (r.text or "")[:12]) for r in single) == [(-1, "no id at all"), (1, "one two thre"), (2, ""), (3, "other text o"), (4, next(r.text for r in single if r.doc_id == 4)[:12])]
+    assert len(masked) == len(single) and next(r for r in masked if r.doc_id == 2).text is None
+    assert all(r.row == "r" and r._score == 5 and r.h1 == 6 for r in mixed)
+    assert_packed([(r.doc_id, r.text) for r in mixed], packed)
+
+
+def test_no_rows(spark, odd):
+    docs = spark.read.parquet(f"{odd}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, odd).count() == 0

@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from arcweave.llm import substring
+from test_words import thue_morse
 
 
 def brute(rows, n):
@@ -24,9 +26,10 @@ def brute(rows, n):
     return out
 
 
-@pytest.mark.parametrize("block", [8 << 20, 300])
-def test_agrees_with_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "fan"), [(8 << 20, 512), (300, 512), (300, 6), (300, 2)])
+def test_agrees_with_brute_force(spark, monkeypatch, block, fan):
     monkeypatch.setattr(substring, "BLOCK_BYTES", block)
+    monkeypatch.setattr(substring, "FAN", fan)
     rng = random.Random(5)
     passage = [f"p{i}" for i in range(12)]
     rows = [(9, None), (8, ""), (7, "a\tb\nc\x0bd\x1fe  f"), (None, " ".join(passage)), (None, " ".join(passage))]
@@ -50,3 +53,18 @@ def test_long_text_and_empty_table(spark):
     got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.dedup_substrings(docs).collect()}
     assert got == {1: (200_000, 0), 2: (200_000, 200_000)}
     assert substring.dedup_substrings(docs.limit(0)).count() == 0
+
+
+def test_regular_words_are_told_apart(spark):
+    a, b = thue_morse(4096)
+    rows = [(1, " ".join([a] * 8)), (2, " ".join([b] * 8)), (3, " ".join([b] * 6 + [a] * 6))]
+    got = {r.doc_id: r.n_removed for r in substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), 6).collect()}
+    assert got == {1: 0, 2: 0, 3: 12}
+
+
+def test_windows_that_share_a_hash(monkeypatch):
+    h, x = np.array([5, 3, 5, 5, 3], np.uint64), np.array([2, 1, 1, 2, 1], np.uint32)
+    order, new = substring._order(h, x)
+    pairs = list(zip(h[order].tolist(), x[order].tolist(), strict=True))
+    assert pairs == [(3, 1), (3, 1), (5, 1), (5, 2), (5, 2)] and new.tolist() == [0, 2, 3] and order.tolist() == [1, 4, 2, 0, 3]
+    assert [a.tolist() for a in substring._order(h[:0], x[:0])] == [[], []]

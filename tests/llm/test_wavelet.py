@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 from arcweave import cluster
 from arcweave.llm import tokens, wavelet
 from arcweave.llm.words import text_buffer
+from test_words import thue_morse
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -28,7 +29,7 @@ def odd_texts(n, seed=1):
 def test_encoder_gives_the_library_s_ids(spec):
     import pyarrow as pa
 
-    texts = odd_texts(4000)
+    texts = odd_texts(4000) + [t for n in (16, 64, 256, 4096) for t in thue_morse(n)]
     library = Tokenizer.from_file(PATH)
     library.encode_special_tokens = True
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
