@@ -8,6 +8,8 @@ import zipfile
 from contextlib import contextmanager
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,10 +70,20 @@ def _shuffles_dropped(spark: SparkSession):
 def staged(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write a table into the shared folder and read it back: the lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
+    ship(spark)
     path = new_folder(spark, label)
     with _shuffles_dropped(spark):
         df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing will read again; others are left as they are."""
+    for t in tables:
+        if path := getattr(t, "_staged_at", None):
+            remove(t.sparkSession, path)
 
 
 #: Rows that a partition of a small table may have before it is written by more tasks.
@@ -100,11 +112,18 @@ def join_ids(left: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFr
 
 
 _shipped: set[str] = set()
+#: Bytes of a batch that goes to a Python worker, in place of Spark's 64 MB: a worker holds several copies of it.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for an application, where they may not have it installed."""
+    """Send this package to the executors, once for an application, where they may not have it installed.
+
+    Sets the size of batches, too, unless the session has one of its own.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH, "67108864b") == "67108864b":
+        spark.conf.set(_BATCH, BATCH_BYTES)
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
@@ -120,35 +139,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def balanced_keys(spark: SparkSession, n: int) -> list[int]:
-    """For each of n buckets, a BIGINT that ``repartition(n, key)`` sends to a partition of its own."""
-    placed = (
-        spark.range(0, 40 * n + 400, 1, 1)
-        .groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("slot"))
-        .agg(F.min("id").alias("key"))
-        .collect()
-    )
-    keys = {row["slot"]: row["key"] for row in placed}
-    return [keys.get(i, i) for i in range(n)]
+def ranged(df: DataFrame, key: str, n: int) -> tuple[DataFrame, int]:
+    """Add ``_bucket``: ranges of a BIGINT column in about equal numbers of rows, ascending, nulls first; and how many.
 
+    The borders are found by a range exchange of the column alone and held as at most n longs, on the driver and in a
+    broadcast; unlike those of a range exchange they are fixed, so that two uses of the frame agree.
+    """
+    mins = df.select(key).dropna().repartitionByRange(n, key).groupBy(F.spark_partition_id().alias("part")).agg(F.min(key).alias("least")).collect()
+    borders = np.array(sorted(r["least"] for r in mins)[1:], np.int64)
+    shared = df.sparkSession.sparkContext.broadcast(borders)
 
-def id_buckets(df: DataFrame, key: str, n: int) -> tuple[DataFrame, list[int]]:
-    """Add ``_bucket``: ranges of a BIGINT column in about equal numbers of rows, ascending, nulls in bucket 0.
+    @F.pandas_udf("int")
+    def below(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, ids.to_numpy(np.int64), "right").astype(np.int32))
 
-    The borders are at most n-1 longs on the driver, found by an approximate percentile; unlike a range exchange
-    they are fixed, so that two uses of the frame agree.
-    """
-    marks = [i / n for i in range(1, n)]
-    borders: list[int] = []
-    if marks:
-        row = df.select(F.percentile_approx(key, marks, 20 * n).alias("b")).first()
-        borders = sorted(set(row["b"] or []))
-    if not borders:
-        return df.withColumn("_bucket", F.lit(0)), borders
-    # The number of borders below the key: first among every w-th border, then among the w that follow.
-    w = max(1, int(len(borders) ** 0.5))
-    coarse, fine = (F.array(*[F.lit(b).cast("bigint") for b in x]) for x in (borders[w - 1 :: w], borders))
-    below = lambda array: F.size(F.filter(array, lambda b: b < F.col(key)))
-    jumped = below(coarse) * w
-    bucket = jumped + below(F.slice(fine, jumped + 1, F.lit(w)))
-    return df.withColumn("_bucket", F.when(F.col(key).isNull(), 0).otherwise(bucket)), borders
+    return df.withColumn("_bucket", below(F.coalesce(F.col(key), F.lit(-(1 << 63))))), len(borders) + 1
