@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcweave.algorithms import compact
 from arcweave.algorithms.traversal import nodes_of, small_adjacency
-from arcweave.cluster import checkpointed
+from arcweave.cluster import checkpointed, shuffle_partitions
 from arcweave.graph import PropertyGraph
 
 
@@ -26,7 +27,7 @@ def pagerank(graph: PropertyGraph, damping: float = 0.85, max_iterations: int =
     """id, rank; ranks sum to 1. Parallel edges count; the rank of nodes without outgoing edges is spread evenly.
 
     Parallel edges are counted once, as a share of their source's rank, so that a round is one join and one partial
-    aggregation; a hub's contributions are summed before they are shuffled.
+    aggregation; a hub's contributions are summed before they are shuffled. The shares stay where their source is.
     """
     nodes = checkpointed(nodes_of(graph))
     n = nodes.count()
@@ -34,16 +35,25 @@ def pagerank(graph: PropertyGraph, damping: float = 0.85, max_iterations: int =
         return nodes.withColumn("rank", F.lit(0.0))
     e = graph.edge_scan(types).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
     out = graph.edge_scan(types).groupBy("src").agg(F.count(F.lit(1)).alias("d"))
-    share = checkpointed(e.join(out, "src").select("src", "dst", (F.col("m") / F.col("d")).alias("s")))
-    sinks = checkpointed(nodes.join(out, F.col("id") == F.col("src"), "left").select("id", F.col("d").isNull().alias("sink")))
+    share = e.join(out, "src").select("src", "dst", (F.col("m") / F.col("d")).alias("s"))
+    share = checkpointed(share.repartition(shuffle_partitions(graph.spark), "src"))
+    if compact.small(share):
+        there = nodes.select(F.col("id").alias("dst"), F.lit(True).alias("there"))
+        edges = share.join(nodes, F.col("src") == F.col("id"), "left_semi").join(there, "dst", "left")
+        edges = edges.select("src", "dst", "s", F.coalesce("there", F.lit(False)).alias("there"))
+        found = checkpointed(compact.in_one_task(edges, compact.ranks(n, damping, max_iterations, tolerance), "id long, rank double"))
+        rest = found.where("id is null").first()
+        return nodes.join(found, "id", "left").select("id", F.coalesce("rank", F.lit(rest["rank"] if rest else 1.0 / n)).alias("rank"))
+    sinks = nodes.join(out, F.col("id") == F.col("src"), "left").select("id", F.col("d").isNull().alias("sink"))
     rank = checkpointed(sinks.withColumn("rank", F.lit(1.0 / n)))
+    lost = rank.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0))).first()[0]
     for _ in range(max_iterations):
-        lost = rank.where("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        base = (1 - damping) / n + damping * lost / n
+        base = F.lit((1 - damping) / n + damping * lost / n)
         got = rank.join(share, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("s")).alias("g"))
-        new = checkpointed(rank.join(got, "id", "left").select("id", "sink", (F.lit(base) + damping * F.coalesce("g", F.lit(0.0))).alias("rank"), F.abs(F.lit(base) + damping * F.coalesce("g", F.lit(0.0)) - F.col("rank")).alias("change")))
-        change = new.agg(F.max("change")).first()[0]
-        rank = new.drop("change")
+        new = rank.withColumnRenamed("rank", "old").join(got, "id", "left").withColumn("rank", base + damping * F.coalesce("g", F.lit(0.0)))
+        rank = checkpointed(new.select("id", "sink", "rank", F.abs(F.col("rank") - F.col("old")).alias("change")))
+        change, lost = rank.agg(F.max("change"), F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0))).first()
+        rank = rank.drop("change")
         if change < tolerance:
             break
     return rank.select("id", "rank")

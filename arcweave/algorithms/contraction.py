@@ -2,66 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcweave.algorithms import compact
 from arcweave.cluster import checkpointed
 
-#: Edges that one task finishes by itself: 16 bytes each, some 100 MB with all it needs for them.
-ONE_TASK = 1_000_000
-
-
-def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the edges, ascending, and the smallest id each is connected to."""
-    ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b = place[: len(a)], place[len(a) :]
-    up = np.arange(len(ids))
-    while len(a):
-        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            higher = up[up]
-            if np.array_equal(higher, up):
-                break
-            up = higher
-        a, b = up[a], up[b]
-        apart = a != b
-        a, b = a[apart], b[apart]
-    return ids, ids[up]
-
-
-def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found = [(np.array(x.column("a")), np.array(x.column("b"))) for x in batches]
-    if found:
-        ids, least = roots(*map(np.concatenate, zip(*found, strict=True)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(least)], names=["a", "p"])
-
 
 def smallest_member(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """For every BIGINT id that an edge names: ``id`` and ``component``, the smallest id it is connected to.
 
     Each round hooks every node to its smallest neighbour, shortens the chains of hooks by pointer jumping and puts
     the roots in place of the nodes. A hub costs one joined row an edge, and what is left shrinks by half or more a
-    round, so that the number of rounds grows with the logarithm of the input. What is no more than ONE_TASK edges is
-    finished in one task. Edges with a null end and self-loops connect nothing; self-loops still name their node.
+    round, so that the number of rounds grows with the logarithm of the input. What is no more than compact.ONE_TASK
+    edges is finished in one task. Edges with a null end and self-loops connect nothing; self-loops still name their node.
     """
     named = edges.select(F.col(src).cast("bigint").alias("a"), F.col(dst).cast("bigint").alias("b")).where("a is not null and b is not null")
     named = checkpointed(named.distinct())
     n = named.count()
-    if n <= ONE_TASK:
-        return checkpointed(named.coalesce(1).mapInArrow(_in_one_task, "a long, p long").select(F.col("a").alias("id"), F.col("p").alias("component")))
+    if n <= compact.ONE_TASK:
+        return checkpointed(compact.in_one_task(named, compact.components, "id long, component long"))
     label = checkpointed(named.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id")), 2 * n)
     left = checkpointed(named.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), n)
     while left_rows := left.count():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        if left_rows <= ONE_TASK:
-            hook = checkpointed(left.coalesce(1).mapInArrow(_in_one_task, "a long, p long"))
+        if left_rows <= compact.ONE_TASK:
+            hook = checkpointed(compact.in_one_task(left, compact.components, "a long, p long"))
         else:
             hook = checkpointed(both.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p")), 2 * left_rows)
-        while left_rows > ONE_TASK:
+        while left_rows > compact.ONE_TASK:
             up = hook.select(F.col("a").alias("p"), F.col("p").alias("up"))
             jumped = checkpointed(hook.join(up, "p").select("a", F.col("up").alias("p"), (F.col("up") < F.col("p")).alias("moved")), 2 * left_rows)
             hook = jumped.select("a", "p")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcweave.algorithms import compact
 from arcweave.algorithms.contraction import smallest_member
 from arcweave.algorithms.traversal import edges_of, nodes_of
 from arcweave.cluster import checkpointed
@@ -35,6 +36,10 @@ def strongly_connected_components(graph: PropertyGraph, types=()) -> DataFrame:
         found = df if found is None else found.unionByName(df)
 
     while not left.isEmpty():
+        if compact.small(e):
+            part = compact.in_one_task(e, compact.strong, "id long, c long")
+            out(left.join(part, "id", "left").select("id", F.coalesce("c", "id").alias("component")))
+            break
         while True:  # peel
             inner = e.select(F.col("src").alias("id")).intersect(e.select(F.col("dst").alias("id")))
             single = checkpointed(left.join(inner, "id", "left_anti"))
@@ -119,6 +124,8 @@ def core_numbers(graph: PropertyGraph, types=()) -> DataFrame:
     found = nodes_of(graph).join(e.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_anti").select("id", F.lit(0).alias("core"))
     k = 1
     while not e.isEmpty():
+        if k == 1 and compact.small(e):
+            return found.unionByName(compact.in_one_task(e, compact.cores, "id long, core int"))
         d = checkpointed(degree())
         least = d.agg(F.min("count")).first()[0]
         k = max(k, least)
@@ -139,11 +146,18 @@ def k_core(graph: PropertyGraph, k: int, types=()) -> DataFrame:
 
 
 def spanning_forest(graph: PropertyGraph, weight: str | None = None, types=()) -> DataFrame:
-    """src, dst, w: a minimum spanning forest of the undirected graph, by Borůvka rounds (ties by the ends' ids)."""
+    """src, dst, w: the minimum spanning forest of the undirected graph, of equal weights the edge with smaller ends.
+
+    Borůvka: each round every part takes its best edge, parts that are joined become one, and what lies inside goes;
+    once few edges are left, one task finishes.
+    """
     e = edges_of(graph, types, weight).where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w")
     e = checkpointed(e.groupBy("src", "dst").agg(F.min("w").alias("w")).select("src", "dst", "w", F.col("src").alias("p"), F.col("dst").alias("q")))
     chosen = checkpointed(e.select("src", "dst", "w").limit(0))
     while rows := e.count():
+        if rows <= compact.ONE_TASK:
+            rest = compact.in_one_task(e.select("src", "dst", "w", "p", "q"), compact.forest, "src long, dst long, w double")
+            return checkpointed(chosen.unionByName(rest))
         best = F.min(F.struct("w", "src", "dst", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))).alias("e")
         each = e.unionByName(e.select("src", "dst", "w", F.col("q").alias("p"), F.col("p").alias("q"))).groupBy("p").agg(best)
         new = checkpointed(each.select("e.*").distinct(), rows)
@@ -172,6 +186,9 @@ def label_propagation(graph: PropertyGraph, rounds: int = 100, types=()) -> Data
     equals. It may swing between two states; then, and after ``rounds``, it stops."""
     both = checkpointed(graph.edge_scan(types).where("src <> dst").select(F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("x")).select("x.*").groupBy("a", "b").agg(F.count(F.lit(1)).alias("m")))
     label = checkpointed(nodes_of(graph).select("id", F.col("id").alias("l")))
+    if compact.small(both):
+        found = compact.in_one_task(both.select("a", "b", "m"), compact.labels(rounds), "id long, l2 long")
+        return label.join(found, "id", "left").select("id", F.coalesce("l2", "l").alias("community"))
     before = None
     for _ in range(rounds):
         votes = both.join(label, F.col("b") == F.col("id")).groupBy("a", "l").agg(F.sum("m").alias("n"))

@@ -1,7 +1,8 @@
 """Breadth-first search, depth-first order, shortest paths, topological order: frontiers as DataFrames.
 
 Every loop cuts its lineage with a checkpoint in the shared folder and ends when a frontier is empty or nothing
-changes. Edges are (src, dst[, weight]); the number of rounds is that of levels, not of nodes.
+changes. Edges are (src, dst[, weight]); the number of rounds is that of levels, not of nodes. Few edges are searched in
+one task (``compact``).
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcweave.algorithms import compact
 from arcweave.cluster import checkpointed
 from arcweave.graph import PropertyGraph
 
@@ -28,6 +30,8 @@ def bfs(graph: PropertyGraph, start: int, types=(), max_depth: int | None = None
     """id, depth of what outgoing edges reach from start."""
     e = checkpointed(graph.edge_scan(types).select("src", "dst").distinct())
     front = checkpointed(nodes_of(graph).where(F.col("id") == start).select("id", F.lit(0).alias("depth")))
+    if compact.small(e) and not front.isEmpty():
+        return front.unionByName(compact.in_one_task(e, compact.depths(start, max_depth), "id long, depth int").where("depth > 0"))
     seen, depth = front, 0
     while max_depth is None or depth < max_depth:
         depth += 1
@@ -54,6 +58,9 @@ def _relax(graph, source, weight, types, max_rounds):
     e = checkpointed(edges_of(graph, types, weight).groupBy("src", "dst").agg(F.min("w").alias("w")))
     start = nodes_of(graph).where(F.col("id") == source)
     known = checkpointed(start.select("id", F.lit(0.0).alias("distance"), F.lit(None).cast("bigint").alias("predecessor")))
+    if compact.small(e) and not known.isEmpty():
+        found = checkpointed(compact.in_one_task(e, compact.distances(source, max_rounds), "id long, distance double, predecessor long, moved boolean"))
+        return known.join(found, "id", "left_anti").unionByName(found.drop("moved")), not found.where("moved").isEmpty()
     front, rounds = known, 0
     while not front.isEmpty() and (max_rounds is None or rounds < max_rounds):
         rounds += 1
@@ -79,15 +86,24 @@ def bellman_ford(graph: PropertyGraph, source: int, weight: str | None = None, t
 
 
 def path_to(paths: DataFrame, target: int) -> list[int]:
-    """The nodes of one shortest path, source first; empty if there is none. One lookup per node."""
-    paths, out, at = checkpointed(paths), [], target
-    while at is not None:
-        row = paths.where(F.col("id") == at).first()
-        if row is None:
-            return []
-        out.append(at)
-        at = row["predecessor"]
-    return out[::-1]
+    """The nodes of one shortest path, source first; empty if there is none.
+
+    Each round doubles the steps that a node's pointer skips, and the nodes on the path so far name those between
+    them, so that the number of jobs grows with the logarithm of the path's length.
+    """
+    up = checkpointed(paths.select("id", F.col("predecessor").alias("p")))
+    known = checkpointed(up.where(F.col("id") == target).select(F.col("id").alias("node"), F.lit(0).cast("bigint").alias("step")))
+    if known.isEmpty():
+        return []
+    jumps, far, n = [], up, 1
+    while not far.where((F.col("id") == target) & F.col("p").isNotNull()).isEmpty():
+        jumps.append((far, n))
+        over = far.select(F.col("id").alias("p"), F.col("p").alias("p2"))
+        far, n = checkpointed(far.join(over, "p").select("id", F.col("p2").alias("p"))), 2 * n
+    for jump, n in reversed(jumps):
+        new = known.join(jump, F.col("node") == F.col("id")).where("p is not null").select(F.col("p").alias("node"), (F.col("step") + n).alias("step"))
+        known = checkpointed(known.unionByName(new).distinct())
+    return [r["node"] for r in known.orderBy(F.desc("step")).collect()]
 
 
 def astar(graph: PropertyGraph, source: int, target: int, weight: str | None = None, heuristic: DataFrame | None = None, types=()) -> tuple[float, list[int]] | None:
@@ -120,6 +136,9 @@ def topological_levels(graph: PropertyGraph, types=()) -> DataFrame | None:
     """id, level: edges go from lower to higher levels; (level, id) is a topological order. None if there is a cycle."""
     e = checkpointed(graph.edge_scan(types).select("src", "dst"))
     left = checkpointed(nodes_of(graph))
+    if compact.small(e):
+        found = checkpointed(compact.in_one_task(e, compact.levels, "id long, level int"))
+        return None if not found.where("level < 0").isEmpty() else left.join(found, "id", "left").select("id", F.coalesce("level", F.lit(0)).alias("level"))
     done, level = None, 0
     while not left.isEmpty():
         layer = checkpointed(left.join(e, F.col("id") == F.col("dst"), "left_anti"))

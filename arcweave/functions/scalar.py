@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,12 +23,15 @@ def _bool(x: Column) -> Column:
     return F.when(low == "true", True).when(low == "false", False)
 
 
-def _size(x: Column, kind: T.DataType | None) -> Column:
-    return F.char_length(x).cast("bigint") if isinstance(kind, T.StringType) else F.size(x).cast("bigint")
-
-
-def _to_int(x: Column, kind: T.DataType | None) -> Column:
-    return x.try_cast("bigint")
+def regex_test(text: Column, pattern: Column, constant: str | None = None) -> Column:
+    """Whether a pattern is found in the text; null for a constant that is no pattern."""
+    if constant is not None:
+        jvm = SparkSession.active().sparkContext._jvm
+        try:
+            jvm.java.util.regex.Pattern.compile(constant)
+        except (Py4JJavaError, IllegalArgumentException):
+            return F.lit(None).cast("boolean")
+    return F.rlike(text, pattern)
 
 
 SCALARS: dict[str, Callable[..., Column]] = {
@@ -72,7 +77,7 @@ def _collect(x: Column, distinct: bool) -> Column:
 
 AGGREGATES: dict[str, Callable[..., Column]] = {
     "count": lambda x, d: F.count_distinct(x) if d else F.count(x),
-    "sum": lambda x, d: F.sum_distinct(x) if d else F.sum(x),
+    "sum": lambda x, d: F.coalesce(F.sum_distinct(x) if d else F.sum(x), F.lit(0)),
     "avg": lambda x, d: F.sum_distinct(x) / F.count_distinct(x) if d else F.avg(x),
     "mean": lambda x, d: F.sum_distinct(x) / F.count_distinct(x) if d else F.avg(x),
     "min": lambda x, d: F.min(x),
@@ -80,6 +85,7 @@ AGGREGATES: dict[str, Callable[..., Column]] = {
     "collect": _collect,
     "collect_list": _collect,
     "first": lambda x, d: F.first(x, ignorenulls=True),
+    "last_value": lambda x, d: F.last(x, ignorenulls=True),  # "last" is the last element of a list
     "stdev": lambda x, d: F.stddev_samp(x),
     "stdevp": lambda x, d: F.stddev_pop(x),
     "percentile_disc": lambda x, p, d: percentile_disc(x, p),

@@ -6,7 +6,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from arcweave.functions.scalar import AGGREGATES
+from arcweave.functions.scalar import AGGREGATES, regex_test
 from arcweave.graph import PropertyGraph
 from arcweave.languages.cypher import Result
 from arcweave.languages.lexer import ParseError, Tokens, number, unquoted
@@ -17,7 +17,7 @@ from arcweave.plans.tree import Node, Rel
 _TESTS = {
     "eq": lambda c, v: c == v, "neq": lambda c, v: c != v, "lt": lambda c, v: c < v, "lte": lambda c, v: c <= v, "gt": lambda c, v: c > v, "gte": lambda c, v: c >= v,
     "within": lambda c, *v: c.isin(*v), "without": lambda c, *v: ~c.isin(*v), "between": lambda c, a, b: (c >= a) & (c < b), "inside": lambda c, a, b: (c > a) & (c < b), "outside": lambda c, a, b: (c < a) | (c > b),
-    "containing": lambda c, v: c.contains(v), "startingWith": lambda c, v: c.startswith(v), "endingWith": lambda c, v: c.endswith(v), "regex": lambda c, v: c.rlike(v),
+    "containing": lambda c, v: c.contains(v), "startingWith": lambda c, v: c.startswith(v), "endingWith": lambda c, v: c.endswith(v), "regex": lambda c, v: regex_test(c, F.lit(v), v),
     "notContaining": lambda c, v: ~c.contains(v), "notStartingWith": lambda c, v: ~c.startswith(v), "notEndingWith": lambda c, v: ~c.endswith(v),
 }
 
@@ -77,14 +77,58 @@ def _value(t: Tokens):
     return ("steps", steps)
 
 
+_STAYS = {"has", "hasNot", "hasLabel", "hasId", "where", "filter", "not", "and", "as", "dedup", "order", "by", "limit", "skip", "range", "id", "values", "valueMap", "elementMap"}
+
+
+def asked(steps: list, i: int) -> tuple[list[str], set[str], set[int]]:
+    """Of the element that step i moves to: labels that it must have, properties that are read while it is the current
+    one, and the steps which the labels make needless."""
+    labels, keys, done, filtering = [], set(), set(), True
+    for j, (name, args) in enumerate(steps[i + 1 :], i + 1):
+        if name not in _STAYS:
+            break
+        filtering &= name in ("has", "hasLabel", "hasId", "hasNot")
+        if name == "hasLabel" and len(args) == 1 and filtering:
+            labels.append(args[0])
+            done.add(j)
+        elif name == "has" and len(args) == 3:
+            keys.add(args[1])
+        elif name in ("has", "hasNot", "by") and args and isinstance(args[0], str):
+            keys.add(args[0])
+        elif name in ("values", "valueMap", "elementMap"):
+            keys |= set(args)
+            break
+    return labels, keys, done
+
+
 class Traversal:
-    """df: the compiler's bindings; ``here`` is the current variable, or ``value`` a current column."""
+    """df: the compiler's bindings; ``here`` is the current variable, or ``value`` a current column.
+
+    What the steps behind a move ask of the element is read along with it: labels choose the tables, and properties
+    come from the same scan.
+    """
 
     def __init__(self, graph: PropertyGraph):
         needs: dict[str, set[str]] = defaultdict(set)
         self.c = Compiler(graph, {}, needs)
         self.n, self.here, self.value, self.named = 0, None, None, {}
         self.base, self.ordering = None, []
+        self.ahead: tuple[list[str], set[str], set[int]] = [], set(), set()
+
+    def run(self, steps: list, top: bool = False) -> None:
+        done: set[int] = set()
+        for i, (name, args) in enumerate(steps):
+            if i in done:
+                continue
+            if top and name not in ("property", "from", "to"):
+                self.flush()
+            self.ahead = [], set(), set()
+            if name in ("V", "out", "in", "both"):
+                self.ahead = asked(steps, i)
+                done |= self.ahead[2]
+            elif name in ("E", "outE", "inE", "bothE"):
+                self.ahead = [], asked(steps, i)[1], set()
+            self.step(name, args)
 
     def fresh(self) -> str:
         self.n += 1
@@ -143,10 +187,13 @@ class Traversal:
         if self.here is None or self.c.kinds[self.here] != "node":
             raise ParseError("a step along edges needs a vertex")
         edge, far = self.fresh(), self.fresh()
-        r = Rel(edge, tuple(types), direction)
+        r, n = Rel(edge, tuple(types), direction), Node(far, tuple(self.ahead[0]))
+        self.c.needs[far if to == "node" else edge] |= self.ahead[1]
         e = self.c._edge(r, self.here, far)
         self.df = self.df.join(e, self.here)
         self.c.kinds[edge], self.c.kinds[far] = "edge", "node"
+        if not self.c._bare(n, self.c._implied(r, "b")):
+            self.df = self.df.join(self.c._node(n), far)
         self.df = self.df.withColumn(f"{edge}__near", F.col(self.here)).withColumn(f"{edge}__far", F.col(far)).withColumn(f"{edge}__dir", F.lit(direction))
         if to == "node":
             self.here = far
@@ -174,8 +221,7 @@ class Traversal:
         sub.n = self.n + 1000
         ids = self.df.select(F.col(self.here).alias(key)).distinct()
         sub.c.df, sub.c.kinds, sub.here = ids, {key: self.c.kinds[self.here]}, key
-        for name, args in steps:
-            sub.step(name, args)
+        sub.run(steps)
         self.df = self.df.join(sub.df.select(F.col(key).alias("_hit")), F.col(self.here) == F.col("_hit"), "left_anti" if negate else "left_semi")
 
     def current(self):
@@ -185,12 +231,14 @@ class Traversal:
         c = self.c
         if name == "V":
             v = self.fresh()
-            self.df = c._node(Node(v))
+            c.needs[v] |= self.ahead[1]
+            self.df = c._node(Node(v, tuple(self.ahead[0])))
             c.kinds[v], self.here = "node", v
             if args:
                 self.df = self.df.where(F.col(v).isin(*args))
         elif name == "E":
             e, a, b = self.fresh(), self.fresh(), self.fresh()
+            c.needs[e] |= self.ahead[1]
             self.df = c._edge(Rel(e), a, b).withColumn(f"{e}__near", F.col(a)).withColumn(f"{e}__far", F.col(b))
             c.kinds |= {e: "edge", a: "node", b: "node"}
             self.here = e
@@ -297,8 +345,7 @@ class Traversal:
                 self.ends[name] = F.col(self.named[a][0])
             else:
                 sub = Traversal(c.graph)
-                for s, x in a[1]:
-                    sub.step(s, x)
+                sub.run(a[1])
                 self.df = self.df.crossJoin(sub.df.select(F.col(sub.here).alias(f"_{name}")).limit(1)) if self.df is not None else sub.df.select(F.col(sub.here).alias(f"_{name}"))
                 self.ends[name] = F.col(f"_{name}")
         elif name == "property":
@@ -343,10 +390,7 @@ class Traversal:
 def execute(graph: PropertyGraph, text: str) -> Result:
     """Rows with one column ``value``: the current value, or the id of the current element."""
     t = Traversal(graph)
-    for name, args in parse(text):
-        if name not in ("property", "from", "to"):
-            t.flush()
-        t.step(name, args)
+    t.run(parse(text), top=True)
     if getattr(t, "grouping", None):
         t._group_by(t.current())
     t.flush()

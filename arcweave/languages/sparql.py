@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from itertools import count
+from itertools import count, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.cluster import checkpointed
 from arcweave.languages.lexer import Tokens, number, unquoted
-from arcweave.rdf import RDF_TYPE, XSD, TripleStore, blank, iri, literal, matches, term_column
+from arcweave.functions import vectors
+from arcweave.functions.scalar import regex_test
+from arcweave.rdf import RDF_TYPE, TERM, XSD, TripleStore, blank, iri, iri_column, literal, matches, term_column
 
 _SIGNS = r"<[^<>\s\"{}|^`]*>|\?[A-Za-z_]\w*|\$[A-Za-z_]\w*|_:[A-Za-z0-9_]+|[A-Za-z_][\w-]*:[\w.-]*\w|[A-Za-z_][\w-]*:|:[\w-]+|@[A-Za-z-]+|\^\^|&&|\|\||!=|<=|>=|[-+*/^|?=<>!(){}\[\],.;:]"
 AGGREGATES = {"COUNT", "SUM", "AVG", "MIN", "MAX", "SAMPLE", "GROUP_CONCAT"}
@@ -393,6 +395,19 @@ def _of_bool(x: Column) -> Column:
     return F.when(x.isNotNull(), F.struct(F.lit("literal").alias("kind"), x.cast("string").alias("value"), F.lit(XSD + "boolean").alias("datatype"), null.alias("lang")))
 
 
+def _zone(a: Column) -> Column:
+    """Z, an offset like +02:00, or nothing, as the end of a date and time has it."""
+    return F.regexp_extract(a["value"], r"T[0-9:.]+(Z|[+-]\d\d:\d\d)$", 1)
+
+
+def _offset(a: Column) -> Column:
+    """The zone as a duration: PT0S, PT2H, -PT3H30M; null where there is none."""
+    zone = _zone(a)
+    of = lambda i, unit: F.when((n := F.regexp_extract(zone, r"(\d\d):(\d\d)", i).try_cast("int")) > 0, F.concat(n.cast("string"), F.lit(unit))).otherwise("")
+    body, sign = F.concat(of(1, "H"), of(2, "M")), F.when(zone.startswith("-"), "-").otherwise("")
+    return F.when(zone != "", F.when(body == "", "PT0S").otherwise(F.concat(sign, F.lit("PT"), body)))
+
+
 _TEXTS = {
     "STR": lambda a: a["value"],
     "LANG": lambda a: F.coalesce(a["lang"], F.lit("")),
@@ -404,9 +419,10 @@ _TEXTS = {
     "STRBEFORE": lambda s, x: F.when(F.instr(s["value"], x["value"]) > 0, F.substring(s["value"], F.lit(1), F.instr(s["value"], x["value"]) - 1)).otherwise(""),
     "STRAFTER": lambda s, x: F.when(F.instr(s["value"], x["value"]) > 0, F.substring(s["value"], F.instr(s["value"], x["value"]) + F.char_length(x["value"]), F.lit(1 << 30))).otherwise(""),
     "ENCODE_FOR_URI": lambda a: F.replace(F.replace(F.replace(F.url_encode(a["value"]), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~")),
-    "UUID": lambda: F.concat(F.lit("urn:uuid:"), F.uuid()), "STRUUID": lambda: F.uuid(),
-    "MD5": lambda a: F.md5(a["value"]), "SHA1": lambda a: F.sha1(a["value"]), "SHA256": lambda a: F.sha2(a["value"], 256),
+    "TZ": lambda a: _zone(a), "STRUUID": lambda: F.uuid(),
+    "MD5": lambda a: F.md5(a["value"]), "SHA1": lambda a: F.sha1(a["value"]), "SHA256": lambda a: F.sha2(a["value"], 256), "SHA384": lambda a: F.sha2(a["value"], 384), "SHA512": lambda a: F.sha2(a["value"], 512),
 }
+_VECTORS = {"COSINE_SIMILARITY": vectors.cosine_similarity, "EUCLIDEAN_DISTANCE": vectors.euclidean_distance, "DOT_PRODUCT": vectors.dot_product, "MANHATTAN_DISTANCE": vectors.manhattan_distance}
 _TEXTS["ENCODEFORURI"] = _TEXTS["ENCODE_FOR_URI"]
 _NUMBERS = {
     "STRLEN": lambda a: F.char_length(a["value"]).cast("double"),
@@ -422,21 +438,34 @@ _BOOLS = {
 }
 
 
+@dataclass
+class Solutions:
+    """Rows with a term column for each variable; ``loose`` variables may be unbound (null) in some rows."""
+
+    df: DataFrame
+    loose: frozenset = frozenset()
+
+
 class Evaluator:
-    def __init__(self, store: TripleStore, graph: str | None = None):
-        self.store, self.graph, self.fresh = store, graph, count()
+    """Patterns over the default graph, over the graph of a name, or (graph: a variable) over each named graph."""
+
+    def __init__(self, store: TripleStore, graph: tuple | None = None):
+        self.store, self.graph = store, graph
+        self.ahead: list[Column] = []
         t = store.triples
-        self.triples = t if graph is None else t.where(F.col("g") == graph)
+        where = F.col("g").isNull() if graph is None else F.col("g").isNotNull() if graph[0] == "var" else F.col("g") == graph[1][1]
+        self.triples = t.where(where)
+        self.keep = ["g"] if graph and graph[0] == "var" else []
 
     # --- patterns ---
 
     def _pairs(self, p) -> DataFrame:
-        """s, o of a path."""
-        kind = p[0]
+        """s, o of a path, and g where each named graph is searched by itself."""
+        kind, keep = p[0], self.keep
         if kind == "term":
-            return self.triples.where(matches(F.col("p"), p[1])).select("s", "o")
+            return self.triples.where(matches(F.col("p"), p[1])).select("s", "o", *keep)
         if kind == "inv":
-            return self._pairs(p[1]).select(F.col("o").alias("s"), F.col("s").alias("o"))
+            return self._pairs(p[1]).select(F.col("o").alias("s"), F.col("s").alias("o"), *keep)
         if kind == "alt":
             out = self._pairs(p[1][0])
             for x in p[1][1:]:
@@ -445,27 +474,29 @@ class Evaluator:
         if kind == "seq":
             out = self._pairs(p[1][0])
             for x in p[1][1:]:
-                out = out.withColumnRenamed("o", "m").join(self._pairs(x).withColumnRenamed("s", "m"), "m").select("s", "o")
+                out = out.withColumnRenamed("o", "m").join(self._pairs(x).withColumnRenamed("s", "m"), ["m", *keep]).select("s", "o", *keep)
             return out
         step = checkpointed(self._pairs(p[1]).distinct())
-        own = self.triples.select(F.explode(F.array("s", "o")).alias("s")).distinct().select("s", F.col("s").alias("o"))
+        own = self.triples.select(F.explode(F.array("s", "o")).alias("s"), *keep).distinct().select("s", F.col("s").alias("o"), *keep)
         if p[2] == "?":
             return step.unionByName(own).distinct()
         seen = front = step
         while True:  # transitive closure, new pairs only
-            far = front.withColumnRenamed("o", "m").join(step.withColumnRenamed("s", "m"), "m").select("s", "o").distinct()
-            front = checkpointed(far.join(seen, ["s", "o"], "left_anti"))
+            far = front.withColumnRenamed("o", "m").join(step.withColumnRenamed("s", "m"), ["m", *keep]).select("s", "o", *keep).distinct()
+            front = checkpointed(far.join(seen, ["s", "o", *keep], "left_anti"))
             if front.isEmpty():
                 break
             seen = checkpointed(seen.unionByName(front))
         return seen if p[2] == "+" else seen.unionByName(own).distinct()
 
-    def _pattern(self, triple: tuple) -> DataFrame:
+    def _pattern(self, triple: tuple) -> Solutions:
         s, p, o = triple
         if p[0] == "var":
-            df, places = self.triples.select("s", "p", "o"), [("s", s), ("p", p), ("o", o)]
+            df, places = self.triples.select("s", "p", "o", *self.keep), [("s", s), ("p", p), ("o", o)]
         else:
             df, places = self._pairs(p), [("s", s), ("o", o)]
+        if self.keep:
+            df, places = df.withColumn("g", iri_column(F.col("g"))), [*places, ("g", self.graph)]
         names: dict[str, str] = {}
         for column, x in places:
             if x[0] == "term":
@@ -474,88 +505,140 @@ class Evaluator:
                 df = df.where(F.col(names[x[1]]) == F.col(column))
             else:
                 names[x[1]] = column
-        return df.select(*[F.col(c).alias(v) for v, c in names.items()])
+        return Solutions(df.select(*[F.col(c).alias(v) for v, c in names.items()]))
+
+    @staticmethod
+    def _compatible(left: Solutions, right: Solutions, names: dict[str, str]) -> Column:
+        """Equal where both are bound; names: of shared variables, on the right."""
+        on = F.lit(True)
+        for c, r in names.items():
+            same = F.col(c) == F.col(r)
+            on = on & (same | F.col(c).isNull() | F.col(r).isNull() if c in left.loose or c in right.loose else same)
+        return on
 
-    def _join(self, left: DataFrame | None, right: DataFrame, how: str = "inner") -> DataFrame:
+    def _join(self, left: Solutions | None, right: Solutions) -> Solutions:
         """Compatible solutions: equal shared variables, where an unbound one goes with anything."""
         if left is None:
             return right
-        shared = [c for c in right.columns if c in left.columns]
+        shared = [c for c in right.df.columns if c in left.df.columns]
         if not shared:
-            return left.crossJoin(right) if how == "inner" else left.join(right, F.lit(True), how)
-        return left.join(right, shared, how).select(*left.columns, *[c for c in right.columns if c not in shared])
-
-    def group(self, g: Group, start: DataFrame | None = None) -> DataFrame:
-        df, filters = start, []
-        triples = [x for part in g.parts if part[0] == "triples" for x in part[1]]
-        while triples:  # those that share a variable with what is there come first
-            have = set(df.columns) if df is not None else set()
-            at = next((i for i, x in enumerate(triples) if have & {y[1] for y in x if y[0] == "var"}), 0)
-            df = self._join(df, self._pattern(triples.pop(at)))
+            return Solutions(left.df.crossJoin(right.df), left.loose | right.loose)
+        rest = [c for c in right.df.columns if c not in shared]
+        open_ = [c for c in shared if c in left.loose or c in right.loose]
+        loose = frozenset(c for c in left.loose | right.loose if c not in shared or c in left.loose and c in right.loose)
+        if not open_:
+            return Solutions(left.df.join(right.df, shared).select(*left.df.columns, *rest), loose)
+        names = {c: f"_r_{c}" for c in shared}
+        other = right.df.withColumnsRenamed(names)
+        out = [F.coalesce(F.col(c), F.col(names[c])).alias(c) if c in open_ else F.col(c) for c in left.df.columns]
+        if len(open_) < len(shared) or len(open_) > 3:
+            return Solutions(left.df.join(other, self._compatible(left, right, names)).select(*out, *rest), loose)
+        # No variable is bound throughout: rows are joined by what is bound in them, pattern by pattern.
+        found = None
+        options = lambda side: [[(c, b) for c, b in zip(open_, bits, strict=True)] for bits in product((True, False), repeat=len(open_)) if all(b or c in side.loose for c, b in zip(open_, bits, strict=True))]
+        for x, y in product(options(left), options(right)):
+            one, two, on = left.df, other, F.lit(True)
+            for (c, b), (_, d) in zip(x, y, strict=True):
+                one = one.where(F.col(c).isNotNull() if b else F.col(c).isNull())
+                two = two.where(F.col(names[c]).isNotNull() if d else F.col(names[c]).isNull())
+                on = on & (F.col(c) == F.col(names[c])) if b and d else on
+            part = one.join(two, on).select(*out, *rest)
+            found = part if found is None else found.unionByName(part)
+        return Solutions(found, loose)
+
+    def group(self, g: Group) -> Solutions:
+        """Elements in the order of the text; filters hold for the whole group."""
+        rows: Solutions | None = None
+        filters = [x for part in g.parts if part[0] == "filter" for x in self._conjuncts(part[1])]
+        nothing = lambda: Solutions(self.store.spark.range(1).select())
         for part in g.parts:
             kind = part[0]
-            if kind in ("union",):
-                out = None
-                for option in part[1]:
-                    x = self.group(option)
-                    out = x if out is None else out.unionByName(x, allowMissingColumns=True)
-                df = self._join(df, out)
+            if kind == "triples":
+                todo = list(part[1])
+                while todo:  # those that share a variable with what is there come first
+                    have = set(rows.df.columns) if rows is not None else set()
+                    at = next((i for i, x in enumerate(todo) if have & {y[1] for y in x if y[0] == "var"}), 0)
+                    rows = self._join(rows, self._pattern(todo.pop(at)))
+            elif kind == "union":
+                rows = self._join(rows, self._union([self.group(option) for option in part[1]]))
             elif kind == "group":
-                df = self._join(df, self.group(part[1]))
+                rows = self._join(rows, self.group(part[1]))
             elif kind == "select":
-                df = self._join(df, self.select(part[1]))
+                rows = self._join(rows, self.select(part[1]))
             elif kind == "graph":
-                inner = Evaluator(self.store, part[1][1][1]) if part[1][0] == "term" else Evaluator(self.store)
-                df = self._join(df, inner.group(part[2]))
+                rows = self._join(rows, Evaluator(self.store, part[1]).group(part[2]))
             elif kind == "values":
-                df = self._join(df, self._values(part[1], part[2]))
-            elif kind == "filter":
-                filters.append(part[1])
-        if df is None:
-            df = self.store.spark.range(1).select()
-        for part in g.parts:
-            if part[0] == "bind":
-                df = df.withColumn(part[2], self.term(part[1]))
-        for part in g.parts:
-            if part[0] == "optional":
+                rows = self._join(rows, self._values(part[1], part[2]))
+            elif kind == "bind":
+                rows = rows or nothing()
+                sure = part[1][0] == "term" or part[1][0] == "var" and part[1][1] not in rows.loose
+                rows = Solutions(rows.df.withColumn(part[2], self.term(part[1])), rows.loose | (frozenset() if sure else {part[2]}))
+            elif kind == "optional":
                 inner = Group([x for x in part[1].parts if x[0] != "filter"])
-                df = self._optional(df, self.group(inner), [x[1] for x in part[1].parts if x[0] == "filter"])
-            elif part[0] == "minus":
-                right = self.group(part[1])
-                shared = [c for c in right.columns if c in df.columns]
-                if shared:
-                    df = df.join(right.select(*shared), shared, "left_anti")
-        for f in filters:
-            for c in self._conjuncts(f):
-                if c[0] == "exists" or c[0] == "not" and c[1][0] == "exists":
-                    inner, negated = (c, c[2]) if c[0] == "exists" else (c[1], not c[1][2])
-                    right = self.group(inner[1])
-                    shared = [x for x in right.columns if x in df.columns]
-                    df = df.join(right.select(*shared), shared, "left_anti" if negated else "left_semi")
-                else:
-                    df = df.where(self.truth(c))
-        return df
+                rows = self._optional(rows or nothing(), self.group(inner), [x[1] for x in part[1].parts if x[0] == "filter"])
+            elif kind == "minus":
+                rows = rows or nothing()
+                rows = Solutions(self._without(rows, self.group(part[1])), rows.loose)
+        rows = rows or nothing()
+        for c in filters:
+            if c[0] == "exists" or c[0] == "not" and c[1][0] == "exists":
+                inner, negated = (c, c[2]) if c[0] == "exists" else (c[1], not c[1][2])
+                rows = Solutions(self._exists(rows, self.group(inner[1]), "left_anti" if negated else "left_semi"), rows.loose)
+            else:
+                rows = Solutions(rows.df.where(self.truth(c)), rows.loose)
+        return rows
 
-    def _optional(self, left: DataFrame, right: DataFrame, filters: list) -> DataFrame:
-        shared = [c for c in right.columns if c in left.columns]
-        right = right.withColumnsRenamed({c: f"_r_{c}" for c in shared})
-        on = F.lit(True)
-        for c in shared:
-            on = on & (F.col(c) == F.col(f"_r_{c}"))
+    @staticmethod
+    def _union(options: list[Solutions]) -> Solutions:
+        every = {c: None for x in options for c in x.df.columns}
+        loose = {c for c in every for x in options if c in x.loose or c not in x.df.columns}
+        out = None
+        for x in options:
+            out = x.df if out is None else out.unionByName(x.df, allowMissingColumns=True)
+        return Solutions(out.select(*every), frozenset(loose))
+
+    def _exists(self, left: Solutions, right: Solutions, how: str) -> DataFrame:
+        shared = [x for x in right.df.columns if x in left.df.columns]
+        if not shared:
+            return left.df.join(right.df.limit(1).select(F.lit(1).alias("_any")), F.lit(True), how)
+        names = {c: f"_r_{c}" for c in shared}
+        return left.df.join(right.df.select(*shared).withColumnsRenamed(names), self._compatible(left, right, names), how)
+
+    def _without(self, left: Solutions, right: Solutions) -> DataFrame:
+        """MINUS: a compatible solution takes the row away if the two have a bound variable in common."""
+        shared = [x for x in right.df.columns if x in left.df.columns]
+        if not shared:
+            return left.df
+        names = {c: f"_r_{c}" for c in shared}
+        on = self._compatible(left, right, names)
+        if all(c in left.loose or c in right.loose for c in shared):
+            both = F.lit(False)
+            for c, r in names.items():
+                both = both | (F.col(c).isNotNull() & F.col(r).isNotNull())
+            on = on & both
+        return left.df.join(right.df.select(*shared).withColumnsRenamed(names), on, "left_anti")
+
+    def _optional(self, left: Solutions, right: Solutions, filters: list) -> Solutions:
+        shared = [c for c in right.df.columns if c in left.df.columns]
+        names = {c: f"_r_{c}" for c in shared}
+        on = self._compatible(left, right, names)
         for f in filters:
             on = on & self.truth(f)
-        return left.join(right, on, "left").drop(*[f"_r_{c}" for c in shared])
+        rest = [c for c in right.df.columns if c not in shared]
+        out = [F.coalesce(F.col(c), F.col(names[c])).alias(c) if c in left.loose and c in names else F.col(c) for c in left.df.columns]
+        df = left.df.join(right.df.withColumnsRenamed(names), on, "left").select(*out, *rest)
+        return Solutions(df, left.loose | frozenset(rest))
 
     @staticmethod
     def _conjuncts(x) -> list:
         return Evaluator._conjuncts(x[1]) + Evaluator._conjuncts(x[2]) if x[0] == "and" else [x]
 
-    def _values(self, names: list[str], rows: list) -> DataFrame:
+    def _values(self, names: list[str], rows: list) -> Solutions:
         from pyspark.sql import types as T
 
-        from arcweave.rdf import TERM
-
-        return self.store.spark.createDataFrame([tuple(x[1] if x else None for x in r) for r in rows], T.StructType([T.StructField(n, TERM) for n in names]))
+        data = [tuple(x[1] if x else None for x in r) for r in rows]
+        df = self.store.spark.createDataFrame(data, T.StructType([T.StructField(n, TERM) for n in names]))
+        return Solutions(df, frozenset(n for i, n in enumerate(names) if any(r[i] is None for r in data)))
 
     # --- expressions ---
 
@@ -587,7 +670,8 @@ class Evaluator:
                 return self.term(args[0]).isNotNull()
             if name == "REGEX":
                 flags = args[2][1][1] if len(args) > 2 else ""
-                return F.rlike(self.term(args[0])["value"], F.concat(F.lit("(?i)" if "i" in flags else ""), self.term(args[1])["value"]))
+                prefix, constant = "(?i)" if "i" in flags else "", args[1][1][1] if args[1][0] == "term" else None
+                return regex_test(self.term(args[0])["value"], F.concat(F.lit(prefix), self.term(args[1])["value"]), None if constant is None else prefix + constant)
             if name in _BOOLS:
                 return _BOOLS[name](*[self.term(a) for a in args])
         t = self.term(x)
@@ -615,9 +699,20 @@ class Evaluator:
                 flags = args[3][1][1] if len(args) > 3 else None
                 return _of_text(F.replace(s, p, r) if flags is None else F.regexp_replace(s, F.concat(F.lit("(?i)" if "i" in flags else ""), p), r))
             if name in ("IRI", "URI"):
-                from arcweave.rdf import iri_column
-
                 return iri_column(self.term(args[0])["value"])
+            if name == "BNODE":
+                own = F.concat(F.lit("b"), F.md5(self.term(args[0])["value"])) if args else F.concat(F.lit("b"), F.replace(F.uuid(), F.lit("-"), F.lit("")))
+                return F.struct(F.lit("blank").alias("kind"), own.alias("value"), F.lit(None).cast("string").alias("datatype"), F.lit(None).cast("string").alias("lang"))
+            if name == "UUID":
+                return iri_column(F.concat(F.lit("urn:uuid:"), F.uuid()))
+            if name == "TIMEZONE":
+                text = _offset(self.term(args[0]))
+                return F.when(text.isNotNull(), F.struct(F.lit("literal").alias("kind"), text.alias("value"), F.lit(XSD + "dayTimeDuration").alias("datatype"), F.lit(None).cast("string").alias("lang")))
+            if name == "VECTOR":
+                return _of_text(F.concat(F.lit("["), F.array_join(F.array(*[self.term(a)["value"] for a in args]), ", "), F.lit("]")))
+            if name in _VECTORS:
+                x, y = (F.from_json(self.term(a)["value"], "array<double>") for a in args)
+                return _of_number(_VECTORS[name](x, y))
             if name == "STRDT":
                 a = self.term(args[0])
                 return F.struct(F.lit("literal").alias("kind"), a["value"].alias("value"), self.term(args[1])["value"].alias("datatype"), F.lit(None).cast("string").alias("lang"))
@@ -636,25 +731,31 @@ class Evaluator:
                 return self._aggregate(x)
         raise ValueError(f"unknown expression {x[:2]}")
 
+    def _before(self, c: Column) -> Column:
+        """A column that is computed ahead of the aggregation."""
+        self.ahead.append(c.alias(f"_a{len(self.ahead)}"))
+        return F.col(f"_a{len(self.ahead) - 1}")
+
     def _aggregate(self, x) -> Column:
         name, args, distinct = x[1], x[2], x[3]
         if name == "COUNT":
             if args[0] == ("star",):
                 return _of_number(F.count(F.lit(1)).cast("double"))
-            c = self.term(args[0])
+            c = self._before(self.term(args[0]))
             return _of_number((F.count_distinct(c) if distinct else F.count(c)).cast("double"))
-        c = self.term(args[0])
-        n = _num(c)
+        c = self._before(self.term(args[0]))
+        n = self._before(_num(c))
         if name == "SUM":
             return _of_number(F.coalesce(F.sum_distinct(n) if distinct else F.sum(n), F.lit(0.0)))
         if name == "AVG":
             return _of_number(F.sum_distinct(n) / F.count_distinct(n) if distinct else F.avg(n))
         if name in ("MIN", "MAX"):
             f = F.min if name == "MIN" else F.max
-            return f(F.when(c.isNotNull(), F.struct(n.alias("n"), c["value"].alias("v"), c.alias("t"))))["t"]
+            return f(self._before(F.when(c.isNotNull(), F.struct(n.alias("n"), c["value"].alias("v"), c.alias("t")))))["t"]
         if name == "SAMPLE":
             return F.min(c)
-        values = F.array_sort(F.collect_set(c["value"]) if distinct else F.collect_list(c["value"]))
+        text = self._before(c["value"])
+        values = F.array_sort(F.collect_set(text) if distinct else F.collect_list(text))
         return _of_text(F.array_join(values, x[4]))
 
     # --- queries ---
@@ -662,16 +763,20 @@ class Evaluator:
     def _has_aggregate(self, x) -> bool:
         return isinstance(x, tuple) and (x[0] == "call" and x[1] in AGGREGATES or any(self._has_aggregate(y) for y in x) or any(self._has_aggregate(z) for y in x if isinstance(y, list) for z in y))
 
-    def select(self, s: Select) -> DataFrame:
-        df = self.group(s.where)
+    def select(self, s: Select) -> Solutions:
+        rows = self.group(s.where)
+        df, sure = rows.df, {c for c in rows.df.columns if c not in rows.loose}
         items = s.items if s.items is not None else [(("var", c), c) for c in df.columns if not c.startswith("_")]
         order_columns = []
         if s.group or any(self._has_aggregate(e) for e, _ in items):
-            keys = [self.term(e).alias(v) for e, v in s.group]
+            keys, ahead = [self.term(e).alias(v) for e, v in s.group], []
+            self.ahead = ahead
             sums = [(e, v) for e, v in items if self._has_aggregate(e)]
             hidden = [(h, f"_h{i}") for i, h in enumerate(s.having)]
             ordering = [(e, f"_o{i}") for i, (e, _) in enumerate(s.order) if self._has_aggregate(e)]
             aggs = [self.term(e).alias(v) for e, v in sums] + [self.truth(h).alias(v) for h, v in hidden if self._has_aggregate(h)] + [self.term(e).alias(v) for e, v in ordering]
+            for c in ahead:  # one may build on another
+                df = df.select("*", c)
             df = df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
             for h, v in hidden:
                 df = df.where(F.col(v) if self._has_aggregate(h) else self.truth(h))
@@ -683,14 +788,14 @@ class Evaluator:
                     df = df.withColumn(v, self.term(e))
         if s.order and not s.distinct:
             df = df.orderBy(*self._order(s, df, order_columns))
-        df = df.select(*[(F.col(v) if v in df.columns else self.term(e) if e[0] != "var" else F.lit(None)).alias(v) for e, v in items])
+        df = df.select(*[(F.col(v) if v in df.columns else self.term(e) if e[0] != "var" else F.lit(None).cast(TERM)).alias(v) for e, v in items])
         if s.distinct:
             df = df.distinct()
             if s.order:
                 df = df.orderBy(*self._order(s, df, order_columns))
         if s.offset:
             df = df.offset(s.offset)
-        return df if s.limit is None else df.limit(s.limit)
+        return Solutions(df if s.limit is None else df.limit(s.limit), frozenset(c for c in df.columns if c not in sure))
 
     def _order(self, s: Select, df: DataFrame, names: list) -> list[Column]:
         out = []
@@ -700,6 +805,14 @@ class Evaluator:
                 out.append(x.desc_nulls_first() if descending else x.asc_nulls_last())
         return out
 
+    def quads(self, rows: DataFrame, blocks: list[tuple[str | None, list[tuple]]]) -> DataFrame:
+        """Triples of templates, each with its graph."""
+        out = None
+        for g, triples in blocks:
+            part = self.template(rows, triples).withColumn("g", F.lit(g).cast("string"))
+            out = part if out is None else out.unionByName(part)
+        return out
+
     def template(self, rows: DataFrame, triples: list[tuple]) -> DataFrame:
         out = None
         for t in triples:
@@ -715,18 +828,18 @@ def execute(store: TripleStore, text: str) -> Result:
     if p.t.peek()[1].upper() in ("SELECT", "ASK", "CONSTRUCT", "DESCRIBE"):
         q, ev = p.query(), Evaluator(store)
         if q.ask:
-            return Result(ev.group(q.where).limit(1).agg((F.count(F.lit(1)) > 0).alias("result")), store)
+            return Result(ev.group(q.where).df.limit(1).agg((F.count(F.lit(1)) > 0).alias("result")), store)
         if q.template is not None:
-            return Result(ev.template(ev.group(q.where), q.template), store)
+            return Result(ev.template(ev.group(q.where).df, q.template), store)
         if q.describe is not None:
             terms = [x for x in q.describe if x[0] == "term"]
-            rows = ev.group(q.where) if q.where.parts else None
+            rows = ev.group(q.where).df if q.where.parts else None
             about = None
             for x in q.describe:
                 df = store.spark.range(1).select(term_column(x[1]).alias("s")) if x in terms else rows.select(F.col(x[1]).alias("s"))
                 about = df if about is None else about.unionByName(df)
             return Result(store.triples.join(about.distinct(), "s", "left_semi").select("s", "p", "o"), store)
-        return Result(ev.select(q), store)
+        return Result(ev.select(q).df, store)
     while not p.t.done():
         store = _update(store, p)
         p.t.sign(";")
@@ -795,14 +908,14 @@ def _update(store: TripleStore, p: Parser) -> TripleStore:
         return store.insert(TripleStore.read_ntriples(store.spark, p._term()[1][1]).triples)
     if t.word("DELETE WHERE"):
         blocks = _quad_block(p)
-        triples = [x for _, b in blocks for x in b]
+        where = Group([("triples", list(b)) if g is None else ("graph", ("term", iri(g)), Group([("triples", list(b))])) for g, b in blocks])
         ev = Evaluator(store)
-        return store.delete(checkpointed(ev.template(ev.group(Group([("triples", list(triples))])), triples)))
-    gone = [x for _, b in _quad_block(p) for x in b] if t.word("DELETE") else []
-    new = [x for _, b in _quad_block(p) for x in b] if t.word("INSERT") else []
+        return store.delete(checkpointed(ev.quads(checkpointed(ev.group(where).df), blocks)))
+    gone = _quad_block(p) if t.word("DELETE") else []
+    new = _quad_block(p) if t.word("INSERT") else []
     t.need_word("WHERE")
     ev = Evaluator(store)
-    rows = checkpointed(ev.group(p._group()))
+    rows = checkpointed(ev.group(p._group()).df)
     if gone:
-        store = store.delete(ev.template(rows, gone))
-    return store.insert(ev.template(rows, new)) if new else store
+        store = store.delete(ev.quads(rows, gone))
+    return store.insert(ev.quads(rows, new)) if new else store

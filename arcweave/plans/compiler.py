@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arcweave.cluster import checkpointed
-from arcweave.functions.scalar import AGGREGATES, SCALARS, list_index
+from arcweave.functions.scalar import AGGREGATES, SCALARS, list_index, regex_test
 from arcweave.graph import PropertyGraph, oriented
 from arcweave.plans.tree import Expr, Match, Node, Path, Project, Rel, Unwind, aggregates, conjuncts, text_of, walk
 
@@ -173,7 +173,8 @@ class Compiler:
         if op == "CONTAINS":
             return a.contains(b)
         if op == "=~":
-            return F.rlike(a, b)
+            constant = y[1] if y[0] == "lit" else self.params.get(y[1]) if y[0] == "param" else None
+            return regex_test(a, b, constant if isinstance(constant, str) else None)
         if op == "LIKE":
             return F.like(a, b)
         raise QueryError(f"unknown operator {op}")

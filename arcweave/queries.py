@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from arcweave import rdf, vectors
-from arcweave.algorithms import centrality, sequential, structure, traversal
+from arcweave import queries_algorithms, rdf, vectors
+from arcweave.algorithms import centrality, structure, traversal
 from arcweave.graph import PropertyGraph
 from arcweave.sources.snapshots import from_edge_list
 
@@ -16,8 +17,15 @@ _STEP = 1 << 40
 _CODES = {"customer": 0, "supplier": 1, "part": 2, "orders": 3, "nation": 4, "region": 5}
 
 
+_schemas: dict[tuple[str, str, str], StructType] = {}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; its schema is read from the files once for each folder and application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.read.schema(_schemas[key]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _id(name: str, column: str):
@@ -101,7 +109,9 @@ _CYPHER: dict[str, tuple[str, str]] = {
     "null_tests": ("MATCH (n) WHERE n.acctbal IS NOT NULL AND n.mktsegment IS NULL RETURN count(*) AS n", "SELECT count(*) AS n FROM supplier WHERE s_acctbal IS NOT NULL"),
     "in_list": ("MATCH (c:Customer) WHERE c.mktsegment IN ['BUILDING', 'MACHINERY'] RETURN c.key AS key", "SELECT c_custkey AS key FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')"),
     "string_predicates": ("MATCH (p:Part) WHERE p.type STARTS WITH 'P' OR p.type ENDS WITH 'L' OR p.name CONTAINS 'a' RETURN p.key AS key", "SELECT p_partkey AS key FROM part WHERE starts_with(p_type, 'P') OR ends_with(p_type, 'L') OR contains(p_name, 'a')"),
-    "regex_and_like": ("MATCH (p:Part) WHERE p.brand =~ '[1-3]$' AND p.name LIKE '%1%' RETURN p.key AS key", "SELECT p_partkey AS key FROM part WHERE regexp_matches(p_brand, '[1-3]$') AND p_name LIKE '%1%'"),
+    "regex_and_like": ("MATCH (p:Part) WHERE p.brand =~ '[1-3]$' AND p.name LIKE '%ing' RETURN p.key AS key", "SELECT p_partkey AS key FROM part WHERE regexp_matches(p_brand, '[1-3]$') AND p_name LIKE '%ing'"),
+    "regex_invalid": ("MATCH (p:Part) WHERE p.size = 50 RETURN p.brand =~ '(' AS hit, count(*) AS n", "SELECT CAST(NULL AS BOOLEAN) AS hit, count(*) AS n FROM part WHERE p_size = 50"),
+    "sum_of_nothing": ("MATCH (p:Part) WHERE p.size > 999 RETURN sum(p.size) AS s, sum(p.retailprice) AS r, count(*) AS n", "SELECT CAST(0 AS BIGINT) AS s, 0::DOUBLE AS r, CAST(0 AS BIGINT) AS n"),
     "case_expression": ("MATCH (o:Order) RETURN CASE WHEN o.totalprice > 200000 THEN 'high' WHEN o.totalprice > 100000 THEN 'mid' ELSE 'low' END AS band, CASE o.orderstatus WHEN 'F' THEN 1 ELSE 0 END AS f, count(*) AS n", "SELECT CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band, CASE o_orderstatus WHEN 'F' THEN 1 ELSE 0 END AS f, count(*) AS n FROM orders GROUP BY 1, 2"),
     "expand": ("MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE o.totalprice > 300000 RETURN c.name AS name, o.key AS okey", "SELECT c_name AS name, o_orderkey AS okey FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 300000"),
     "expand_in": ("MATCH (n:Nation)<-[:LOCATED_IN]-(s:Supplier) RETURN n.name AS nation, count(*) AS n", "SELECT n_name AS nation, count(*) AS n FROM nation JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1"),
@@ -112,12 +122,9 @@ _CYPHER: dict[str, tuple[str, str]] = {
     "shared_variables": ("MATCH (c:Customer)-[:PLACED]->(o:Order), (o)-[:SHIPPED_BY]->(s:Supplier), (c)-[:LOCATED_IN]->(n:Nation), (s)-[:LOCATED_IN]->(n) RETURN n.name AS nation, count(*) AS n", "SELECT n_name AS nation, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON n_nationkey = c_nationkey AND n_nationkey = s_nationkey GROUP BY 1"),
     "cross_product": ("MATCH (a:Region), (b:Nation) RETURN a.name AS region, b.name AS nation", "SELECT r_name AS region, n_name AS nation FROM region, nation"),
     "variable_length": ("MATCH (c:Customer)-[*1..2]->(x) RETURN labels(x)[0] AS label, count(*) AS n", "SELECT label, CAST(n AS BIGINT) AS n FROM (SELECT 'Order' AS label, (SELECT count(*) FROM orders) AS n UNION ALL SELECT 'Nation', (SELECT count(*) FROM customer) UNION ALL SELECT 'Region', (SELECT count(*) FROM customer) UNION ALL SELECT 'Part', (SELECT count(*) FROM lineitem) UNION ALL SELECT 'Supplier', (SELECT count(*) FROM lineitem))"),
-    "unbounded_paths": ("MATCH (s:Supplier)-[:LOCATED_IN|IN_REGION*]->(x) RETURN labels(x)[0] AS label, count(*) AS n", "SELECT label, count(*) AS n FROM supplier, (VALUES ('Nation'), ('Region')) t(label) GROUP BY 1"),
-    "shortest_path": ("MATCH p = shortestPath((c:Customer)-[*1..3]->(r:Region)) RETURN length(p) AS hops, count(*) AS n", "SELECT CAST(2 AS BIGINT) AS hops, count(*) AS n FROM customer"),
-    "all_shortest_paths": ("MATCH p = allShortestPaths((a:Region {name: 'ASIA'})<-[*1..2]-(c:Customer)) RETURN length(p) AS hops, count(*) AS n", "SELECT CAST(2 AS BIGINT) AS hops, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' HAVING count(*) > 0"),
     "optional_match": ("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.totalprice > 250000 RETURN c.key AS key, count(o) AS n", "SELECT c_custkey AS key, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 250000 GROUP BY 1"),
     "exists_subquery": ("MATCH (c:Customer) WHERE EXISTS { (c)-[:PLACED]->(o:Order) WHERE o.orderpriority = '1-URGENT' } RETURN c.key AS key", "SELECT c_custkey AS key FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')"),
-    "not_exists": ("MATCH (c:Customer) WHERE NOT EXISTS { (c)-[:PLACED]->() } RETURN c.key AS key", "SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "not_exists": ("MATCH (c:Customer) WHERE NOT EXISTS { (c)-[:PLACED]->(o:Order) WHERE o.totalprice > 400000 } RETURN c.key AS key", "SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)"),
     "count_subquery": ("MATCH (c:Customer) RETURN c.key AS key, COUNT { (c)-[:PLACED]->() } AS n", "SELECT c_custkey AS key, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer"),
     "aggregates": ("MATCH (c:Customer) RETURN c.mktsegment AS seg, count(*) AS n, count(DISTINCT c.nationkey) AS d, min(c.acctbal) AS lo, max(c.acctbal) AS hi, round(avg(c.acctbal) * 100) AS av, round(stdev(c.acctbal)) AS sd, round(stdevp(c.acctbal)) AS sp", "SELECT c_mktsegment AS seg, count(*) AS n, count(DISTINCT c_nationkey) AS d, min(c_acctbal) AS lo, max(c_acctbal) AS hi, round(avg(c_acctbal) * 100) AS av, round(stddev_samp(c_acctbal)) AS sd, round(stddev_pop(c_acctbal)) AS sp FROM customer GROUP BY 1"),
     "global_aggregate": ("MATCH (p:Part) WHERE p.size > 45 RETURN count(*) AS n, max(p.size) AS hi", "SELECT count(*) AS n, max(p_size) AS hi FROM part WHERE p_size > 45"),
@@ -137,6 +144,34 @@ _CYPHER: dict[str, tuple[str, str]] = {
     "factorized_count": ("MATCH (n:Nation)<-[:LOCATED_IN]-(c:Customer)-[:PLACED]->(o:Order)-[:CONTAINS]->(p:Part) RETURN n.name AS nation, count(*) AS n, count(DISTINCT p.brand) AS b", "SELECT n_name AS nation, count(*) AS n, count(DISTINCT p_brand) AS b FROM nation JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1"),
 }
 
+#: On other graphs than the star schema's.
+_ELSEWHERE: dict[str, tuple[Callable, str, str]] = {
+    "unbounded_paths": (
+        queries_algorithms.tree_graph,
+        "MATCH (a:Nation)-[:REFERS*]->(b:Nation) RETURN a.name AS a, b.name AS b",
+        """WITH RECURSIVE t AS (SELECT n_nationkey AS a, n_nationkey AS b FROM nation UNION ALL SELECT t.a, n_nationkey FROM t JOIN nation ON n_nationkey // 3 = t.b AND n_nationkey > 0)
+        SELECT x.n_name AS a, y.n_name AS b FROM t JOIN nation x ON x.n_nationkey = t.a JOIN nation y ON y.n_nationkey = t.b WHERE t.a <> t.b""",
+    ),
+    "shortest_path": (
+        lambda s, d: referral_graph(s, d),
+        "MATCH (a) WHERE id(a) = 1 MATCH p = shortestPath((a)-[*1..6]->(b)) RETURN length(p) AS hops, count(*) AS n",
+        f"""WITH RECURSIVE {_E}, t AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS d UNION SELECT dst, d + 1 FROM t JOIN e ON src = id WHERE d < 6)
+        SELECT CAST(d AS BIGINT) AS hops, count(*) AS n FROM (SELECT id, min(d) AS d FROM t GROUP BY 1) WHERE d > 0 GROUP BY 1""",
+    ),
+    "all_shortest_paths": (
+        lambda s, d: referral_graph(s, d),
+        "MATCH (a) WHERE id(a) = 1 MATCH p = allShortestPaths((a)-[*1..6]->(b)) RETURN length(p) AS hops, count(*) AS n",
+        f"""WITH RECURSIVE {_E}, t AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS d, CAST(1 AS BIGINT) AS n
+             UNION ALL SELECT dst, any_value(d) + 1, CAST(sum(n) AS BIGINT) FROM t JOIN e ON src = id WHERE d < 6 GROUP BY dst)
+        SELECT CAST(d AS BIGINT) AS hops, CAST(sum(n) AS BIGINT) AS n FROM (SELECT id, min(d) AS d, arg_min(n, d) AS n FROM t GROUP BY 1) WHERE d > 0 GROUP BY 1""",
+    ),
+    "walks_counted": (
+        lambda s, d: referral_graph(s, d),
+        "MATCH (a)-[*2..2]->(b) WHERE id(b) <= 20 RETURN id(b) AS b, count(*) AS n",
+        f"WITH {_E} SELECT y.dst AS b, count(*) AS n FROM e x JOIN e y ON x.dst = y.src WHERE y.dst <= 20 GROUP BY 1",
+    ),
+}
+
 _GREMLIN: dict[str, tuple[str, str]] = {
     "gremlin_values": ("g.V().hasLabel('Nation').values('name')", "SELECT n_name AS value FROM nation"),
     "gremlin_hops": ("g.V().hasLabel('Customer').has('acctbal', gt(9000)).out('PLACED').has('totalprice', between(100000, 200000)).values('key')", "SELECT o_orderkey AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 9000 AND o_totalprice >= 100000 AND o_totalprice < 200000"),
@@ -145,7 +180,9 @@ _GREMLIN: dict[str, tuple[str, str]] = {
     "gremlin_order_limit": ("g.V().hasLabel('Part').order().by('key', desc).limit(7).values('key')", "SELECT p_partkey AS value FROM part ORDER BY p_partkey DESC LIMIT 7"),
     "gremlin_where": ("g.V().hasLabel('Customer').where(out('PLACED').has('orderstatus', 'P')).values('key')", "SELECT c_custkey AS value FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')"),
     "gremlin_group_count": ("g.V().hasLabel('Customer').groupCount().by('mktsegment')", "SELECT c_mktsegment AS key, count(*) AS value FROM customer GROUP BY 1"),
-    "gremlin_mean": ("g.V().hasLabel('Part').has('size', within(1, 2, 3)).values('size').max()", "SELECT max(p_size) AS value FROM part WHERE p_size IN (1, 2, 3)"),
+    "gremlin_mean": ("g.V().hasLabel('Part').has('size', within(1, 2, 3)).values('size').mean()", "SELECT avg(p_size) AS value FROM part WHERE p_size IN (1, 2, 3)"),
+    "gremlin_max": ("g.V().hasLabel('Part').has('size', within(1, 2, 3)).values('size').max()", "SELECT max(p_size) AS value FROM part WHERE p_size IN (1, 2, 3)"),
+    "gremlin_not": ("g.V().hasLabel('Customer').not(__.out('PLACED').has('totalprice', gt(400000))).values('key')", "SELECT c_custkey AS value FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)"),
 }
 
 _GRAPHQL: dict[str, tuple[str, str]] = {
@@ -161,9 +198,67 @@ _SPARQL: dict[str, tuple[str, str]] = {
     "sparql_optional": ("SELECT ?n ?s WHERE { ?c ex:name ?n ; ex:nation ?x OPTIONAL { ?c ex:segment ?s } }", "SELECT c_name AS n, CASE WHEN c_mktsegment = 'BUILDING' THEN c_mktsegment END AS s FROM customer"),
     "sparql_union": ("SELECT ?n WHERE { { ?x ex:region ?r . ?x ex:name ?n } UNION { ?x ex:segment ?s . ?x ex:name ?n } }", "SELECT n_name AS n FROM nation UNION ALL SELECT c_name FROM customer WHERE c_mktsegment = 'BUILDING'"),
     "sparql_minus": ("SELECT ?n WHERE { ?c ex:name ?n ; ex:nation ?x MINUS { ?c ex:segment ?s } }", "SELECT c_name AS n FROM customer WHERE c_mktsegment IS DISTINCT FROM 'BUILDING'"),
-    "sparql_not_exists": ("SELECT ?n WHERE { ?x ex:region ?r ; ex:name ?n FILTER NOT EXISTS { ?c ex:nation ?x } }", "SELECT n_name AS n FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)"),
+    "sparql_not_exists": ("SELECT ?n WHERE { ?c ex:nation ?x ; ex:name ?n FILTER NOT EXISTS { ?c ex:segment ?s } }", "SELECT c_name AS n FROM customer WHERE c_mktsegment <> 'BUILDING'"),
     "sparql_group": ("SELECT ?r (COUNT(?c) AS ?k) WHERE { ?c ex:nation ?x . ?x ex:region ?y . ?y ex:name ?r } GROUP BY ?r HAVING (COUNT(?c) > 1)", "SELECT r_name AS r, CAST(count(*) AS VARCHAR) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1 HAVING count(*) > 1"),
     "sparql_path": ("SELECT ?n ?r WHERE { ?c ex:segment ?s ; ex:name ?n ; ex:nation/ex:region/ex:name ?r }", "SELECT c_name AS n, r_name AS r FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_mktsegment = 'BUILDING'"),
+    "sparql_strings": (
+        "SELECT ?n (STRBEFORE(?n, '#') AS ?a) (STRAFTER(?n, '#') AS ?b) (STRBEFORE(?n, '?') AS ?c) (REPLACE(?n, 'Customer', 'C') AS ?d) (UCASE(SUBSTR(?n, 2, 3)) AS ?e) (ENCODE_FOR_URI(?n) AS ?f) WHERE { ?c0 ex:nation ?x ; ex:name ?n }",
+        "SELECT c_name AS n, split_part(c_name, '#', 1) AS a, split_part(c_name, '#', 2) AS b, '' AS c, replace(c_name, 'Customer', 'C') AS d, upper(substr(c_name, 2, 3)) AS e, replace(c_name, '#', '%23') AS f FROM customer",
+    ),
+    "sparql_numbers": (
+        "SELECT ?n (FLOOR(ABS(?b)) AS ?a) (CEIL(?b) AS ?c) (FLOOR(?b) AS ?f) (ROUND(?b) AS ?r) (FLOOR(?b * 2 + 1) AS ?t) (FLOOR((?b - 5) / 2) AS ?h) WHERE { ?c0 ex:balance ?b ; ex:name ?n FILTER(?b = FLOOR(?b) || ABS(?b) > 9000) }",
+        "SELECT c_name AS n, CAST(CAST(floor(abs(b)) AS BIGINT) AS VARCHAR) AS a, CAST(CAST(ceil(b) AS BIGINT) AS VARCHAR) AS c, CAST(CAST(floor(b) AS BIGINT) AS VARCHAR) AS f, CAST(CAST(floor(b + 0.5::DOUBLE) AS BIGINT) AS VARCHAR) AS r, CAST(CAST(floor(b * 2 + 1) AS BIGINT) AS VARCHAR) AS t, CAST(CAST(floor((b - 5) / 2) AS BIGINT) AS VARCHAR) AS h FROM (SELECT *, c_acctbal AS b FROM customer) WHERE b = floor(b) OR abs(b) > 9000",
+    ),
+    "sparql_conditions": (
+        "SELECT ?n (IF(?b > 5000, 'high', 'low') AS ?k) (COALESCE(?s, 'none') AS ?t) (BOUND(?s) AS ?u) WHERE { ?c ex:name ?n ; ex:balance ?b OPTIONAL { ?c ex:segment ?s } }",
+        "SELECT c_name AS n, CASE WHEN c_acctbal > 5000 THEN 'high' ELSE 'low' END AS k, CASE WHEN c_mktsegment = 'BUILDING' THEN c_mktsegment ELSE 'none' END AS t, CASE WHEN c_mktsegment = 'BUILDING' THEN 'true' ELSE 'false' END AS u FROM customer",
+    ),
+    "sparql_types": (
+        "SELECT ?n (isIRI(?x) AS ?a) (isLITERAL(?n) AS ?b) (isNUMERIC(?b0) AS ?c) (isBLANK(?x) AS ?d) (DATATYPE(?b0) AS ?e) (STR(?x) AS ?f) WHERE { ?c0 ex:nation ?x ; ex:name ?n ; ex:balance ?b0 }",
+        "SELECT c_name AS n, 'true' AS a, 'true' AS b, 'true' AS c, 'false' AS d, 'http://www.w3.org/2001/XMLSchema#double' AS e, 'http://ex/nation/' || c_nationkey AS f FROM customer",
+    ),
+    "sparql_predicates": (
+        "SELECT ?n WHERE { ?c ex:nation ?x ; ex:name ?n FILTER(REGEX(?n, '[13]$') && STRSTARTS(?n, 'Cust') && (CONTAINS(?n, '99') || STRENDS(?n, '11')) && ?n NOT IN ('Customer#000000011')) }",
+        "SELECT c_name AS n FROM customer WHERE regexp_matches(c_name, '[13]$') AND (contains(c_name, '99') OR ends_with(c_name, '11')) AND c_name <> 'Customer#000000011'",
+    ),
+    "sparql_hashes": ("SELECT ?n (MD5(?n) AS ?a) (SHA256(?n) AS ?b) WHERE { ?x ex:region ?r ; ex:name ?n }", "SELECT n_name AS n, md5(n_name) AS a, sha256(n_name) AS b FROM nation"),
+    "sparql_dates": (
+        "SELECT ?n (YEAR(?t) AS ?a) (MONTH(?t) AS ?b) (DAY(?t) AS ?c) (HOURS(?t) AS ?d) (MINUTES(?t) AS ?e) (SECONDS(?t) AS ?f) (TZ(?t) AS ?g) (TIMEZONE(?t) AS ?h) WHERE { ?x ex:region ?r ; ex:name ?n BIND('2021-03-04T05:06:07Z' AS ?t) }",
+        "SELECT n_name AS n, '2021' AS a, '3' AS b, '4' AS c, '5' AS d, '6' AS e, '7' AS f, 'Z' AS g, 'PT0S' AS h FROM nation",
+    ),
+    "sparql_terms": (
+        "SELECT ?n (STR(IRI(CONCAT('http://ex/n/', ?n))) AS ?a) (DATATYPE(STRDT(?n, ex:t)) AS ?b) (LANG(STRLANG(?n, 'en')) AS ?c) (sameTerm(?n, ?n) AS ?d) (LANGMATCHES(LANG(STRLANG(?n, 'en-GB')), 'en') AS ?e) WHERE { ?x ex:region ?r ; ex:name ?n }",
+        "SELECT n_name AS n, 'http://ex/n/' || n_name AS a, 'http://ex/t' AS b, 'en' AS c, 'true' AS d, 'true' AS e FROM nation",
+    ),
+    "sparql_aggregates": (
+        "SELECT ?x (COUNT(?c) AS ?k) (COUNT(DISTINCT ?s) AS ?d) (FLOOR(MIN(?b)) AS ?lo) (FLOOR(MAX(?b)) AS ?hi) (ROUND(AVG(?b)) AS ?av) (ROUND(SUM(?b)) AS ?su) WHERE { ?c ex:nation ?x ; ex:balance ?b OPTIONAL { ?c ex:segment ?s } } GROUP BY ?x",
+        "SELECT 'http://ex/nation/' || c_nationkey AS x, CAST(count(*) AS VARCHAR) AS k, CAST(count(DISTINCT CASE WHEN c_mktsegment = 'BUILDING' THEN 1 END) AS VARCHAR) AS d, CAST(CAST(floor(min(c_acctbal)) AS BIGINT) AS VARCHAR) AS lo, CAST(CAST(floor(max(c_acctbal)) AS BIGINT) AS VARCHAR) AS hi, CAST(CAST(floor(avg(c_acctbal) + 0.5) AS BIGINT) AS VARCHAR) AS av, CAST(CAST(floor(sum(c_acctbal) + 0.5) AS BIGINT) AS VARCHAR) AS su FROM customer GROUP BY c_nationkey",
+    ),
+    "sparql_group_concat": (
+        "SELECT ?r (GROUP_CONCAT(?n ; SEPARATOR = '|') AS ?l) (SAMPLE(?n) AS ?s) WHERE { ?x ex:region ?y ; ex:name ?n . ?y ex:name ?r } GROUP BY ?r",
+        "SELECT r_name AS r, string_agg(n_name, '|' ORDER BY n_name) AS l, min(n_name) AS s FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
+    ),
+    "sparql_unbound": (
+        "SELECT ?n ?s WHERE { ?c ex:nation ?x ; ex:name ?n OPTIONAL { ?c ex:segment ?s } VALUES (?x ?s) { (<http://ex/nation/3> UNDEF) (UNDEF 'BUILDING') } }",
+        "SELECT c_name AS n, CASE WHEN c_mktsegment = 'BUILDING' THEN c_mktsegment END AS s FROM customer WHERE c_nationkey = 3 UNION ALL SELECT c_name, 'BUILDING' FROM customer WHERE c_mktsegment = 'BUILDING' OR c_mktsegment <> 'BUILDING'",
+    ),
+    "sparql_in_order": (
+        "SELECT ?n WHERE { ?c ex:nation ?x ; ex:name ?n MINUS { ?c ex:segment ?s } ?x ex:region ?y . ?y ex:name 'ASIA' }",
+        "SELECT c_name AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_mktsegment <> 'BUILDING' AND r_name = 'ASIA'",
+    ),
+    "sparql_subselect": (
+        "SELECT ?n ?k WHERE { { SELECT ?x (COUNT(?c) AS ?k) WHERE { ?c ex:nation ?x ; ex:segment ?s } GROUP BY ?x } ?x ex:name ?n }",
+        "SELECT n_name AS n, CAST(count(*) AS VARCHAR) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1",
+    ),
+    "sparql_exists": (
+        "SELECT ?n WHERE { ?x ex:region ?r ; ex:name ?n FILTER EXISTS { ?c ex:nation ?x ; ex:balance ?b FILTER(?b > 9900) } }",
+        "SELECT n_name AS n FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)",
+    ),
+    "sparql_order_limit": (
+        "SELECT ?n WHERE { ?c ex:name ?n ; ex:balance ?b FILTER(?b > 0) } ORDER BY DESC(?b) ?n LIMIT 15 OFFSET 5",
+        "SELECT c_name AS n FROM customer WHERE c_acctbal > 0 ORDER BY c_acctbal DESC, c_name LIMIT 15 OFFSET 5",
+    ),
+    "sparql_closure": ("SELECT ?r WHERE { <http://ex/nation/3> ex:region?/ex:name ?r }", "SELECT n_name AS r FROM nation WHERE n_nationkey = 3 UNION SELECT r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = 3"),
     "sparql_bind": ("SELECT ?u WHERE { ?x ex:region ?r ; ex:name ?n BIND(CONCAT(LCASE(?n), '-', SUBSTR(?n, 1, 2)) AS ?u) }", "SELECT lower(n_name) || '-' || substr(n_name, 1, 2) AS u FROM nation"),
 }
 
@@ -198,11 +293,7 @@ def _algorithms() -> dict[str, tuple[Callable, str | None]]:
         "algo_pagerank": (lambda s, d: centrality.pagerank(r(s, d), max_iterations=10, tolerance=0.0).select("id", F.round("rank", 10).alias("rank")), _pagerank_sql()),
         "algo_triangles": (lambda s, d: structure.triangle_count(r(s, d)), tri + " SELECT v.id, coalesce(t, 0) AS triangles FROM v LEFT JOIN c USING (id)"),
         "algo_clustering": (lambda s, d: structure.clustering(r(s, d)).select("id", F.round("coefficient", 9).alias("coefficient")), tri + ", k AS (SELECT a AS id, count(*) AS k FROM u GROUP BY 1) SELECT v.id, round(CASE WHEN coalesce(k, 0) < 2 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(t, 0) / (k * (k - 1)) END, 9) AS coefficient FROM v LEFT JOIN c USING (id) LEFT JOIN k USING (id)"),
-        "algo_core_numbers": (lambda s, d: structure.core_numbers(r(s, d)), None),
         "algo_spanning_forest": (lambda s, d: structure.spanning_forest(r(s, d), "w"), None),
-        "algo_label_propagation": (lambda s, d: structure.label_propagation(r(s, d), 5), None),
-        "algo_louvain": (lambda s, d: sequential.louvain(r(s, d), rounds=5), None),
-        "algo_articulation_points": (lambda s, d: sequential.articulation_points(r(s, d)), None),
         "algo_closeness": (lambda s, d: centrality.closeness_centrality(r(s, d)), None),
     }
 
@@ -217,9 +308,27 @@ def _others() -> dict[str, tuple[Callable, str | None]]:
 
     def batch(spark, sf_dir):
         df = _table(spark, sf_dir, "embeddings")
-        q = df.where("vec_id < 5").select(F.col("vec_id").alias("query"), "embedding")
+        q = df.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "embedding")
         return vectors.batch_search(df, q, 3, key="vec_id", metric="cosine").select("query", "vec_id", "rank")
 
+    def by_metric(metric):
+        def run(spark, sf_dir):
+            df = _table(spark, sf_dir, "embeddings")
+            q = [float(x) for x in df.where("vec_id = 1").first()["embedding"]]
+            return vectors.search(df, q, 10, key="vec_id", metric=metric).select("vec_id", F.round("distance", 6).alias("distance"))
+
+        return run
+
+    def joined(spark, sf_dir):
+        df = _table(spark, sf_dir, "embeddings")
+        left = df.where("label = 1").select("vec_id", "embedding")
+        return vectors.vector_join(left, df.where("label = 2"), 2, left_key="vec_id", right_key="vec_id", metric="euclidean").select("vec_id", "match", "rank")
+
+    def in_a_query(spark, sf_dir):
+        g = PropertyGraph(spark).with_vertices(_table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id").withColumn("key", F.col("id")), "Vector")
+        text = "MATCH (a:Vector), (b:Vector) WHERE a.key = 0 AND b.key < 50 RETURN b.key AS key, round(euclidean_distance(a.embedding, b.embedding) * 1000) AS e, round(dot_product(a.embedding, b.embedding) * 1000) AS d, round(manhattan_distance(a.embedding, b.embedding) * 1000) AS m"
+        return g.cypher(text)
+
     def merge(spark, sf_dir):
         g = t(spark, sf_dir).execute("MERGE (r:Region {name: 'ATLANTIS'}) ON CREATE SET r.key = 99").graph
         return g.cypher("MATCH (r:Region) RETURN r.name AS name, r.key AS key")
@@ -241,10 +350,15 @@ def _others() -> dict[str, tuple[Callable, str | None]]:
         return _terms(store.sparql(_PREFIX + "SELECT ?n ?r WHERE { ?x ex:within ?y ; ex:name ?n . ?y ex:name ?r }"))
 
     squares = "list_sum([(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) ** 2 for z in list_zip(x.embedding, q.embedding)])"
+    absolute = "list_sum([abs(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) for z in list_zip(x.embedding, q.embedding)])"
     dot = lambda a, b: f"list_sum([CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE) for z in list_zip({a}.embedding, {b}.embedding)])"
     return {
         "vector_search": (knn, f"SELECT x.vec_id, round(sqrt({squares}), 6) AS distance FROM embeddings x, embeddings q WHERE q.vec_id = 0 ORDER BY sqrt({squares}), x.vec_id LIMIT 10"),
-        "vector_batch_search": (batch, f"SELECT query, vec_id, rank FROM (SELECT q.vec_id AS query, x.vec_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY 1 - {dot('x', 'q')} / (sqrt({dot('x', 'x')}) * sqrt({dot('q', 'q')})), x.vec_id) AS INTEGER) AS rank FROM embeddings x, embeddings q WHERE q.vec_id < 5) WHERE rank <= 3"),
+        "vector_batch_search": (batch, f"SELECT query, vec_id, rank FROM (SELECT q.vec_id AS query, x.vec_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY 1 - {dot('x', 'q')} / (sqrt({dot('x', 'x')}) * sqrt({dot('q', 'q')})), x.vec_id) AS INTEGER) AS rank FROM embeddings x, embeddings q WHERE q.vec_id % 100 = 0) WHERE rank <= 3"),
+        "vector_search_manhattan": (by_metric("manhattan"), f"SELECT x.vec_id, round({absolute}, 6) AS distance FROM embeddings x, embeddings q WHERE q.vec_id = 1 ORDER BY {absolute}, x.vec_id LIMIT 10"),
+        "vector_search_dot": (by_metric("dot"), f"SELECT x.vec_id, round(-{dot('x', 'q')}, 6) AS distance FROM embeddings x, embeddings q WHERE q.vec_id = 1 ORDER BY -{dot('x', 'q')}, x.vec_id LIMIT 10"),
+        "vector_join": (joined, f"SELECT vec_id, match, rank FROM (SELECT q.vec_id, x.vec_id AS match, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {squares}, x.vec_id) AS INTEGER) AS rank FROM embeddings x, embeddings q WHERE q.label = 1 AND x.label = 2) WHERE rank <= 2"),
+        "vector_functions": (in_a_query, f"SELECT x.vec_id AS key, round(sqrt({squares}) * 1000) AS e, round({dot('x', 'q')} * 1000) AS d, round({absolute} * 1000) AS m FROM embeddings x, embeddings q WHERE q.vec_id = 0 AND x.vec_id < 50"),
         "mutation_merge": (merge, "SELECT r_name AS name, CAST(r_regionkey AS BIGINT) AS key FROM region UNION ALL SELECT 'ATLANTIS', 99"),
         "mutation_create": (created, "SELECT n_name AS nation, n_name AS port, 1 AS w FROM nation"),
         "mutation_delete": (deleted, "SELECT count(DISTINCT c_custkey) AS customers, count(*) AS orders FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_acctbal >= 0"),
@@ -260,13 +374,15 @@ def registry() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
     out: dict[str, tuple[Callable, str | None]] = {}
     for name, (text, sql) in _CYPHER.items():
         out[name] = (lambda s, d, q=text: tpch_graph(s, d).cypher(q)), sql
+    for name, (graph, text, sql) in _ELSEWHERE.items():
+        out[name] = (lambda s, d, g=graph, q=text: g(s, d).cypher(q)), sql
     for name, (text, sql) in _GREMLIN.items():
         out[name] = (lambda s, d, q=text: tpch_graph(s, d).gremlin(q)), sql
     for name, (text, sql) in _GRAPHQL.items():
         out[name] = (lambda s, d, q=text: tpch_graph(s, d).graphql(q)), sql
     for name, (text, sql) in _SPARQL.items():
         out[name] = (lambda s, d, q=text: _terms(triples(s, d).sparql(_PREFIX + q))), sql
-    return out | _algorithms() | _others()
+    return out | _algorithms() | queries_algorithms.queries(referral_graph) | _others()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -81,14 +81,11 @@ class TripleStore:
         return df
 
     def insert(self, rows: DataFrame) -> TripleStore:
-        return replace(self, triples=self.triples.unionByName(_quads(rows)).distinct())
+        """The rows that aren't there yet are added; those that are stay where they are."""
+        return replace(self, triples=self.triples.unionByName(_beyond(_quads(rows).distinct(), self.triples)))
 
     def delete(self, rows: DataFrame) -> TripleStore:
-        rows = _quads(rows).withColumnsRenamed({c: f"_{c}" for c in "spog"})
-        on = F.lit(True)
-        for c in "spog":
-            on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-        return replace(self, triples=self.triples.join(rows, on, "left_anti"))
+        return replace(self, triples=_beyond(self.triples, _quads(rows)))
 
     def clear(self, graph: str | None = None, everything: bool = False) -> TripleStore:
         keep = F.lit(False) if everything else F.col("g").isNotNull() if graph is None else (F.col("g") != graph) | F.col("g").isNull()
@@ -133,6 +130,15 @@ def _written(c: Column) -> Column:
     return F.when(c["kind"] == "iri", F.concat(F.lit("<"), c["value"], F.lit(">"))).when(c["kind"] == "blank", F.concat(F.lit("_:"), c["value"])).otherwise(F.concat(F.lit('"'), text, F.lit('"'), tail))
 
 
+def _beyond(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """The rows that others don't have, null graphs alike."""
+    others = others.withColumnsRenamed({c: f"_{c}" for c in "spog"})
+    on = F.lit(True)
+    for c in "spog":
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.join(others, on, "left_anti")
+
+
 def _quads(rows: DataFrame) -> DataFrame:
     if "g" not in rows.columns:
         rows = rows.withColumn("g", F.lit(None).cast("string"))

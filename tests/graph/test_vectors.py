@@ -48,3 +48,37 @@ def test_more_queries_than_are_broadcast(spark):
     queries = df.withColumnRenamed("id", "query")
     rows = lambda **k: sorted((r.query, r.rank, r.id) for r in vectors.batch_search(df, queries, 3, **k).collect())
     assert rows(most_queries=7) == rows() and len(rows()) == 180
+
+
+def test_many_equal_vectors(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(50, 3000)] + [(7, [1.0, 2.5]), (8, [9.0, 9.0]), (9, None), (10, [1.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.4]), (3, None)], "query long, embedding array<double>")
+    for metric in ("euclidean", "manhattan"):
+        got = sorted((r.query, r.rank, r.id) for r in vectors.batch_search(df, q, 2, metric=metric).collect())
+        assert got == [(1, 1, 50), (1, 2, 51), (2, 1, 7), (2, 2, 50)]
+    assert vectors.batch_search(df.limit(0), q, 2).count() == 0 and vectors.batch_search(df, q.limit(0), 2).count() == 0
+
+
+def test_vector_join(spark):
+    df, v = frame(spark)
+    got = vectors.vector_join(df.where("id < 6"), df, 2, metric="euclidean").collect()
+    best = lambda i: sorted(v, key=lambda j: (math.dist(v[i], v[j]), j))[:2]
+    assert {(r.id, r.rank, r.match) for r in got} == {(i, k + 1, j) for i in range(6) for k, j in enumerate(best(i))}
+
+
+def test_cells_find_what_brute_force_finds(spark, tmp_path):
+    rng = random.Random(5)
+    centres = [[rng.uniform(-1, 1) for _ in range(16)] for _ in range(40)]
+    rows = [(i, [x + rng.gauss(0, 0.25) for x in rng.choice(centres)]) for i in range(4000)] + [(9999, None)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    vectors.CellIndex.build(df, cells=64).save(str(tmp_path / "index"))
+    index = vectors.CellIndex.load(spark, str(tmp_path / "index"))
+    assert index.table.count() == 4000
+    hit = 0
+    for i in range(0, 4000, 400):
+        best = sorted((j for j, v in rows if v), key=lambda j: math.dist(rows[i][1], rows[j][1]))[:10]
+        hit += len(set(best) & {r.id for r in index.search(rows[i][1], 10, probes=12).collect()})
+    assert hit >= 90  # a recall of 0.9
+    plan = index.search(rows[0][1], 10, probes=4)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan
