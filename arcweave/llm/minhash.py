@@ -196,6 +196,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     component = similar.components(members, None, sets_of, similarity, finer)
     of = nodes.select("h1", "h2", "node").join(component, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
     ids = cluster.staged(banded.select(*similar.KEY).join(of, ["h1", "h2"]).select(F.when(F.col("no_id") == 0, F.col("id")).alias("doc_id"), "component"), "components")
+    cluster.discard(banded, nodes)
     least = cluster.checkpointed(ids.groupBy("component").agg(F.min("doc_id").alias("component_id")))
     return ids.join(least, "component").select("doc_id", "component_id")
 

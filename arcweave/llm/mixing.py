@@ -129,6 +129,7 @@ def emit(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
     """
     sized = cluster.staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     plan = _plan(sized, weights, share, most, seed)
+    cluster.discard(sized)
     planned = _attach(docs.select(F.struct("*").alias("row"), "doc_id", "source"), plan, ["rate", "turn"])
     return planned.select("row", F.explode(F.array_repeat(F.lit(0), _taken(seed).cast("int")))).select("row.*")
 

@@ -216,6 +216,7 @@ def pack_items(items: DataFrame, capacity: int, level: int = 0) -> DataFrame:
     rows = dealt.groupBy("shard").applyInPandas(_shard, "shard long, items binary, sizes binary")
     state = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.lit(None).cast("binary").alias("population"), F.lit(None).cast("binary").alias("guest"))
     tasks = min(shards * ISLANDS, max(cluster.shuffle_partitions(items.sparkSession), shards * ISLANDS // 8))
+    used = []
     for epoch in range(EPOCHS):
         state = cluster.staged(
             state.repartition(tasks, "shard", "island").mapInPandas(
@@ -223,11 +224,14 @@ def pack_items(items: DataFrame, capacity: int, level: int = 0) -> DataFrame:
             ),
             "islands",
         )
+        used.append(state)
         if epoch < EPOCHS - 1:
             guests = state.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("best").alias("guest"))
             state = state.drop("best", "bins", "score").join(guests, ["shard", "island"])
     chosen = state.groupBy("shard").agg(F.min_by(F.struct("items", "sizes", "best"), F.struct("bins", "score", "island")).alias("x")).select("shard", "x.*")
-    return chosen.mapInPandas(_places(capacity), "item long, length long, sequence_id long, offset long, room long")
+    placed = cluster.staged(chosen.mapInPandas(_places(capacity), "item long, length long, sequence_id long, offset long, room long"), "placed")
+    cluster.discard(*used)
+    return placed
 
 
 def pack(docs: DataFrame, spec: str, length: int = LENGTH, end: int = 2, keep_ids: bool = False) -> DataFrame:
@@ -244,12 +248,12 @@ def pack(docs: DataFrame, spec: str, length: int = LENGTH, end: int = 2, keep_id
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_cut(shared, end, length, keep_ids), schema)
     rows = cluster.staged(rows, "pieces")
     part = rows.where(F.col("length") < length).select("item", "length")
-    placed = cluster.staged(pack_items(part, length), "placed")
+    placed = pack_items(part, length)
     # Bins with room to spare meet those of other shards; what comes of it counts if it needs fewer.
     spare = placed.where(F.col("room") >= length // 32)
     before = spare.agg(F.count_distinct("sequence_id")).first()[0]
     if before > 1 and placed.agg(F.count_distinct(F.shiftright("sequence_id", 24))).first()[0] > 1:
-        again = cluster.staged(pack_items(spare.select("item", "length"), length, 1), "placed")
+        again = pack_items(spare.select("item", "length"), length, 1)
         if again.agg(F.count_distinct("sequence_id")).first()[0] < before:
             placed = placed.where(F.col("room") < length // 32).unionByName(again)
     whole = rows.where(F.col("length") >= length).withColumn("sequence_id", -1 - F.col("item")).withColumn("offset", F.lit(0).cast("bigint"))

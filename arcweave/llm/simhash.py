@@ -292,6 +292,7 @@ def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, mos
     counted = sketched.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     judged = counted.join(winner.withColumn("wins", F.lit(True)), key, "left").select(*key, "n", F.coalesce("wins", F.lit(False)).alias("wins"))
     judged = cluster.checkpointed(judged.where("n > 1 or not wins"))
+    cluster.discard(sketched, nodes, sets, known)
     kept = cluster.join_ids(keyed.select("row", *key), judged.where("not wins").select(*key), key, "left_anti")
     many = judged.where("wins").select(*key)
     if many.isEmpty():

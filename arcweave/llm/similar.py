@@ -236,8 +236,10 @@ def components(members: DataFrame, known: DataFrame | None, sets_of: Callable[[D
     links = verified(found, sets, similarity)
     links = cluster.staged(links if known is None else links.unionByName(known), "similar")
     component = smallest_member(links, "a", "b").withColumnRenamed("id", "node")
+    used = [met, sets, links]
     large = met.where("bucket is not null").select("bucket", F.col("b").alias("node"))
     if large.isEmpty():
+        cluster.discard(*used)
         return component
     large = cluster.checkpointed(large.join(component, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")))
     # Of buckets with the same nodes one will do; of each, the component with most nodes needn't be compared with itself.
@@ -245,10 +247,12 @@ def components(members: DataFrame, known: DataFrame | None, sets_of: Callable[[D
     open_ = large.groupBy("bucket").agg(same.alias("nodes"), F.count(F.lit(1)).alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     open_ = cluster.checkpointed(open_.groupBy("nodes").agg(F.min("bucket").alias("bucket"), F.max("n").alias("n")).select("bucket", "n"))
     if open_.isEmpty():
+        cluster.discard(*used)
         return component
     if finer and level < LEVELS and not (wide := open_.where(F.col("n") > FINER)).isEmpty():
         rows = large.join(wide.select("bucket"), "bucket", "left_semi").join(sets, "node").select("bucket", "node", "shingles", "component")
         below = cluster.staged(rows.mapInArrow(finer(level), "bucket long, node long, size int, component long"), "finer")
+        used.append(below)
         component = components(below, links, lambda nodes: sets.join(nodes, "node", "left_semi"), similarity, finer, most, level + 1)
         open_ = open_.where(F.col("n") <= FINER)
         large = cluster.checkpointed(large.join(open_, "bucket", "left_semi").select("bucket", "node").join(component, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")))
@@ -258,10 +262,14 @@ def components(members: DataFrame, known: DataFrame | None, sets_of: Callable[[D
     blocks = lambda k: F.ceil(k / BLOCK).cast("int")
     of = cluster.checkpointed(of.select("bucket", F.col("main.component").alias("main"), blocks(F.col("all") - F.col("main.n")).alias("rest"), blocks(F.col("main.n")).alias("mains")))
     if of.isEmpty():
+        cluster.discard(*used)
         return component
     slot = F.when(F.col("component") == F.col("main"), F.col("rest") + F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest")))
     others = F.when(F.col("slot") < F.col("rest"), F.sequence(F.lit(0), F.col("rest") + F.col("mains") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") - 1))
     sent = large.join(of, "bucket").withColumn("slot", slot.cast("int")).select("bucket", "node", "component", "slot", F.explode(others).alias("other"))
     sent = sent.select("bucket", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "node", "component").join(sets, "node")
     more = sent.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").select("bucket", "i", "j", "node", "component", "shingles").mapInArrow(_blocks(similarity), "a long, b long")
-    return smallest_member(cluster.staged(links.unionByName(more), "similar"), "a", "b").withColumnRenamed("id", "node")
+    every = cluster.staged(links.unionByName(more), "similar")
+    component = smallest_member(every, "a", "b").withColumnRenamed("id", "node")
+    cluster.discard(*used, every)
+    return component

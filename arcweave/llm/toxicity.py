@@ -261,6 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     keys = np.union1d(found["key"].to_numpy(np.int64)[order].view(np.uint64), terms)
     got = rows.mapInArrow(_rows(Chosen(keys)), "y int, has array<int>, swapped array<int>, mark long").toArrow()
     got = got.take(pa.array(np.lexsort((np.array(got.column("mark")), np.array(got.column("y"))))))  # whatever order they came in
+    cluster.discard(rows)
     y, has, other = (got.column(c).combine_chunks() for c in ("y", "has", "swapped"))
     return _train(np.array(y, float), has, other, keys)
 

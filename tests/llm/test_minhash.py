@@ -94,16 +94,15 @@ def test_near_duplicates_by_bands(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-def same_bands_of(banded, batches):
-    """All texts in one bucket a band."""
-    for b in banded(batches):
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*similar.KEY, "size")), pa.array([[1] * minhash.BANDS] * b.num_rows, pa.list_(pa.int64()))], names=b.schema.names)
-
-
 @pytest.mark.parametrize(("finer", "hot"), [(1024, 2000), (64, 2000), (64, 1)])
 def test_pairs_in_large_buckets_are_found(spark, monkeypatch, finer, hot):
-    banded = minhash._banded
-    monkeypatch.setattr(minhash, "_banded", lambda batches: same_bands_of(banded, batches))
+    banded, names = minhash._banded, (*similar.KEY, "size")
+
+    def same(batches):  # all texts in one bucket a band
+        for b in banded(batches):
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array([[1] * minhash.BANDS] * b.num_rows, pa.list_(pa.int64()))], names=b.schema.names)
+
+    monkeypatch.setattr(minhash, "_banded", same)
     monkeypatch.setattr(similar, "FINER", finer)
     monkeypatch.setattr(similar, "HOT", hot)
     rng = random.Random(4)
