@@ -61,7 +61,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = cluster.staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, cluster.staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        cluster.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
