@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
@@ -36,20 +37,37 @@ def create_edges(graph: PropertyGraph, rows: DataFrame, type: str) -> PropertyGr
     return graph.with_edges(rows, type)
 
 
-def delete_nodes(graph: PropertyGraph, ids: DataFrame, detach: bool = True) -> PropertyGraph:
-    """ids: a column ``id``. With detach, edges at a deleted node go, too; without, they are left dangling."""
-    ids = ids.select(F.col("id").alias("_gone")).distinct()
-    vertices = tuple(replace(t, df=t.df.join(ids, F.col("id") == F.col("_gone"), "left_anti")) for t in graph.vertices)
-    edges = graph.edges
-    if detach:
-        edges = tuple(replace(t, df=t.df.join(ids, F.col("src") == F.col("_gone"), "left_anti").join(ids, F.col("dst") == F.col("_gone"), "left_anti")) for t in edges)
-    return replace(graph, vertices=vertices, edges=edges)
+def _holds(t: VertexTable | EdgeTable, only: Collection[str]) -> bool:
+    """Whether nodes with all the labels, or edges of one of the types, can be in the table. only: empty if unknown."""
+    if isinstance(t, VertexTable):
+        return t.labels is None or set(only) <= set(t.labels)
+    return not only or t.type is None or t.type.lower() in {x.lower() for x in only}
+
 
+def delete_nodes(graph: PropertyGraph, ids: DataFrame, detach: bool = True, only: Collection[str] = ()) -> PropertyGraph:
+    """ids: a column ``id``. With detach, edges at a deleted node go, too; without, they are left dangling.
 
-def delete_edges(graph: PropertyGraph, ids: DataFrame) -> PropertyGraph:
-    """ids: a column ``eid``."""
+    only: labels that all these nodes carry; other tables, and edges that can't end in such a node, aren't read.
+    """
+    ids = ids.select(F.col("id").alias("_gone")).distinct()
+    gone = lambda df, c: df.join(ids, F.col(c) == F.col("_gone"), "left_anti")
+    touched = [t for t in graph.vertices if _holds(t, only)]
+    vertices = tuple(replace(t, df=gone(t.df, "id")) if t in touched else t for t in graph.vertices)
+    edges = []
+    for t in graph.edges:
+        df = t.df
+        for c, labels in (("src", t.source), ("dst", t.target)) if detach else ():
+            if any(v.labels is None or set(labels) <= set(v.labels) for v in touched):
+                df = gone(df, c)
+        edges.append(t if df is t.df else replace(t, df=df))
+    return replace(graph, vertices=vertices, edges=tuple(edges))
+
+
+def delete_edges(graph: PropertyGraph, ids: DataFrame, only: Collection[str] = ()) -> PropertyGraph:
+    """ids: a column ``eid``; only: types that they may have."""
     ids = ids.select(F.col("eid").alias("_gone")).distinct()
-    return replace(graph, edges=tuple(replace(t, df=t.df.join(ids, F.col("eid") == F.col("_gone"), "left_anti")) for t in graph.edges))
+    gone = lambda t: replace(t, df=t.df.join(ids, F.col("eid") == F.col("_gone"), "left_anti"))
+    return replace(graph, edges=tuple(gone(t) if _holds(t, only) else t for t in graph.edges))
 
 
 def _set(df: DataFrame, key: str, name: str, values: DataFrame) -> DataFrame:
@@ -61,25 +79,27 @@ def _set(df: DataFrame, key: str, name: str, values: DataFrame) -> DataFrame:
     return joined.withColumn(name, new).drop("_id", "_value", "_hit")
 
 
-def set_property(graph: PropertyGraph, values: DataFrame, name: str, kind: str = "node") -> PropertyGraph:
-    """values: id (or eid) and value; other nodes keep what they have."""
+def set_property(graph: PropertyGraph, values: DataFrame, name: str, kind: str = "node", only: Collection[str] = ()) -> PropertyGraph:
+    """values: id (or eid) and value; other nodes keep what they have. only: labels that all of these nodes carry, or
+    types that these edges may have."""
     key = "id" if kind == "node" else "eid"
     values = values.select(F.col(key).alias("_id"), F.col("value").alias("_value"))
+    changed = lambda t: replace(t, df=_set(t.df, key, name, values)) if _holds(t, only) else t
     if kind == "node":
-        return replace(graph, vertices=tuple(replace(t, df=_set(t.df, key, name, values)) for t in graph.vertices))
-    return replace(graph, edges=tuple(replace(t, df=_set(t.df, key, name, values)) for t in graph.edges))
+        return replace(graph, vertices=tuple(map(changed, graph.vertices)))
+    return replace(graph, edges=tuple(map(changed, graph.edges)))
 
 
-def replace_properties(graph: PropertyGraph, ids: DataFrame, properties: dict[str, Column | object], merge: bool = False, kind: str = "node") -> PropertyGraph:
+def replace_properties(graph: PropertyGraph, ids: DataFrame, properties: dict[str, Column | object], merge: bool = False, kind: str = "node", only: Collection[str] = ()) -> PropertyGraph:
     """Set several properties of the ids; unless merged, all their other properties become null."""
     key = "id" if kind == "node" else "eid"
     names = dict.fromkeys(properties)
     if not merge:
         tables = graph.vertices if kind == "node" else graph.edges
-        names |= dict.fromkeys(p for t in tables for p in t.properties)
+        names |= dict.fromkeys(p for t in tables if _holds(t, only) for p in t.properties)
     for name in names:
         v = properties.get(name)
-        graph = set_property(graph, ids.select(key, (v if isinstance(v, Column) else F.lit(v)).alias("value")), name, kind)
+        graph = set_property(graph, ids.select(key, (v if isinstance(v, Column) else F.lit(v)).alias("value")), name, kind, only)
     return graph
 
 
@@ -87,12 +107,15 @@ def _with_labels(t: VertexTable) -> DataFrame:
     return t.df if t.labels is None else t.df.withColumn("labels", F.array(*[F.lit(x) for x in t.labels]))
 
 
-def change_labels(graph: PropertyGraph, ids: DataFrame, labels: tuple[str, ...], add: bool) -> PropertyGraph:
-    """Add labels to the nodes of a column ``id``, or take them away."""
+def change_labels(graph: PropertyGraph, ids: DataFrame, labels: tuple[str, ...], add: bool, only: Collection[str] = ()) -> PropertyGraph:
+    """Add labels to the nodes of a column ``id``, or take them away. only: labels that all these nodes carry."""
     ids = ids.select(F.col("id").alias("_id")).distinct().withColumn("_hit", F.lit(True))
     these = F.array(*[F.lit(x) for x in labels])
     tables = []
     for t in graph.vertices:
+        if not _holds(t, only):
+            tables.append(t)
+            continue
         df = _with_labels(t).join(ids, F.col("id") == F.col("_id"), "left")
         new = F.array_union("labels", these) if add else F.array_except("labels", these)
         tables.append(VertexTable(df.withColumn("labels", F.when(F.col("_hit"), new).otherwise(F.col("labels"))).drop("_id", "_hit"), None))
@@ -116,9 +139,9 @@ def apply(c, clause) -> PropertyGraph:
         graph = c.graph
         for v in clause.variables:
             if c.kinds[v] == "edge":
-                graph = delete_edges(graph, c.df.select(F.col(f"`{v}`").alias("eid")))
+                graph = delete_edges(graph, c.df.select(F.col(f"`{v}`").alias("eid")), c.of[v])
             else:
-                graph = delete_nodes(graph, c.df.select(F.col(f"`{v}`").alias("id")), clause.detach)
+                graph = delete_nodes(graph, c.df.select(F.col(f"`{v}`").alias("id")), clause.detach, c.of[v])
         return graph
     if isinstance(clause, tree.Set):
         return _set_items(c, clause.items)
@@ -127,7 +150,7 @@ def apply(c, clause) -> PropertyGraph:
         for item in clause.items:
             kind = c.kinds[item[1]]
             ids = c.df.select(F.col(f"`{item[1]}`").alias("id" if kind == "node" else "eid"))
-            graph = change_labels(graph, ids, item[2], False) if item[0] == "labels" else set_property(graph, ids.withColumn("value", F.lit(None)), item[2], kind)
+            graph = change_labels(graph, ids, item[2], False, c.of[item[1]]) if item[0] == "labels" else set_property(graph, ids.withColumn("value", F.lit(None)), item[2], kind, c.of[item[1]])
         return graph
     raise TypeError(clause)
 
@@ -140,15 +163,15 @@ def _set_items(c, items) -> PropertyGraph:
         key = "id" if kind == "node" else "eid"
         ids = F.col(f"`{var}`").alias(key)
         if item[0] == "prop":
-            graph = set_property(graph, c.df.select(ids, c.column(item[3]).alias("value")), item[2], kind)
+            graph = set_property(graph, c.df.select(ids, c.column(item[3]).alias("value")), item[2], kind, c.of[var])
             if f"{var}__{item[2]}" in c.df.columns:
                 c.df = c.df.withColumn(f"{var}__{item[2]}", c.column(item[3]))
         elif item[0] == "map":
             values = {k: c.column(v) for k, v in item[2][1].items()}
             rows = c.df.select(ids, *[v.alias(f"_p{i}") for i, v in enumerate(values.values())])
-            graph = replace_properties(graph, rows, {k: F.col(f"_p{i}") for i, k in enumerate(values)}, item[3], kind)
+            graph = replace_properties(graph, rows, {k: F.col(f"_p{i}") for i, k in enumerate(values)}, item[3], kind, c.of[var])
         else:
-            graph = change_labels(graph, c.df.select(ids), item[2], True)
+            graph = change_labels(graph, c.df.select(ids), item[2], True, c.of[var])
     return graph
 
 

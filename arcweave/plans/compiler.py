@@ -48,6 +48,7 @@ class Compiler:
         self.needs = needs if needs is not None else defaultdict(set)
         self.df: DataFrame | None = None
         self.kinds: dict[str, str] = {}  # node, edge, value or path
+        self.of: dict[str, set[str]] = defaultdict(set)  # labels that a node carries for sure; types an edge may have
         self.marks: dict[int, str] = {}
         self.fresh = count()
 
@@ -294,12 +295,14 @@ class Compiler:
             scan = self._node(n)
             self.df = scan if self.df is None else self.df.crossJoin(scan)
             self.kinds[n.var] = "node"
+        self.of[n.var] |= set(n.labels)
         if n.where is not None:
             self.where(n.where)
 
     def _reach(self, n: Node, implied: set[str]) -> None:
         """What is still to be read of a node that a join has just bound."""
         self.kinds[n.var] = "node"
+        self.of[n.var] |= set(n.labels) | implied
         if not self._bare(n, implied):
             self.df = self.df.join(self._node(n), n.var)
         if n.where is not None:
@@ -344,6 +347,7 @@ class Compiler:
         if r.var in self.kinds:
             self.df = self.df.where(F.col(f"`{r.var}`") == F.col("_same")).drop("_same")
         self.kinds[r.var] = "edge"
+        self.of.setdefault(r.var, set(r.types))
         if closing:
             self.df = self.df.where(F.col(f"`{b.var}`") == F.col(f"`{far}`")).drop(far)
             self._bind(b)
@@ -523,6 +527,7 @@ class Compiler:
             self.df = self.df.select(*[col.alias(name) for col, name, _ in outs])
         if c.distinct:
             self.df = self.df.distinct()
+        self.of = defaultdict(set, {a: self.of[e[1]] for e, a in items if e[0] == "var"})
         self.kinds, self.marks = kinds, {}
         if c.where is not None:
             self.where(c.where)

@@ -58,3 +58,25 @@ def to_networkx(graph: PropertyGraph, most_edges: int = 1_000_000):
         d = r.asDict()
         out.add_edge(d.pop("src"), d.pop("dst"), key=d.pop("eid"), **d)
     return out
+
+
+def from_networkx(spark: SparkSession, network, label: str = "Node", type: str = "EDGE") -> PropertyGraph:
+    """A graph of a networkx graph's nodes (whole numbers or not: ids are given in their order, the name becomes the
+    property ``name``) and edges with their attributes. It has been in one process's memory, and so are its rows here.
+    """
+    number = {n: i for i, n in enumerate(network.nodes())}
+    rows = [{"id": i, "name": str(n), **{str(k): v for k, v in a.items()}} for (n, a), i in zip(network.nodes(data=True), number.values(), strict=True)]
+    edges = [{"eid": i, "src": number[a], "dst": number[b], **{str(k): v for k, v in d.items()}} for i, (a, b, d) in enumerate(network.edges(data=True))]
+    if not network.is_directed():
+        edges += [{**e, "eid": len(edges) + i, "src": e["dst"], "dst": e["src"]} for i, e in enumerate(edges) if e["src"] != e["dst"]]
+    graph = PropertyGraph(spark).with_vertices(_frame(spark, rows, ("id",)), label)
+    return graph.with_edges(_frame(spark, edges, ("eid", "src", "dst")), type, label, label)
+
+
+def _frame(spark: SparkSession, rows: list[dict], numbers: tuple[str, ...]) -> DataFrame:
+    import pandas as pd
+
+    if not rows:
+        return spark.createDataFrame([], ", ".join(f"{n} long" for n in numbers))
+    names = list(dict.fromkeys(k for r in rows for k in r))
+    return spark.createDataFrame(pd.DataFrame([{k: r.get(k) for k in names} for r in rows]))
