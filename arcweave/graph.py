@@ -141,6 +141,13 @@ class PropertyGraph:
             df = df.where(c <= F.lit(high) if include_high else c < F.lit(high))
         return df
 
+    def vector_search(self, label: str, name: str, query, k: int, metric: str = "cosine", where: Column | None = None, **limits) -> DataFrame:
+        """id, distance: the k nodes of a label whose vector property is closest; where: a condition on their properties."""
+        from arcweave import vectors
+
+        df = self.node_scan((label,))
+        return vectors.search(df if where is None else df.where(where), query, k, name, "id", metric, **limits)
+
     def neighbors(self, ids: list[int], direction: str = "out", types: Iterable[str] = ()) -> DataFrame:
         """id, neighbor, eid."""
         e = oriented(self.edge_scan(types), direction)

@@ -100,48 +100,191 @@ def triples(spark: SparkSession, sf_dir: str) -> rdf.TripleStore:
 
 
 _CYPHER: dict[str, tuple[str, str]] = {
-    "scan_all_nodes": ("MATCH (n) RETURN count(*) AS n", "SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS n"),
-    "scan_label": ("MATCH (c:Customer) RETURN c.key AS key, c.name AS name, c.acctbal AS acctbal", "SELECT c_custkey AS key, c_name AS name, c_acctbal AS acctbal FROM customer"),
-    "scan_edges": ("MATCH ()-[r]->() RETURN type(r) AS type, count(*) AS n", "SELECT 'PLACED' AS type, count(*) AS n FROM orders UNION ALL SELECT 'CONTAINS', count(*) FROM lineitem UNION ALL SELECT 'SHIPPED_BY', count(*) FROM lineitem UNION ALL SELECT 'LOCATED_IN', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) UNION ALL SELECT 'IN_REGION', count(*) FROM nation"),
-    "property_lookup": ("MATCH (c:Customer {mktsegment: 'BUILDING'}) WHERE c.acctbal > 9000 RETURN c.key AS key", "SELECT c_custkey AS key FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000"),
-    "range_lookup": ("MATCH (p:Part) WHERE p.size >= 10 AND p.size <= 12 RETURN p.key AS key, p.size AS size", "SELECT p_partkey AS key, p_size AS size FROM part WHERE p_size BETWEEN 10 AND 12"),
-    "boolean_operators": ("MATCH (p:Part) WHERE (p.size < 5 XOR p.retailprice > 1200) AND NOT p.size = 1 OR p.size = 50 RETURN p.key AS key", "SELECT p_partkey AS key FROM part WHERE ((p_size < 5) <> (p_retailprice > 1200)) AND NOT p_size = 1 OR p_size = 50"),
-    "null_tests": ("MATCH (n) WHERE n.acctbal IS NOT NULL AND n.mktsegment IS NULL RETURN count(*) AS n", "SELECT count(*) AS n FROM supplier WHERE s_acctbal IS NOT NULL"),
-    "in_list": ("MATCH (c:Customer) WHERE c.mktsegment IN ['BUILDING', 'MACHINERY'] RETURN c.key AS key", "SELECT c_custkey AS key FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')"),
-    "string_predicates": ("MATCH (p:Part) WHERE p.type STARTS WITH 'P' OR p.type ENDS WITH 'L' OR p.name CONTAINS 'a' RETURN p.key AS key", "SELECT p_partkey AS key FROM part WHERE starts_with(p_type, 'P') OR ends_with(p_type, 'L') OR contains(p_name, 'a')"),
-    "regex_and_like": ("MATCH (p:Part) WHERE p.brand =~ '[1-3]$' AND p.name LIKE '%ing' RETURN p.key AS key", "SELECT p_partkey AS key FROM part WHERE regexp_matches(p_brand, '[1-3]$') AND p_name LIKE '%ing'"),
-    "regex_invalid": ("MATCH (p:Part) WHERE p.size = 50 RETURN p.brand =~ '(' AS hit, count(*) AS n", "SELECT CAST(NULL AS BOOLEAN) AS hit, count(*) AS n FROM part WHERE p_size = 50"),
-    "sum_of_nothing": ("MATCH (p:Part) WHERE p.size > 999 RETURN sum(p.size) AS s, sum(p.retailprice) AS r, count(*) AS n", "SELECT CAST(0 AS BIGINT) AS s, 0::DOUBLE AS r, CAST(0 AS BIGINT) AS n"),
-    "case_expression": ("MATCH (o:Order) RETURN CASE WHEN o.totalprice > 200000 THEN 'high' WHEN o.totalprice > 100000 THEN 'mid' ELSE 'low' END AS band, CASE o.orderstatus WHEN 'F' THEN 1 ELSE 0 END AS f, count(*) AS n", "SELECT CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band, CASE o_orderstatus WHEN 'F' THEN 1 ELSE 0 END AS f, count(*) AS n FROM orders GROUP BY 1, 2"),
-    "expand": ("MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE o.totalprice > 300000 RETURN c.name AS name, o.key AS okey", "SELECT c_name AS name, o_orderkey AS okey FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 300000"),
-    "expand_in": ("MATCH (n:Nation)<-[:LOCATED_IN]-(s:Supplier) RETURN n.name AS nation, count(*) AS n", "SELECT n_name AS nation, count(*) AS n FROM nation JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1"),
-    "expand_both": ("MATCH (n:Nation)-[]-(x) RETURN n.name AS nation, count(*) AS n", "SELECT n_name AS nation, 1 + (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n FROM nation"),
-    "edge_types": ("MATCH (o:Order)-[r:CONTAINS|SHIPPED_BY]->(x) RETURN type(r) AS type, sum(r.quantity) AS q", "SELECT type, sum(l_quantity) AS q FROM lineitem, (VALUES ('CONTAINS'), ('SHIPPED_BY')) t(type) GROUP BY 1"),
-    "edge_properties": ("MATCH (o:Order)-[r:CONTAINS {returnflag: 'R'}]->(p:Part) WHERE r.quantity >= 45 RETURN o.key AS okey, p.key AS pkey, r.quantity AS q", "SELECT l_orderkey AS okey, l_partkey AS pkey, l_quantity AS q FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45"),
-    "chain_of_hops": ("MATCH (r:Region)<-[:IN_REGION]-(n:Nation)<-[:LOCATED_IN]-(c:Customer)-[:PLACED]->(o:Order) RETURN r.name AS region, count(*) AS n, round(sum(o.totalprice) / 1000) AS total", "SELECT r_name AS region, count(*) AS n, round(sum(o_totalprice) / 1000) AS total FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey GROUP BY 1"),
-    "shared_variables": ("MATCH (c:Customer)-[:PLACED]->(o:Order), (o)-[:SHIPPED_BY]->(s:Supplier), (c)-[:LOCATED_IN]->(n:Nation), (s)-[:LOCATED_IN]->(n) RETURN n.name AS nation, count(*) AS n", "SELECT n_name AS nation, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON n_nationkey = c_nationkey AND n_nationkey = s_nationkey GROUP BY 1"),
+    "scan_all_nodes": (
+        "MATCH (n) RETURN count(*) AS n",
+        "SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) + "
+        "(SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS n",
+    ),
+    "scan_label": (
+        "MATCH (c:Customer) RETURN c.key AS key, c.name AS name, c.acctbal AS acctbal",
+        "SELECT c_custkey AS key, c_name AS name, c_acctbal AS acctbal FROM customer",
+    ),
+    "scan_edges": (
+        "MATCH ()-[r]->() RETURN type(r) AS type, count(*) AS n",
+        "SELECT 'PLACED' AS type, count(*) AS n FROM orders UNION ALL SELECT 'CONTAINS', count(*) FROM lineitem UNION ALL SELECT 'SHIPPED_BY', "
+        "count(*) FROM lineitem UNION ALL SELECT 'LOCATED_IN', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) UNION ALL SELECT "
+        "'IN_REGION', count(*) FROM nation",
+    ),
+    "property_lookup": (
+        "MATCH (c:Customer {mktsegment: 'BUILDING'}) WHERE c.acctbal > 9000 RETURN c.key AS key",
+        "SELECT c_custkey AS key FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000",
+    ),
+    "range_lookup": (
+        "MATCH (p:Part) WHERE p.size >= 10 AND p.size <= 12 RETURN p.key AS key, p.size AS size",
+        "SELECT p_partkey AS key, p_size AS size FROM part WHERE p_size BETWEEN 10 AND 12",
+    ),
+    "boolean_operators": (
+        "MATCH (p:Part) WHERE (p.size < 5 XOR p.retailprice > 1200) AND NOT p.size = 1 OR p.size = 50 RETURN p.key AS key",
+        "SELECT p_partkey AS key FROM part WHERE ((p_size < 5) <> (p_retailprice > 1200)) AND NOT p_size = 1 OR p_size = 50",
+    ),
+    "null_tests": (
+        "MATCH (n) WHERE n.acctbal IS NOT NULL AND n.mktsegment IS NULL RETURN count(*) AS n",
+        "SELECT count(*) AS n FROM supplier WHERE s_acctbal IS NOT NULL",
+    ),
+    "in_list": (
+        "MATCH (c:Customer) WHERE c.mktsegment IN ['BUILDING', 'MACHINERY'] RETURN c.key AS key",
+        "SELECT c_custkey AS key FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')",
+    ),
+    "string_predicates": (
+        "MATCH (p:Part) WHERE p.type STARTS WITH 'P' OR p.type ENDS WITH 'L' OR p.name CONTAINS 'a' RETURN p.key AS key",
+        "SELECT p_partkey AS key FROM part WHERE starts_with(p_type, 'P') OR ends_with(p_type, 'L') OR contains(p_name, 'a')",
+    ),
+    "regex_and_like": (
+        "MATCH (p:Part) WHERE p.brand =~ '[1-3]$' AND p.name LIKE '%ing' RETURN p.key AS key",
+        "SELECT p_partkey AS key FROM part WHERE regexp_matches(p_brand, '[1-3]$') AND p_name LIKE '%ing'",
+    ),
+    "regex_invalid": (
+        "MATCH (p:Part) WHERE p.size = 50 RETURN p.brand =~ '(' AS hit, count(*) AS n",
+        "SELECT CAST(NULL AS BOOLEAN) AS hit, count(*) AS n FROM part WHERE p_size = 50",
+    ),
+    "sum_of_nothing": (
+        "MATCH (p:Part) WHERE p.size > 999 RETURN sum(p.size) AS s, sum(p.retailprice) AS r, count(*) AS n",
+        "SELECT CAST(0 AS BIGINT) AS s, 0::DOUBLE AS r, CAST(0 AS BIGINT) AS n",
+    ),
+    "case_expression": (
+        "MATCH (o:Order) RETURN CASE WHEN o.totalprice > 200000 THEN 'high' WHEN o.totalprice > 100000 THEN 'mid' ELSE 'low' END AS band, CASE "
+        "o.orderstatus WHEN 'F' THEN 1 ELSE 0 END AS f, count(*) AS n",
+        "SELECT CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band, CASE o_orderstatus WHEN 'F' "
+        "THEN 1 ELSE 0 END AS f, count(*) AS n FROM orders GROUP BY 1, 2",
+    ),
+    "expand": (
+        "MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE o.totalprice > 300000 RETURN c.name AS name, o.key AS okey",
+        "SELECT c_name AS name, o_orderkey AS okey FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 300000",
+    ),
+    "expand_in": (
+        "MATCH (n:Nation)<-[:LOCATED_IN]-(s:Supplier) RETURN n.name AS nation, count(*) AS n",
+        "SELECT n_name AS nation, count(*) AS n FROM nation JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1",
+    ),
+    "expand_both": (
+        "MATCH (n:Nation)-[]-(x) RETURN n.name AS nation, count(*) AS n",
+        "SELECT n_name AS nation, 1 + (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) + (SELECT count(*) FROM supplier WHERE "
+        "s_nationkey = n_nationkey) AS n FROM nation",
+    ),
+    "edge_types": (
+        "MATCH (o:Order)-[r:CONTAINS|SHIPPED_BY]->(x) RETURN type(r) AS type, sum(r.quantity) AS q",
+        "SELECT type, sum(l_quantity) AS q FROM lineitem, (VALUES ('CONTAINS'), ('SHIPPED_BY')) t(type) GROUP BY 1",
+    ),
+    "edge_properties": (
+        "MATCH (o:Order)-[r:CONTAINS {returnflag: 'R'}]->(p:Part) WHERE r.quantity >= 45 RETURN o.key AS okey, p.key AS pkey, r.quantity AS q",
+        "SELECT l_orderkey AS okey, l_partkey AS pkey, l_quantity AS q FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45",
+    ),
+    "chain_of_hops": (
+        "MATCH (r:Region)<-[:IN_REGION]-(n:Nation)<-[:LOCATED_IN]-(c:Customer)-[:PLACED]->(o:Order) RETURN r.name AS region, count(*) AS n, "
+        "round(sum(o.totalprice) / 1000) AS total",
+        "SELECT r_name AS region, count(*) AS n, round(sum(o_totalprice) / 1000) AS total FROM region JOIN nation ON r_regionkey = n_regionkey JOIN "
+        "customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey GROUP BY 1",
+    ),
+    "shared_variables": (
+        "MATCH (c:Customer)-[:PLACED]->(o:Order), (o)-[:SHIPPED_BY]->(s:Supplier), (c)-[:LOCATED_IN]->(n:Nation), (s)-[:LOCATED_IN]->(n) RETURN "
+        "n.name AS nation, count(*) AS n",
+        "SELECT n_name AS nation, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN "
+        "supplier ON l_suppkey = s_suppkey JOIN nation ON n_nationkey = c_nationkey AND n_nationkey = s_nationkey GROUP BY 1",
+    ),
     "cross_product": ("MATCH (a:Region), (b:Nation) RETURN a.name AS region, b.name AS nation", "SELECT r_name AS region, n_name AS nation FROM region, nation"),
-    "variable_length": ("MATCH (c:Customer)-[*1..2]->(x) RETURN labels(x)[0] AS label, count(*) AS n", "SELECT label, CAST(n AS BIGINT) AS n FROM (SELECT 'Order' AS label, (SELECT count(*) FROM orders) AS n UNION ALL SELECT 'Nation', (SELECT count(*) FROM customer) UNION ALL SELECT 'Region', (SELECT count(*) FROM customer) UNION ALL SELECT 'Part', (SELECT count(*) FROM lineitem) UNION ALL SELECT 'Supplier', (SELECT count(*) FROM lineitem))"),
-    "optional_match": ("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.totalprice > 250000 RETURN c.key AS key, count(o) AS n", "SELECT c_custkey AS key, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 250000 GROUP BY 1"),
-    "exists_subquery": ("MATCH (c:Customer) WHERE EXISTS { (c)-[:PLACED]->(o:Order) WHERE o.orderpriority = '1-URGENT' } RETURN c.key AS key", "SELECT c_custkey AS key FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')"),
-    "not_exists": ("MATCH (c:Customer) WHERE NOT EXISTS { (c)-[:PLACED]->(o:Order) WHERE o.totalprice > 400000 } RETURN c.key AS key", "SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)"),
-    "count_subquery": ("MATCH (c:Customer) RETURN c.key AS key, COUNT { (c)-[:PLACED]->() } AS n", "SELECT c_custkey AS key, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer"),
-    "aggregates": ("MATCH (c:Customer) RETURN c.mktsegment AS seg, count(*) AS n, count(DISTINCT c.nationkey) AS d, min(c.acctbal) AS lo, max(c.acctbal) AS hi, round(avg(c.acctbal) * 100) AS av, round(stdev(c.acctbal)) AS sd, round(stdevp(c.acctbal)) AS sp", "SELECT c_mktsegment AS seg, count(*) AS n, count(DISTINCT c_nationkey) AS d, min(c_acctbal) AS lo, max(c_acctbal) AS hi, round(avg(c_acctbal) * 100) AS av, round(stddev_samp(c_acctbal)) AS sd, round(stddev_pop(c_acctbal)) AS sp FROM customer GROUP BY 1"),
-    "global_aggregate": ("MATCH (p:Part) WHERE p.size > 45 RETURN count(*) AS n, max(p.size) AS hi", "SELECT count(*) AS n, max(p_size) AS hi FROM part WHERE p_size > 45"),
-    "percentiles": ("MATCH (p:Part) RETURN p.brand AS brand, percentile_cont(p.size, 0.5) AS med, percentile_disc(p.size, 0.9) AS p90", "SELECT p_brand AS brand, quantile_cont(CAST(p_size AS DOUBLE), 0.5) AS med, list_sort(list(p_size))[CAST(floor(0.9 * (count(*) - 1)) AS BIGINT) + 1] AS p90 FROM part GROUP BY 1"),
-    "collect": ("MATCH (r:Region)<-[:IN_REGION]-(n:Nation) RETURN r.name AS region, size(collect(n.name)) AS k, collect(n.name)[0] AS first, collect(DISTINCT n.name)[-1] AS last", "SELECT r_name AS region, count(*) AS k, min(n_name) AS first, max(n_name) AS last FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY 1"),
-    "having": ("MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN c.key AS key, count(o) AS n HAVING n > 12", "SELECT o_custkey AS key, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 HAVING count(*) > 12"),
-    "with_pipeline": ("MATCH (c:Customer)-[:PLACED]->(o:Order) WITH c, count(o) AS n WHERE n >= 10 MATCH (c)-[:LOCATED_IN]->(x:Nation) RETURN x.name AS nation, count(*) AS heavy, sum(n) AS orders", "SELECT n_name AS nation, count(*) AS heavy, CAST(sum(n) AS BIGINT) AS orders FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 10) JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"),
-    "group_by": ("MATCH (o:Order) RETURN o.orderstatus AS s, count(*) AS n GROUP BY o.orderstatus, o.orderpriority", "SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority"),
-    "order_skip_limit": ("MATCH (o:Order) RETURN o.key AS key, o.totalprice AS total ORDER BY o.totalprice DESC, o.key SKIP 5 LIMIT 20", "SELECT o_orderkey AS key, o_totalprice AS total FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5"),
-    "distinct": ("MATCH (o:Order)-[:SHIPPED_BY]->(s:Supplier) RETURN DISTINCT s.key AS skey, o.orderstatus AS st", "SELECT DISTINCT l_suppkey AS skey, o_orderstatus AS st FROM lineitem JOIN orders ON l_orderkey = o_orderkey"),
-    "union_all": ("MATCH (c:Customer) WHERE c.acctbal < 0 RETURN c.name AS name UNION ALL MATCH (s:Supplier) WHERE s.acctbal < 0 RETURN s.name AS name", "SELECT c_name AS name FROM customer WHERE c_acctbal < 0 UNION ALL SELECT s_name FROM supplier WHERE s_acctbal < 0"),
-    "union_distinct": ("MATCH (c:Customer) RETURN c.nationkey AS k UNION MATCH (s:Supplier) RETURN s.nationkey AS k", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier"),
+    "variable_length": (
+        "MATCH (c:Customer)-[*1..2]->(x) RETURN labels(x)[0] AS label, count(*) AS n",
+        "SELECT label, CAST(n AS BIGINT) AS n FROM (SELECT 'Order' AS label, (SELECT count(*) FROM orders) AS n UNION ALL SELECT 'Nation', (SELECT "
+        "count(*) FROM customer) UNION ALL SELECT 'Region', (SELECT count(*) FROM customer) UNION ALL SELECT 'Part', (SELECT count(*) FROM lineitem) "
+        "UNION ALL SELECT 'Supplier', (SELECT count(*) FROM lineitem))",
+    ),
+    "optional_match": (
+        "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.totalprice > 250000 RETURN c.key AS key, count(o) AS n",
+        "SELECT c_custkey AS key, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 250000 GROUP BY 1",
+    ),
+    "exists_subquery": (
+        "MATCH (c:Customer) WHERE EXISTS { (c)-[:PLACED]->(o:Order) WHERE o.orderpriority = '1-URGENT' } RETURN c.key AS key",
+        "SELECT c_custkey AS key FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
+    ),
+    "not_exists": (
+        "MATCH (c:Customer) WHERE NOT EXISTS { (c)-[:PLACED]->(o:Order) WHERE o.totalprice > 400000 } RETURN c.key AS key",
+        "SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
+    ),
+    "count_subquery": (
+        "MATCH (c:Customer) RETURN c.key AS key, COUNT { (c)-[:PLACED]->() } AS n",
+        "SELECT c_custkey AS key, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer",
+    ),
+    "aggregates": (
+        "MATCH (c:Customer) RETURN c.mktsegment AS seg, count(*) AS n, count(DISTINCT c.nationkey) AS d, min(c.acctbal) AS lo, max(c.acctbal) AS hi, "
+        "round(avg(c.acctbal) * 100) AS av, round(stdev(c.acctbal)) AS sd, round(stdevp(c.acctbal)) AS sp",
+        "SELECT c_mktsegment AS seg, count(*) AS n, count(DISTINCT c_nationkey) AS d, min(c_acctbal) AS lo, max(c_acctbal) AS hi, "
+        "round(avg(c_acctbal) * 100) AS av, round(stddev_samp(c_acctbal)) AS sd, round(stddev_pop(c_acctbal)) AS sp FROM customer GROUP BY 1",
+    ),
+    "global_aggregate": (
+        "MATCH (p:Part) WHERE p.size > 45 RETURN count(*) AS n, max(p.size) AS hi",
+        "SELECT count(*) AS n, max(p_size) AS hi FROM part WHERE p_size > 45",
+    ),
+    "percentiles": (
+        "MATCH (p:Part) RETURN p.brand AS brand, percentile_cont(p.size, 0.5) AS med, percentile_disc(p.size, 0.9) AS p90",
+        "SELECT p_brand AS brand, quantile_cont(CAST(p_size AS DOUBLE), 0.5) AS med, list_sort(list(p_size))[CAST(floor(0.9 * (count(*) - 1)) AS "
+        "BIGINT) + 1] AS p90 FROM part GROUP BY 1",
+    ),
+    "collect": (
+        "MATCH (r:Region)<-[:IN_REGION]-(n:Nation) RETURN r.name AS region, size(collect(n.name)) AS k, collect(n.name)[0] AS first, collect(DISTINCT "
+        "n.name)[-1] AS last",
+        "SELECT r_name AS region, count(*) AS k, min(n_name) AS first, max(n_name) AS last FROM region JOIN nation ON r_regionkey = n_regionkey GROUP "
+        "BY 1",
+    ),
+    "having": (
+        "MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN c.key AS key, count(o) AS n HAVING n > 12",
+        "SELECT o_custkey AS key, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 HAVING count(*) > 12",
+    ),
+    "with_pipeline": (
+        "MATCH (c:Customer)-[:PLACED]->(o:Order) WITH c, count(o) AS n WHERE n >= 10 MATCH (c)-[:LOCATED_IN]->(x:Nation) RETURN x.name AS nation, "
+        "count(*) AS heavy, sum(n) AS orders",
+        "SELECT n_name AS nation, count(*) AS heavy, CAST(sum(n) AS BIGINT) AS orders FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 "
+        "HAVING count(*) >= 10) JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
+    ),
+    "group_by": (
+        "MATCH (o:Order) RETURN o.orderstatus AS s, count(*) AS n GROUP BY o.orderstatus, o.orderpriority",
+        "SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority",
+    ),
+    "order_skip_limit": (
+        "MATCH (o:Order) RETURN o.key AS key, o.totalprice AS total ORDER BY o.totalprice DESC, o.key SKIP 5 LIMIT 20",
+        "SELECT o_orderkey AS key, o_totalprice AS total FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5",
+    ),
+    "distinct": (
+        "MATCH (o:Order)-[:SHIPPED_BY]->(s:Supplier) RETURN DISTINCT s.key AS skey, o.orderstatus AS st",
+        "SELECT DISTINCT l_suppkey AS skey, o_orderstatus AS st FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    ),
+    "union_all": (
+        "MATCH (c:Customer) WHERE c.acctbal < 0 RETURN c.name AS name UNION ALL MATCH (s:Supplier) WHERE s.acctbal < 0 RETURN s.name AS name",
+        "SELECT c_name AS name FROM customer WHERE c_acctbal < 0 UNION ALL SELECT s_name FROM supplier WHERE s_acctbal < 0",
+    ),
+    "union_distinct": (
+        "MATCH (c:Customer) RETURN c.nationkey AS k UNION MATCH (s:Supplier) RETURN s.nationkey AS k",
+        "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
+    ),
     "unwind": ("UNWIND [1, 2, 3] AS x UNWIND [10, 20] AS y RETURN x * y AS p", "SELECT x * y AS p FROM (VALUES (1), (2), (3)) a(x), (VALUES (10), (20)) b(y)"),
-    "list_functions": ("UNWIND [1, 2, 3, 4] AS x WITH [x, x + 1, x + 2] AS l RETURN head(l) AS h, last(l) AS t, size(l) AS n, reverse(l)[0] AS r, tail(l)[0] AS s, l[0..2][1] AS u, l[-1] AS e, size([y IN l WHERE y > 3 | y * 2]) AS big", "SELECT CAST(x AS INTEGER) AS h, CAST(x + 2 AS INTEGER) AS t, CAST(3 AS BIGINT) AS n, CAST(x + 2 AS INTEGER) AS r, CAST(x + 1 AS INTEGER) AS s, CAST(x + 1 AS INTEGER) AS u, CAST(x + 2 AS INTEGER) AS e, CAST((x > 3)::INT + (x + 1 > 3)::INT + (x + 2 > 3)::INT AS BIGINT) AS big FROM range(1, 5) t(x)"),
-    "scalar_functions": ("MATCH (p:Part) RETURN p.key AS key, toInteger(p.retailprice) AS i, toFloat(p.size) AS f, toString(p.size) AS s, coalesce(p.nothing, p.size) AS c, size(p.name) AS n, toBoolean('TRUE') AS b, p.size / 3 AS q, p.size % 7 AS m, -p.size AS neg", "SELECT p_partkey AS key, CAST(trunc(p_retailprice) AS BIGINT) AS i, CAST(p_size AS DOUBLE) AS f, CAST(p_size AS VARCHAR) AS s, p_size AS c, CAST(length(p_name) AS BIGINT) AS n, true AS b, CAST(p_size // 3 AS BIGINT) AS q, p_size % 7 AS m, -p_size AS neg FROM part"),
+    "list_functions": (
+        "UNWIND [1, 2, 3, 4] AS x WITH [x, x + 1, x + 2] AS l RETURN head(l) AS h, last(l) AS t, size(l) AS n, reverse(l)[0] AS r, tail(l)[0] AS s, "
+        "l[0..2][1] AS u, l[-1] AS e, size([y IN l WHERE y > 3 | y * 2]) AS big",
+        "SELECT CAST(x AS INTEGER) AS h, CAST(x + 2 AS INTEGER) AS t, CAST(3 AS BIGINT) AS n, CAST(x + 2 AS INTEGER) AS r, CAST(x + 1 AS INTEGER) AS "
+        "s, CAST(x + 1 AS INTEGER) AS u, CAST(x + 2 AS INTEGER) AS e, CAST((x > 3)::INT + (x + 1 > 3)::INT + (x + 2 > 3)::INT AS BIGINT) AS big FROM "
+        "range(1, 5) t(x)",
+    ),
+    "scalar_functions": (
+        "MATCH (p:Part) RETURN p.key AS key, toInteger(p.retailprice) AS i, toFloat(p.size) AS f, toString(p.size) AS s, coalesce(p.nothing, p.size) "
+        "AS c, size(p.name) AS n, toBoolean('TRUE') AS b, p.size / 3 AS q, p.size % 7 AS m, -p.size AS neg",
+        "SELECT p_partkey AS key, CAST(trunc(p_retailprice) AS BIGINT) AS i, CAST(p_size AS DOUBLE) AS f, CAST(p_size AS VARCHAR) AS s, p_size AS c, "
+        "CAST(length(p_name) AS BIGINT) AS n, true AS b, CAST(p_size // 3 AS BIGINT) AS q, p_size % 7 AS m, -p_size AS neg FROM part",
+    ),
     "has_label": ("MATCH (n) WHERE n:Nation OR n:Region RETURN n.name AS name", "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region"),
-    "factorized_count": ("MATCH (n:Nation)<-[:LOCATED_IN]-(c:Customer)-[:PLACED]->(o:Order)-[:CONTAINS]->(p:Part) RETURN n.name AS nation, count(*) AS n, count(DISTINCT p.brand) AS b", "SELECT n_name AS nation, count(*) AS n, count(DISTINCT p_brand) AS b FROM nation JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1"),
+    "factorized_count": (
+        "MATCH (n:Nation)<-[:LOCATED_IN]-(c:Customer)-[:PLACED]->(o:Order)-[:CONTAINS]->(p:Part) RETURN n.name AS nation, count(*) AS n, "
+        "count(DISTINCT p.brand) AS b",
+        "SELECT n_name AS nation, count(*) AS n, count(DISTINCT p_brand) AS b FROM nation JOIN customer ON n_nationkey = c_nationkey JOIN orders ON "
+        "c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1",
+    ),
 }
 
 #: On other graphs than the star schema's.
@@ -174,81 +317,155 @@ _ELSEWHERE: dict[str, tuple[Callable, str, str]] = {
 
 _GREMLIN: dict[str, tuple[str, str]] = {
     "gremlin_values": ("g.V().hasLabel('Nation').values('name')", "SELECT n_name AS value FROM nation"),
-    "gremlin_hops": ("g.V().hasLabel('Customer').has('acctbal', gt(9000)).out('PLACED').has('totalprice', between(100000, 200000)).values('key')", "SELECT o_orderkey AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 9000 AND o_totalprice >= 100000 AND o_totalprice < 200000"),
+    "gremlin_hops": (
+        "g.V().hasLabel('Customer').has('acctbal', gt(9000)).out('PLACED').has('totalprice', between(100000, 200000)).values('key')",
+        "SELECT o_orderkey AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 9000 AND o_totalprice >= 100000 AND "
+        "o_totalprice < 200000",
+    ),
     "gremlin_count": ("g.V().hasLabel('Order').outE('CONTAINS').has('quantity', lte(10)).count()", "SELECT count(*) AS value FROM lineitem WHERE l_quantity <= 10"),
-    "gremlin_dedup": ("g.V().hasLabel('Supplier').out('LOCATED_IN').dedup().values('name')", "SELECT DISTINCT n_name AS value FROM supplier JOIN nation ON s_nationkey = n_nationkey"),
-    "gremlin_order_limit": ("g.V().hasLabel('Part').order().by('key', desc).limit(7).values('key')", "SELECT p_partkey AS value FROM part ORDER BY p_partkey DESC LIMIT 7"),
-    "gremlin_where": ("g.V().hasLabel('Customer').where(out('PLACED').has('orderstatus', 'P')).values('key')", "SELECT c_custkey AS value FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')"),
+    "gremlin_dedup": (
+        "g.V().hasLabel('Supplier').out('LOCATED_IN').dedup().values('name')",
+        "SELECT DISTINCT n_name AS value FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+    ),
+    "gremlin_order_limit": (
+        "g.V().hasLabel('Part').order().by('key', desc).limit(7).values('key')",
+        "SELECT p_partkey AS value FROM part ORDER BY p_partkey DESC LIMIT 7",
+    ),
+    "gremlin_where": (
+        "g.V().hasLabel('Customer').where(out('PLACED').has('orderstatus', 'P')).values('key')",
+        "SELECT c_custkey AS value FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
+    ),
     "gremlin_group_count": ("g.V().hasLabel('Customer').groupCount().by('mktsegment')", "SELECT c_mktsegment AS key, count(*) AS value FROM customer GROUP BY 1"),
     "gremlin_mean": ("g.V().hasLabel('Part').has('size', within(1, 2, 3)).values('size').mean()", "SELECT avg(p_size) AS value FROM part WHERE p_size IN (1, 2, 3)"),
     "gremlin_max": ("g.V().hasLabel('Part').has('size', within(1, 2, 3)).values('size').max()", "SELECT max(p_size) AS value FROM part WHERE p_size IN (1, 2, 3)"),
-    "gremlin_not": ("g.V().hasLabel('Customer').not(__.out('PLACED').has('totalprice', gt(400000))).values('key')", "SELECT c_custkey AS value FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)"),
+    "gremlin_not": (
+        "g.V().hasLabel('Customer').not(__.out('PLACED').has('totalprice', gt(400000))).values('key')",
+        "SELECT c_custkey AS value FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
+    ),
 }
 
 _GRAPHQL: dict[str, tuple[str, str]] = {
-    "graphql_filter": ('{ customer(acctbal_gt: 9000, mktsegment: "BUILDING") { key name } }', "SELECT c_custkey AS key, c_name AS name FROM customer WHERE c_acctbal > 9000 AND c_mktsegment = 'BUILDING'"),
+    "graphql_filter": (
+        "{ customer(acctbal_gt: 9000, mktsegment: \"BUILDING\") { key name } }",
+        "SELECT c_custkey AS key, c_name AS name FROM customer WHERE c_acctbal > 9000 AND c_mktsegment = 'BUILDING'",
+    ),
     "graphql_nested": ("{ nation { name IN_REGION { name } } }", "SELECT n_name AS name, r_name AS IN_REGION_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
-    "graphql_order": ("{ part(size_in: [1, 2], orderBy: {key: DESC}, first: 10) { key size } }", "SELECT p_partkey AS key, p_size AS size FROM part WHERE p_size IN (1, 2) ORDER BY p_partkey DESC LIMIT 10"),
+    "graphql_order": (
+        "{ part(size_in: [1, 2], orderBy: {key: DESC}, first: 10) { key size } }",
+        "SELECT p_partkey AS key, p_size AS size FROM part WHERE p_size IN (1, 2) ORDER BY p_partkey DESC LIMIT 10",
+    ),
 }
 
 _PREFIX = "PREFIX ex: <http://ex/> "
 _SPARQL: dict[str, tuple[str, str]] = {
-    "sparql_pattern": ("SELECT ?n ?r WHERE { ?x ex:name ?n ; ex:region ?y . ?y ex:name ?r }", "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey"),
-    "sparql_filter": ("SELECT ?n WHERE { ?c ex:name ?n . ?c ex:balance ?b . FILTER(?b > 9000 && STRLEN(?n) > 3) }", "SELECT c_name AS n FROM customer WHERE c_acctbal > 9000 AND length(c_name) > 3"),
-    "sparql_optional": ("SELECT ?n ?s WHERE { ?c ex:name ?n ; ex:nation ?x OPTIONAL { ?c ex:segment ?s } }", "SELECT c_name AS n, CASE WHEN c_mktsegment = 'BUILDING' THEN c_mktsegment END AS s FROM customer"),
-    "sparql_union": ("SELECT ?n WHERE { { ?x ex:region ?r . ?x ex:name ?n } UNION { ?x ex:segment ?s . ?x ex:name ?n } }", "SELECT n_name AS n FROM nation UNION ALL SELECT c_name FROM customer WHERE c_mktsegment = 'BUILDING'"),
-    "sparql_minus": ("SELECT ?n WHERE { ?c ex:name ?n ; ex:nation ?x MINUS { ?c ex:segment ?s } }", "SELECT c_name AS n FROM customer WHERE c_mktsegment IS DISTINCT FROM 'BUILDING'"),
-    "sparql_not_exists": ("SELECT ?n WHERE { ?c ex:nation ?x ; ex:name ?n FILTER NOT EXISTS { ?c ex:segment ?s } }", "SELECT c_name AS n FROM customer WHERE c_mktsegment <> 'BUILDING'"),
-    "sparql_group": ("SELECT ?r (COUNT(?c) AS ?k) WHERE { ?c ex:nation ?x . ?x ex:region ?y . ?y ex:name ?r } GROUP BY ?r HAVING (COUNT(?c) > 1)", "SELECT r_name AS r, CAST(count(*) AS VARCHAR) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1 HAVING count(*) > 1"),
-    "sparql_path": ("SELECT ?n ?r WHERE { ?c ex:segment ?s ; ex:name ?n ; ex:nation/ex:region/ex:name ?r }", "SELECT c_name AS n, r_name AS r FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_mktsegment = 'BUILDING'"),
+    "sparql_pattern": (
+        "SELECT ?n ?r WHERE { ?x ex:name ?n ; ex:region ?y . ?y ex:name ?r }",
+        "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey",
+    ),
+    "sparql_filter": (
+        "SELECT ?n WHERE { ?c ex:name ?n . ?c ex:balance ?b . FILTER(?b > 9000 && STRLEN(?n) > 3) }",
+        "SELECT c_name AS n FROM customer WHERE c_acctbal > 9000 AND length(c_name) > 3",
+    ),
+    "sparql_optional": (
+        "SELECT ?n ?s WHERE { ?c ex:name ?n ; ex:nation ?x OPTIONAL { ?c ex:segment ?s } }",
+        "SELECT c_name AS n, CASE WHEN c_mktsegment = 'BUILDING' THEN c_mktsegment END AS s FROM customer",
+    ),
+    "sparql_union": (
+        "SELECT ?n WHERE { { ?x ex:region ?r . ?x ex:name ?n } UNION { ?x ex:segment ?s . ?x ex:name ?n } }",
+        "SELECT n_name AS n FROM nation UNION ALL SELECT c_name FROM customer WHERE c_mktsegment = 'BUILDING'",
+    ),
+    "sparql_minus": (
+        "SELECT ?n WHERE { ?c ex:name ?n ; ex:nation ?x MINUS { ?c ex:segment ?s } }",
+        "SELECT c_name AS n FROM customer WHERE c_mktsegment IS DISTINCT FROM 'BUILDING'",
+    ),
+    "sparql_not_exists": (
+        "SELECT ?n WHERE { ?c ex:nation ?x ; ex:name ?n FILTER NOT EXISTS { ?c ex:segment ?s } }",
+        "SELECT c_name AS n FROM customer WHERE c_mktsegment <> 'BUILDING'",
+    ),
+    "sparql_group": (
+        "SELECT ?r (COUNT(?c) AS ?k) WHERE { ?c ex:nation ?x . ?x ex:region ?y . ?y ex:name ?r } GROUP BY ?r HAVING (COUNT(?c) > 1)",
+        "SELECT r_name AS r, CAST(count(*) AS VARCHAR) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = "
+        "r_regionkey GROUP BY 1 HAVING count(*) > 1",
+    ),
+    "sparql_path": (
+        "SELECT ?n ?r WHERE { ?c ex:segment ?s ; ex:name ?n ; ex:nation/ex:region/ex:name ?r }",
+        "SELECT c_name AS n, r_name AS r FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE "
+        "c_mktsegment = 'BUILDING'",
+    ),
     "sparql_strings": (
-        "SELECT ?n (STRBEFORE(?n, '#') AS ?a) (STRAFTER(?n, '#') AS ?b) (STRBEFORE(?n, '?') AS ?c) (REPLACE(?n, 'Customer', 'C') AS ?d) (UCASE(SUBSTR(?n, 2, 3)) AS ?e) (ENCODE_FOR_URI(?n) AS ?f) WHERE { ?c0 ex:nation ?x ; ex:name ?n }",
-        "SELECT c_name AS n, split_part(c_name, '#', 1) AS a, split_part(c_name, '#', 2) AS b, '' AS c, replace(c_name, 'Customer', 'C') AS d, upper(substr(c_name, 2, 3)) AS e, replace(c_name, '#', '%23') AS f FROM customer",
+        "SELECT ?n (STRBEFORE(?n, '#') AS ?a) (STRAFTER(?n, '#') AS ?b) (STRBEFORE(?n, '?') AS ?c) (REPLACE(?n, 'Customer', 'C') AS ?d) "
+        "(UCASE(SUBSTR(?n, 2, 3)) AS ?e) (ENCODE_FOR_URI(?n) AS ?f) WHERE { ?c0 ex:nation ?x ; ex:name ?n }",
+        "SELECT c_name AS n, split_part(c_name, '#', 1) AS a, split_part(c_name, '#', 2) AS b, '' AS c, replace(c_name, 'Customer', 'C') AS d, "
+        "upper(substr(c_name, 2, 3)) AS e, replace(c_name, '#', '%23') AS f FROM customer",
     ),
     "sparql_numbers": (
-        "SELECT ?n (FLOOR(ABS(?b)) AS ?a) (CEIL(?b) AS ?c) (FLOOR(?b) AS ?f) (ROUND(?b) AS ?r) (FLOOR(?b * 2 + 1) AS ?t) (FLOOR((?b - 5) / 2) AS ?h) WHERE { ?c0 ex:balance ?b ; ex:name ?n FILTER(?b = FLOOR(?b) || ABS(?b) > 9000) }",
-        "SELECT c_name AS n, CAST(CAST(floor(abs(b)) AS BIGINT) AS VARCHAR) AS a, CAST(CAST(ceil(b) AS BIGINT) AS VARCHAR) AS c, CAST(CAST(floor(b) AS BIGINT) AS VARCHAR) AS f, CAST(CAST(floor(b + 0.5::DOUBLE) AS BIGINT) AS VARCHAR) AS r, CAST(CAST(floor(b * 2 + 1) AS BIGINT) AS VARCHAR) AS t, CAST(CAST(floor((b - 5) / 2) AS BIGINT) AS VARCHAR) AS h FROM (SELECT *, c_acctbal AS b FROM customer) WHERE b = floor(b) OR abs(b) > 9000",
+        "SELECT ?n (FLOOR(ABS(?b)) AS ?a) (CEIL(?b) AS ?c) (FLOOR(?b) AS ?f) (ROUND(?b) AS ?r) (FLOOR(?b * 2 + 1) AS ?t) (FLOOR((?b - 5) / 2) AS ?h) "
+        "WHERE { ?c0 ex:balance ?b ; ex:name ?n FILTER(?b = FLOOR(?b) || ABS(?b) > 9000) }",
+        "SELECT c_name AS n, CAST(CAST(floor(abs(b)) AS BIGINT) AS VARCHAR) AS a, CAST(CAST(ceil(b) AS BIGINT) AS VARCHAR) AS c, CAST(CAST(floor(b) "
+        "AS BIGINT) AS VARCHAR) AS f, CAST(CAST(floor(b + 0.5::DOUBLE) AS BIGINT) AS VARCHAR) AS r, CAST(CAST(floor(b * 2 + 1) AS BIGINT) AS VARCHAR) "
+        "AS t, CAST(CAST(floor((b - 5) / 2) AS BIGINT) AS VARCHAR) AS h FROM (SELECT *, c_acctbal AS b FROM customer) WHERE b = floor(b) OR abs(b) > "
+        "9000",
     ),
     "sparql_conditions": (
-        "SELECT ?n (IF(?b > 5000, 'high', 'low') AS ?k) (COALESCE(?s, 'none') AS ?t) (BOUND(?s) AS ?u) WHERE { ?c ex:name ?n ; ex:balance ?b OPTIONAL { ?c ex:segment ?s } }",
-        "SELECT c_name AS n, CASE WHEN c_acctbal > 5000 THEN 'high' ELSE 'low' END AS k, CASE WHEN c_mktsegment = 'BUILDING' THEN c_mktsegment ELSE 'none' END AS t, CASE WHEN c_mktsegment = 'BUILDING' THEN 'true' ELSE 'false' END AS u FROM customer",
+        "SELECT ?n (IF(?b > 5000, 'high', 'low') AS ?k) (COALESCE(?s, 'none') AS ?t) (BOUND(?s) AS ?u) WHERE { ?c ex:name ?n ; ex:balance ?b OPTIONAL "
+        "{ ?c ex:segment ?s } }",
+        "SELECT c_name AS n, CASE WHEN c_acctbal > 5000 THEN 'high' ELSE 'low' END AS k, CASE WHEN c_mktsegment = 'BUILDING' THEN c_mktsegment ELSE "
+        "'none' END AS t, CASE WHEN c_mktsegment = 'BUILDING' THEN 'true' ELSE 'false' END AS u FROM customer",
     ),
     "sparql_types": (
-        "SELECT ?n (isIRI(?x) AS ?a) (isLITERAL(?n) AS ?b) (isNUMERIC(?b0) AS ?c) (isBLANK(?x) AS ?d) (DATATYPE(?b0) AS ?e) (STR(?x) AS ?f) WHERE { ?c0 ex:nation ?x ; ex:name ?n ; ex:balance ?b0 }",
-        "SELECT c_name AS n, 'true' AS a, 'true' AS b, 'true' AS c, 'false' AS d, 'http://www.w3.org/2001/XMLSchema#double' AS e, 'http://ex/nation/' || c_nationkey AS f FROM customer",
+        "SELECT ?n (isIRI(?x) AS ?a) (isLITERAL(?n) AS ?b) (isNUMERIC(?b0) AS ?c) (isBLANK(?x) AS ?d) (DATATYPE(?b0) AS ?e) (STR(?x) AS ?f) WHERE { "
+        "?c0 ex:nation ?x ; ex:name ?n ; ex:balance ?b0 }",
+        "SELECT c_name AS n, 'true' AS a, 'true' AS b, 'true' AS c, 'false' AS d, 'http://www.w3.org/2001/XMLSchema#double' AS e, 'http://ex/nation/' "
+        "|| c_nationkey AS f FROM customer",
     ),
     "sparql_predicates": (
-        "SELECT ?n WHERE { ?c ex:nation ?x ; ex:name ?n FILTER(REGEX(?n, '[13]$') && STRSTARTS(?n, 'Cust') && (CONTAINS(?n, '99') || STRENDS(?n, '11')) && ?n NOT IN ('Customer#000000011')) }",
-        "SELECT c_name AS n FROM customer WHERE regexp_matches(c_name, '[13]$') AND (contains(c_name, '99') OR ends_with(c_name, '11')) AND c_name <> 'Customer#000000011'",
+        "SELECT ?n WHERE { ?c ex:nation ?x ; ex:name ?n FILTER(REGEX(?n, '[13]$') && STRSTARTS(?n, 'Cust') && (CONTAINS(?n, '99') || STRENDS(?n, "
+        "'11')) && ?n NOT IN ('Customer#000000011')) }",
+        "SELECT c_name AS n FROM customer WHERE regexp_matches(c_name, '[13]$') AND (contains(c_name, '99') OR ends_with(c_name, '11')) AND c_name <> "
+        "'Customer#000000011'",
+    ),
+    "sparql_hashes": (
+        "SELECT ?n (MD5(?n) AS ?a) (SHA256(?n) AS ?b) WHERE { ?x ex:region ?r ; ex:name ?n }",
+        "SELECT n_name AS n, md5(n_name) AS a, sha256(n_name) AS b FROM nation",
     ),
-    "sparql_hashes": ("SELECT ?n (MD5(?n) AS ?a) (SHA256(?n) AS ?b) WHERE { ?x ex:region ?r ; ex:name ?n }", "SELECT n_name AS n, md5(n_name) AS a, sha256(n_name) AS b FROM nation"),
     "sparql_dates": (
-        "SELECT ?n (YEAR(?t) AS ?a) (MONTH(?t) AS ?b) (DAY(?t) AS ?c) (HOURS(?t) AS ?d) (MINUTES(?t) AS ?e) (SECONDS(?t) AS ?f) (TZ(?t) AS ?g) (TIMEZONE(?t) AS ?h) WHERE { ?x ex:region ?r ; ex:name ?n BIND('2021-03-04T05:06:07Z' AS ?t) }",
+        "SELECT ?n (YEAR(?t) AS ?a) (MONTH(?t) AS ?b) (DAY(?t) AS ?c) (HOURS(?t) AS ?d) (MINUTES(?t) AS ?e) (SECONDS(?t) AS ?f) (TZ(?t) AS ?g) "
+        "(TIMEZONE(?t) AS ?h) WHERE { ?x ex:region ?r ; ex:name ?n BIND('2021-03-04T05:06:07Z' AS ?t) }",
         "SELECT n_name AS n, '2021' AS a, '3' AS b, '4' AS c, '5' AS d, '6' AS e, '7' AS f, 'Z' AS g, 'PT0S' AS h FROM nation",
     ),
     "sparql_terms": (
-        "SELECT ?n (STR(IRI(CONCAT('http://ex/n/', ?n))) AS ?a) (DATATYPE(STRDT(?n, ex:t)) AS ?b) (LANG(STRLANG(?n, 'en')) AS ?c) (sameTerm(?n, ?n) AS ?d) (LANGMATCHES(LANG(STRLANG(?n, 'en-GB')), 'en') AS ?e) WHERE { ?x ex:region ?r ; ex:name ?n }",
+        "SELECT ?n (STR(IRI(CONCAT('http://ex/n/', ?n))) AS ?a) (DATATYPE(STRDT(?n, ex:t)) AS ?b) (LANG(STRLANG(?n, 'en')) AS ?c) (sameTerm(?n, ?n) "
+        "AS ?d) (LANGMATCHES(LANG(STRLANG(?n, 'en-GB')), 'en') AS ?e) WHERE { ?x ex:region ?r ; ex:name ?n }",
         "SELECT n_name AS n, 'http://ex/n/' || n_name AS a, 'http://ex/t' AS b, 'en' AS c, 'true' AS d, 'true' AS e FROM nation",
     ),
     "sparql_aggregates": (
-        "SELECT ?x (COUNT(?c) AS ?k) (COUNT(DISTINCT ?s) AS ?d) (FLOOR(MIN(?b)) AS ?lo) (FLOOR(MAX(?b)) AS ?hi) (ROUND(AVG(?b)) AS ?av) (ROUND(SUM(?b)) AS ?su) WHERE { ?c ex:nation ?x ; ex:balance ?b OPTIONAL { ?c ex:segment ?s } } GROUP BY ?x",
-        "SELECT 'http://ex/nation/' || c_nationkey AS x, CAST(count(*) AS VARCHAR) AS k, CAST(count(DISTINCT CASE WHEN c_mktsegment = 'BUILDING' THEN 1 END) AS VARCHAR) AS d, CAST(CAST(floor(min(c_acctbal)) AS BIGINT) AS VARCHAR) AS lo, CAST(CAST(floor(max(c_acctbal)) AS BIGINT) AS VARCHAR) AS hi, CAST(CAST(floor(avg(c_acctbal) + 0.5) AS BIGINT) AS VARCHAR) AS av, CAST(CAST(floor(sum(c_acctbal) + 0.5) AS BIGINT) AS VARCHAR) AS su FROM customer GROUP BY c_nationkey",
+        "SELECT ?x (COUNT(?c) AS ?k) (COUNT(DISTINCT ?s) AS ?d) (FLOOR(MIN(?b)) AS ?lo) (FLOOR(MAX(?b)) AS ?hi) (ROUND(AVG(?b)) AS ?av) "
+        "(ROUND(SUM(?b)) AS ?su) WHERE { ?c ex:nation ?x ; ex:balance ?b OPTIONAL { ?c ex:segment ?s } } GROUP BY ?x",
+        "SELECT 'http://ex/nation/' || c_nationkey AS x, CAST(count(*) AS VARCHAR) AS k, CAST(count(DISTINCT CASE WHEN c_mktsegment = 'BUILDING' THEN "
+        "1 END) AS VARCHAR) AS d, CAST(CAST(floor(min(c_acctbal)) AS BIGINT) AS VARCHAR) AS lo, CAST(CAST(floor(max(c_acctbal)) AS BIGINT) AS "
+        "VARCHAR) AS hi, CAST(CAST(floor(avg(c_acctbal) + 0.5) AS BIGINT) AS VARCHAR) AS av, CAST(CAST(floor(sum(c_acctbal) + 0.5) AS BIGINT) AS "
+        "VARCHAR) AS su FROM customer GROUP BY c_nationkey",
     ),
     "sparql_group_concat": (
         "SELECT ?r (GROUP_CONCAT(?n ; SEPARATOR = '|') AS ?l) (SAMPLE(?n) AS ?s) WHERE { ?x ex:region ?y ; ex:name ?n . ?y ex:name ?r } GROUP BY ?r",
-        "SELECT r_name AS r, string_agg(n_name, '|' ORDER BY n_name) AS l, min(n_name) AS s FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
+        "SELECT r_name AS r, string_agg(n_name, '|' ORDER BY n_name) AS l, min(n_name) AS s FROM nation JOIN region ON n_regionkey = r_regionkey "
+        "GROUP BY 1",
     ),
     "sparql_unbound": (
-        "SELECT ?n ?s WHERE { ?c ex:nation ?x ; ex:name ?n OPTIONAL { ?c ex:segment ?s } VALUES (?x ?s) { (<http://ex/nation/3> UNDEF) (UNDEF 'BUILDING') } }",
-        "SELECT c_name AS n, CASE WHEN c_mktsegment = 'BUILDING' THEN c_mktsegment END AS s FROM customer WHERE c_nationkey = 3 UNION ALL SELECT c_name, 'BUILDING' FROM customer WHERE c_mktsegment = 'BUILDING' OR c_mktsegment <> 'BUILDING'",
+        "SELECT ?n ?s WHERE { ?c ex:nation ?x ; ex:name ?n OPTIONAL { ?c ex:segment ?s } VALUES (?x ?s) { (<http://ex/nation/3> UNDEF) (UNDEF "
+        "'BUILDING') } }",
+        "SELECT c_name AS n, CASE WHEN c_mktsegment = 'BUILDING' THEN c_mktsegment END AS s FROM customer WHERE c_nationkey = 3 UNION ALL SELECT "
+        "c_name, 'BUILDING' FROM customer WHERE c_mktsegment = 'BUILDING' OR c_mktsegment <> 'BUILDING'",
     ),
     "sparql_in_order": (
         "SELECT ?n WHERE { ?c ex:nation ?x ; ex:name ?n MINUS { ?c ex:segment ?s } ?x ex:region ?y . ?y ex:name 'ASIA' }",
-        "SELECT c_name AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_mktsegment <> 'BUILDING' AND r_name = 'ASIA'",
+        "SELECT c_name AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_mktsegment <> "
+        "'BUILDING' AND r_name = 'ASIA'",
     ),
     "sparql_subselect": (
         "SELECT ?n ?k WHERE { { SELECT ?x (COUNT(?c) AS ?k) WHERE { ?c ex:nation ?x ; ex:segment ?s } GROUP BY ?x } ?x ex:name ?n }",
-        "SELECT n_name AS n, CAST(count(*) AS VARCHAR) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1",
+        "SELECT n_name AS n, CAST(count(*) AS VARCHAR) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' "
+        "GROUP BY 1",
     ),
     "sparql_exists": (
         "SELECT ?n WHERE { ?x ex:region ?r ; ex:name ?n FILTER EXISTS { ?c ex:nation ?x ; ex:balance ?b FILTER(?b > 9900) } }",
@@ -258,8 +475,15 @@ _SPARQL: dict[str, tuple[str, str]] = {
         "SELECT ?n WHERE { ?c ex:name ?n ; ex:balance ?b FILTER(?b > 0) } ORDER BY DESC(?b) ?n LIMIT 15 OFFSET 5",
         "SELECT c_name AS n FROM customer WHERE c_acctbal > 0 ORDER BY c_acctbal DESC, c_name LIMIT 15 OFFSET 5",
     ),
-    "sparql_closure": ("SELECT ?r WHERE { <http://ex/nation/3> ex:region?/ex:name ?r }", "SELECT n_name AS r FROM nation WHERE n_nationkey = 3 UNION SELECT r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = 3"),
-    "sparql_bind": ("SELECT ?u WHERE { ?x ex:region ?r ; ex:name ?n BIND(CONCAT(LCASE(?n), '-', SUBSTR(?n, 1, 2)) AS ?u) }", "SELECT lower(n_name) || '-' || substr(n_name, 1, 2) AS u FROM nation"),
+    "sparql_closure": (
+        "SELECT ?r WHERE { <http://ex/nation/3> ex:region?/ex:name ?r }",
+        "SELECT n_name AS r FROM nation WHERE n_nationkey = 3 UNION SELECT r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE "
+        "n_nationkey = 3",
+    ),
+    "sparql_bind": (
+        "SELECT ?u WHERE { ?x ex:region ?r ; ex:name ?n BIND(CONCAT(LCASE(?n), '-', SUBSTR(?n, 1, 2)) AS ?u) }",
+        "SELECT lower(n_name) || '-' || substr(n_name, 1, 2) AS u FROM nation",
+    ),
 }
 
 

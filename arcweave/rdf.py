@@ -73,6 +73,25 @@ class TripleStore:
 
         return execute(self, text)
 
+    def graphql(self, text: str, vocabulary: str, **variables) -> DataFrame:
+        """A GraphQL query whose types and fields are the vocabulary's."""
+        from arcweave.languages.graphql import execute_rdf
+
+        return execute_rdf(self, text, vocabulary, variables)
+
+    def save(self, path: str, salts: int = 8) -> None:
+        """A folder for each predicate: a pattern that names one reads that folder only. A frequent predicate's triples
+        are written by up to ``salts`` tasks."""
+        rows = self.triples.select("s", "o", "g", F.col("p.value").alias("predicate"))
+        rows.repartition("predicate", F.pmod(F.xxhash64("s"), F.lit(salts))).write.partitionBy("predicate").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> TripleStore:
+        schema = T.StructType([SCHEMA["s"], SCHEMA["o"], SCHEMA["g"], T.StructField("predicate", T.StringType())])
+        null = F.lit(None).cast("string")
+        p = F.struct(F.lit("iri").alias("kind"), F.col("predicate").alias("value"), null.alias("datatype"), null.alias("lang"))
+        return TripleStore(spark.read.schema(schema).parquet(path).select("s", p.alias("p"), "o", "g"))
+
     def find(self, s: tuple | None = None, p: tuple | None = None, o: tuple | None = None) -> DataFrame:
         df = self.triples
         for name, term in (("s", s), ("p", p), ("o", o)):

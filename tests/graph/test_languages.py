@@ -264,3 +264,22 @@ def test_sparql_forms_and_updates(spark, store, graphs, tmp_path):
     odd.write_ntriples(str(tmp_path / "nt"))
     back = TripleStore.read_ntriples(spark, str(tmp_path / "nt"))
     assert sorted(map(str, back.triples.collect())) == sorted(map(str, odd.triples.collect()))
+
+
+def test_a_saved_store_reads_one_folder_a_predicate(spark, graphs, tmp_path):
+    graphs.save(str(tmp_path / "t"))
+    back = TripleStore.load(spark, str(tmp_path / "t"))
+    assert sorted(map(str, back.triples.collect())) == sorted(map(str, graphs.triples.collect()))
+    rows = back.sparql(PREFIX + "SELECT ?n WHERE { ex:oak ex:name ?n }")
+    assert values(rows) == [("Oak",)] and "PartitionFilters: [isnotnull(predicate" in physical(rows)
+
+
+def test_graphql_over_triples(spark, store):
+    typed = store.execute(PREFIX + "INSERT DATA { ex:oak a ex:Mill . ex:elm a ex:Mill . ex:yew a ex:Mill }").store
+    ask = lambda text, **v: sorted(map(tuple, typed.graphql(text, EX, **v).collect()), key=str)
+    assert ask("{ mill { name power } }") == [("Eibe", None), ("Elm", "45"), ("Oak", "120")]
+    assert ask("query Q($n: String) { mills(name: $n) { id feeds { name } } }", n="Oak") == [(EX + "oak", "Elm")]
+    assert ask("{ mill(power_gt: 40, orderBy: {power: DESC}, first: 1) { title: name } }") == [("Oak",)]
+    assert ask('{ mill(name_starts_with: "E", power_in: [45, 46]) { name } }') == [("Elm",)]
+    with pytest.raises(ParseError):
+        typed.graphql("mutation { createMill(name: 3) { name } }", EX)

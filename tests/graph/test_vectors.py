@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from arcweave import vectors
+from arcweave.graph import PropertyGraph
 
 
 def frame(spark, n=60, d=8, seed=1):
@@ -82,3 +83,10 @@ def test_cells_find_what_brute_force_finds(spark, tmp_path):
     assert hit >= 90  # a recall of 0.9
     plan = index.search(rows[0][1], 10, probes=4)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [cell" in plan
+
+
+def test_search_from_a_graph(spark):
+    df, v = frame(spark)
+    g = PropertyGraph(spark).with_vertices(df.withColumn("even", F.col("id") % 2 == 0), "Point")
+    best = sorted((i for i in v if i % 2 == 0), key=lambda i: (math.dist(v[i], v[3]), i))[:4]
+    assert [r.id for r in g.vector_search("Point", "embedding", v[3], 4, "euclidean", F.col("even")).collect()] == best
