@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Collection, Iterable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,12 +96,15 @@ class PropertyGraph:
             return self.spark.createDataFrame([], schema)
         return _union(parts)
 
-    def edge_scan(self, types: Iterable[str] = (), properties: Iterable[str] | None = (), with_type: bool = False) -> DataFrame:
-        """eid, src, dst, the named properties (None: all) and, if asked for, type; types match whatever their case."""
+    def edge_scan(self, types: Iterable[str] = (), properties: Iterable[str] | None = (), with_type: bool = False, tables: Collection[EdgeTable] | None = None) -> DataFrame:
+        """eid, src, dst, the named properties (None: all) and, if asked for, type; types match whatever their case.
+        tables: those to look into, all by default."""
         wanted = {t.lower() for t in types}
         names = list(dict.fromkeys(p for t in self.edges for p in t.properties)) if properties is None else list(properties)
         parts = []
         for t in self.edge_tables(wanted):
+            if tables is not None and not any(t is x for x in tables):
+                continue
             df = t.df if t.type is not None or not wanted else t.df.where(F.lower("type").isin(*sorted(wanted)))
             have = t.properties
             columns = [F.col("eid").cast("bigint").alias("eid"), F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst")]
@@ -117,6 +120,19 @@ class PropertyGraph:
     def edge_tables(self, wanted: set[str]) -> list[EdgeTable]:
         return [t for t in self.edges if not wanted or t.type is None or t.type.lower() in wanted]
 
+    def step_from(self, vertices: Collection[VertexTable], types: Iterable[str], direction: str) -> tuple[list[EdgeTable], list[VertexTable]]:
+        """The edge tables that a step from nodes of these tables can use, and the tables of the nodes it can reach."""
+        can = lambda labels, v: v.labels is None or set(labels) <= set(v.labels)
+        used, reached = [], []
+        for t in self.edge_tables({x.lower() for x in types}):
+            for near, far in ((t.source, t.target), (t.target, t.source)):
+                if direction != "both" and (near is t.source) != (direction == "out"):
+                    continue
+                if any(can(near, v) for v in vertices):
+                    used.append(t)
+                    reached += [v for v in self.vertices if can(far, v)]
+        return used, [v for v in self.vertices if any(v is x for x in reached)]
+
     def end_labels(self, types: Iterable[str], end: str) -> set[str]:
         """Labels that each end ("source" or "target") of edges of these types is declared to carry."""
         tables = self.edge_tables({t.lower() for t in types})

@@ -263,10 +263,10 @@ class Compiler:
         names = {k: f"{n.var}__{k}" for k in wanted} | {"id": n.var} | ({"labels": f"{n.var}____labels"} if with_labels else {})
         return df.select(*[F.col(f"`{a}`").alias(b) for a, b in names.items()])
 
-    def _edge(self, r: Rel, a: str, b: str) -> DataFrame:
+    def _edge(self, r: Rel, a: str, b: str, tables=None) -> DataFrame:
         wanted = sorted(k for k in self.needs[r.var] | set(r.props) if not k.startswith("__"))
         with_type = "__type" in self.needs[r.var]
-        df = self.graph.edge_scan(r.types, wanted, with_type)
+        df = self.graph.edge_scan(r.types, wanted, with_type, tables)
         for k, v in r.props.items():
             df = df.where(F.col(f"`{k}`") == self.column(v))
         df = oriented(df, r.direction)
@@ -361,23 +361,24 @@ class Compiler:
         """Walks of r.hops edges from the bound a. Bounded ones are counted by end and level, so that the number of
         rows between levels is that of (start, end) pairs; unbounded ones use an edge once at most."""
         low, high = r.hops
-        e = self._edge(Rel("_e", r.types, r.direction, r.props), "_x", "_y").select("_x", "_y", "_e")
+        edges = lambda tables=None: self._edge(Rel("_e", r.types, r.direction, r.props), "_x", "_y", tables).select("_x", "_y", "_e")
         starts = self.df.select(F.col(f"`{a.var}`").alias("_s")).distinct()
         n, levels = f"_len{next(self.fresh)}", []
         if high is not None:
             cur = starts.select("_s", F.col("_s").alias("_t"), F.lit(1).cast("bigint").alias("_n"))
             if low == 0:
                 levels.append(cur.withColumn(n, F.lit(0)))
-            steps = e.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_m"))
-            for k in range(1, high + 1):
-                cur = cur.join(steps, F.col("_t") == F.col("_x")).groupBy("_s", F.col("_y").alias("_t")).agg(F.sum(F.col("_n") * F.col("_m")).alias("_n"))
+            near = [t for t in self.graph.vertices if t.labels is None or self.of[a.var] <= set(t.labels)]
+            for k in range(1, high + 1):  # each level reads the edges that its nodes can have
+                used, near = self.graph.step_from(near, r.types, r.direction)
+                cur = cur.join(edges(used), F.col("_t") == F.col("_x")).groupBy("_s", F.col("_y").alias("_t")).agg(F.sum("_n").alias("_n"))
                 if k >= low:
                     levels.append(cur.withColumn(n, F.lit(k)))
         else:
             cur = starts.select("_s", F.col("_s").alias("_t"), F.array().cast("array<bigint>").alias("_p"))
             if low == 0:
                 levels.append(cur.select("_s", "_t", F.lit(1).cast("bigint").alias("_n"), F.lit(0).alias(n)))
-            e, k = checkpointed(e), 0
+            e, k = checkpointed(edges()), 0
             while True:
                 k += 1
                 cur = cur.join(e, (F.col("_t") == F.col("_x")) & ~F.array_contains("_p", F.col("_e")))
@@ -391,7 +392,7 @@ class Compiler:
         reach = levels[0]
         for x in levels[1:]:
             reach = reach.unionByName(x)
-        reach = reach.select("_s", "_t", n, F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int")))).drop("col")
+        reach = reach.select("_s", "_t", n, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))).drop("col")
         closing = b.var in self.kinds
         far = f"_far{next(self.fresh)}" if closing else b.var
         self.df = self.df.join(reach.withColumnRenamed("_t", far), F.col(f"`{a.var}`") == F.col("_s")).drop("_s")
@@ -430,7 +431,7 @@ class Compiler:
         n = f"_len{next(self.fresh)}"
         found = found.withColumnRenamed("_d", n)
         if p.shortest == "all":
-            found = found.select("_s", "_t", n, F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int")))).drop("col")
+            found = found.select("_s", "_t", n, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))).drop("col")
         else:
             found = found.drop("_n")
         if b.var in self.kinds:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from arcweave import queries_algorithms, rdf, vectors
 from arcweave.algorithms import centrality, structure, traversal
@@ -17,21 +17,31 @@ _STEP = 1 << 40
 _CODES = {"customer": 0, "supplier": 1, "part": 2, "orders": 3, "nation": 4, "region": 5}
 
 
-_schemas: dict[tuple[str, str, str], StructType] = {}
+_declared: dict[tuple, tuple[SparkSession, object]] = {}
+
+
+def _once(declare: Callable) -> Callable:
+    """A graph is declared once for a session and folder, as a user would; queries then only plan and run."""
+
+    @functools.wraps(declare)
+    def of(spark: SparkSession, sf_dir: str):
+        key = (spark.sparkContext.applicationId, sf_dir, declare.__name__)
+        if key not in _declared or _declared[key][0] is not spark:
+            _declared[key] = spark, declare(spark, sf_dir)
+        return _declared[key][1]
+
+    return of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; its schema is read from the files once for each folder and application."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _schemas:
-        _schemas[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.read.schema(_schemas[key]).parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _id(name: str, column: str):
     return (F.col(column).cast("bigint") + F.lit(_CODES[name] * _STEP)).cast("bigint")
 
 
+@_once
 def tpch_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """(Customer)-[PLACED]->(Order)-[CONTAINS]->(Part), (Order)-[SHIPPED_BY]->(Supplier), (Customer|Supplier)-[LOCATED_IN]->
     (Nation)-[IN_REGION]->(Region); ids are keys with a code for the table."""
@@ -66,6 +76,7 @@ def tpch_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     )
 
 
+@_once
 def referral_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """A graph without parts: each order refers its customer to another one that its key names."""
     o = _table(spark, sf_dir, "orders")
@@ -77,6 +88,7 @@ def referral_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
 _E = "e AS (SELECT o_orderkey AS eid, o_custkey AS src, CAST((o_orderkey * 31 + 7) % 997 + 1 AS BIGINT) AS dst, floor(o_totalprice / 1000 + 1) AS w FROM orders), v AS (SELECT DISTINCT id FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e))"
 
 
+@_once
 def triples(spark: SparkSession, sf_dir: str) -> rdf.TripleStore:
     """nation, region and customer as triples under http://ex/."""
     i = lambda kind, c: rdf.iri_column(F.concat(F.lit(f"http://ex/{kind}/"), F.col(c).cast("string")))
