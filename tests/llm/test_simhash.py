@@ -163,13 +163,19 @@ def test_groups_inside_a_family_are_all_found(spark):
     assert kept == firsts(ts)
 
 
-def test_all_pairs_just_above_the_limit_are_found(spark):
+def test_recall_against_brute_force_by_similarity(spark):
     rng = random.Random(33)
+    bins = {(0.80, 0.83): [], (0.83, 0.87): [], (0.87, 0.92): []}
     ts = []
-    while len(ts) < 400:  # pairs at 0.80 to 0.85
+    while any(len(x) < 400 for x in bins.values()):
         base = [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(100, 300))]
-        (copy,) = near_copies(rng, base, 1, max(1, len(base) // 50))
-        if 0.8 <= jaccard(" ".join(base), copy) < 0.85:
+        (copy,) = near_copies(rng, base, 1, max(1, round(len(base) / rng.choice([50, 60, 75, 100, 130]))))
+        j = jaccard(" ".join(base), copy)
+        found = next((x for (low, high), x in bins.items() if low <= j < high and len(x) < 400), None)
+        if found is not None:
+            found.append(len(ts) + 1)
             ts += [" ".join(base), copy]
-    kept = sorted(r.doc_id for r in simhash.drop_similar(spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")).collect())
-    assert kept == list(range(0, 400, 2))
+    kept = {r.doc_id for r in simhash.drop_similar(spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")).collect()}
+    assert kept >= set(range(0, len(ts), 2))
+    for pairs in bins.values():
+        assert sum(i not in kept for i in pairs) >= 0.99 * len(pairs)
