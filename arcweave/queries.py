@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweave import queries_algorithms, rdf, vectors
 from arcweave.algorithms import centrality, structure, traversal
+from arcweave.cluster import new_folder
 from arcweave.graph import PropertyGraph
+from arcweave.sources import snapshots
 from arcweave.sources.snapshots import from_edge_list
 
 _STEP = 1 << 40
@@ -290,6 +293,10 @@ _CYPHER: dict[str, tuple[str, str]] = {
         "SELECT p_partkey AS key, CAST(trunc(p_retailprice) AS BIGINT) AS i, CAST(p_size AS DOUBLE) AS f, CAST(p_size AS VARCHAR) AS s, p_size AS c, "
         "CAST(length(p_name) AS BIGINT) AS n, true AS b, CAST(p_size // 3 AS BIGINT) AS q, p_size % 7 AS m, -p_size AS neg FROM part",
     ),
+    "more_functions": (
+        "MATCH (p:Part) RETURN p.key AS key, p.size ^ 2 AS sq, {a: p.size, b: 1}['a'] AS m, exists(p.name) AS e, id(p) % 1000 AS i, 'x' || p.brand AS c, [p.size, 0][0] AS f",
+        "SELECT p_partkey AS key, CAST(p_size AS DOUBLE) ** 2 AS sq, p_size AS m, true AS e, CAST((p_partkey + 2 * 1099511627776) % 1000 AS BIGINT) AS i, 'x' || p_brand AS c, p_size AS f FROM part",
+    ),
     "has_label": ("MATCH (n) WHERE n:Nation OR n:Region RETURN n.name AS name", "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region"),
     "factorized_count": (
         "MATCH (n:Nation)<-[:LOCATED_IN]-(c:Customer)-[:PLACED]->(o:Order)-[:CONTAINS]->(p:Part) RETURN n.name AS nation, count(*) AS n, "
@@ -585,7 +592,44 @@ def _others() -> dict[str, tuple[Callable, str | None]]:
         store = triples(spark, sf_dir).execute(_PREFIX + "DELETE { ?x ex:region ?r } INSERT { ?x ex:within ?r } WHERE { ?x ex:region ?r }").store
         return _terms(store.sparql(_PREFIX + "SELECT ?n ?r WHERE { ?x ex:within ?y ; ex:name ?n . ?y ex:name ?r }"))
 
+    def by_id(spark, sf_dir):
+        ids = [_CODES["customer"] * _STEP + k for k in (1, 2, 7)] + [_CODES["nation"] * _STEP + 3]
+        return t(spark, sf_dir).nodes_by_id(ids).select(F.col("labels")[0].alias("label"), "key", "name")
+
+    def near(spark, sf_dir):
+        base = _CODES["nation"] * _STEP
+        found = t(spark, sf_dir).neighbors([base + 1, base + 2], "in", ("LOCATED_IN",))
+        return found.groupBy((F.col("id") - base).alias("nation")).agg(F.count(F.lit(1)).alias("n"))
+
+    def wrote(text, read):
+        return lambda s, d: t(s, d).execute(text).graph.cypher(read)
+
+    def kept(spark, sf_dir):
+        path = new_folder(spark, "graph")
+        small = t(spark, sf_dir)
+        few = replace(small, vertices=tuple(v for v in small.vertices if "Nation" in v.labels or "Region" in v.labels), edges=tuple(e for e in small.edges if e.type == "IN_REGION"))
+        snapshots.save(few, path)
+        return snapshots.load(spark, path).cypher("MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN n.name AS n, r.name AS r")
+
+    def named(spark, sf_dir):
+        insert = "INSERT { GRAPH ex:asia { ?x ex:in ?y } } WHERE { ?x ex:region ?y . ?y ex:name 'ASIA' }; INSERT { GRAPH ex:rest { ?x ex:in ?y } } WHERE { ?x ex:region ?y . ?y ex:name ?r FILTER(?r != 'ASIA') }"
+        store = triples(spark, sf_dir).execute(_PREFIX + insert).store
+        return _terms(store.sparql(_PREFIX + "SELECT ?g ?n WHERE { GRAPH ?g { ?x ex:in ?y } ?x ex:name ?n }"))
+
+    def constructed(spark, sf_dir):
+        return _terms(triples(spark, sf_dir).sparql(_PREFIX + "CONSTRUCT { ?y ex:holds ?x } WHERE { ?x ex:region ?y }"))
+
+    def stored(spark, sf_dir):
+        path = new_folder(spark, "triples")
+        triples(spark, sf_dir).save(path)
+        return _terms(rdf.TripleStore.load(spark, path).sparql(_PREFIX + "SELECT ?n ?r WHERE { ?x ex:region ?y ; ex:name ?n . ?y ex:name ?r }"))
+
+    def over_triples(spark, sf_dir):
+        typed = triples(spark, sf_dir).execute(_PREFIX + "INSERT { ?x a ex:Nation } WHERE { ?x ex:region ?y }").store
+        return typed.graphql('{ nation { name region(name_ne: "ASIA") { name } } }', "http://ex/")
+
     squares = "list_sum([(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) ** 2 for z in list_zip(x.embedding, q.embedding)])"
+    constant = "sqrt(list_sum([(CAST(x AS DOUBLE) - 0.1::DOUBLE) ** 2 for x in embedding]))"
     absolute = "list_sum([abs(CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) for z in list_zip(x.embedding, q.embedding)])"
     dot = lambda a, b: f"list_sum([CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE) for z in list_zip({a}.embedding, {b}.embedding)])"
     return {
@@ -600,6 +644,69 @@ def _others() -> dict[str, tuple[Callable, str | None]]:
         "mutation_delete": (deleted, "SELECT count(DISTINCT c_custkey) AS customers, count(*) AS orders FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_acctbal >= 0"),
         "mutation_set": (updated, "SELECT p_partkey AS key, CAST(p_size + 100 AS INTEGER) AS size FROM part WHERE p_size > 25"),
         "sparql_update": (sparql_update, "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey"),
+        "mutation_remove": (
+            wrote("MATCH (p:Part) WHERE p.size < 10 REMOVE p.brand", "MATCH (p:Part) RETURN p.brand IS NULL AS gone, count(*) AS n"),
+            "SELECT p_size < 10 AS gone, count(*) AS n FROM part GROUP BY 1",
+        ),
+        "mutation_replace": (
+            wrote("MATCH (p:Part) WHERE p.size = 50 SET p = {name: 'new', size: 51}", "MATCH (p:Part) WHERE p.size >= 50 RETURN p.name AS name, p.brand AS brand, p.size AS size"),
+            "SELECT 'new' AS name, CAST(NULL AS VARCHAR) AS brand, CAST(51 AS INTEGER) AS size FROM part WHERE p_size = 50",
+        ),
+        "mutation_labels": (
+            wrote("MATCH (c:Customer) WHERE c.acctbal > 9000 SET c:Rich REMOVE c:Customer", "MATCH (n) WHERE n:Rich OR n:Customer RETURN labels(n)[0] AS label, count(*) AS n"),
+            "SELECT CASE WHEN c_acctbal > 9000 THEN 'Rich' ELSE 'Customer' END AS label, count(*) AS n FROM customer GROUP BY 1",
+        ),
+        "mutation_delete_edges": (
+            wrote("MATCH (:Order)-[r:CONTAINS]->(p:Part) WHERE r.quantity < 25 DELETE r", "MATCH (:Order)-[r:CONTAINS]->(p:Part) RETURN count(*) AS n, sum(r.quantity) AS q"),
+            "SELECT count(*) AS n, sum(l_quantity) AS q FROM lineitem WHERE l_quantity >= 25",
+        ),
+        "gremlin_write": (
+            lambda s, d: t(s, d).execute("MATCH (r:Region) SET r.seen = 0").graph.gremlin("g.V().hasLabel('Region').values('seen')"),
+            "SELECT 0 AS value FROM region",
+        ),
+        "graph_nodes_by_id": (
+            by_id,
+            "SELECT 'Customer' AS label, c_custkey AS key, c_name AS name FROM customer WHERE c_custkey IN (1, 2, 7) "
+            "UNION ALL SELECT 'Nation', CAST(n_nationkey AS BIGINT), n_name FROM nation WHERE n_nationkey = 3",
+        ),
+        "graph_neighbors": (
+            near,
+            "SELECT nation, count(*) AS n FROM (SELECT CAST(c_nationkey AS BIGINT) AS nation FROM customer UNION ALL SELECT s_nationkey FROM supplier) WHERE nation IN (1, 2) GROUP BY 1",
+        ),
+        "graph_by_property": (
+            lambda s, d: t(s, d).nodes_by_property("mktsegment", "BUILDING", ("Customer",)).select("key", "name"),
+            "SELECT c_custkey AS key, c_name AS name FROM customer WHERE c_mktsegment = 'BUILDING'",
+        ),
+        "graph_in_range": (
+            lambda s, d: t(s, d).nodes_in_range("totalprice", 100000, 120000, include_high=False, labels=("Order",)).select("key"),
+            "SELECT o_orderkey AS key FROM orders WHERE o_totalprice >= 100000 AND o_totalprice < 120000",
+        ),
+        "graph_type_counts": (
+            lambda s, d: t(s, d).type_counts(),
+            "SELECT 'PLACED' AS type, count(*) AS count FROM orders UNION ALL SELECT 'CONTAINS', count(*) FROM lineitem UNION ALL SELECT 'SHIPPED_BY', count(*) FROM lineitem "
+            "UNION ALL SELECT 'LOCATED_IN', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) UNION ALL SELECT 'IN_REGION', count(*) FROM nation",
+        ),
+        "graph_snapshot": (kept, "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey"),
+        "sparql_named_graphs": (
+            named,
+            "SELECT CASE WHEN r_name = 'ASIA' THEN 'http://ex/asia' ELSE 'http://ex/rest' END AS g, n_name AS n FROM nation JOIN region ON n_regionkey = r_regionkey",
+        ),
+        "sparql_construct": (
+            constructed,
+            "SELECT 'http://ex/region/' || n_regionkey AS s, 'http://ex/holds' AS p, 'http://ex/nation/' || n_nationkey AS o FROM nation",
+        ),
+        "sparql_ask": (lambda s, d: triples(s, d).sparql(_PREFIX + "ASK { ?x ex:name 'ASIA' }"), "SELECT count(*) > 0 AS result FROM region WHERE r_name = 'ASIA'"),
+        "sparql_stored": (stored, "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey"),
+        "graphql_over_triples": (
+            over_triples,
+            "SELECT n_name AS name, r_name AS region_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'",
+        ),
+        "graph_vector_search": (
+            lambda s, d: PropertyGraph(s).with_vertices(_table(s, d, "embeddings").withColumnRenamed("vec_id", "id"), "Vector").vector_search(
+                "Vector", "embedding", [0.1] * 64, 5, "euclidean", F.col("label") == 1
+            ).select("id", F.round("distance", 6).alias("distance")),
+            f"SELECT vec_id AS id, round({constant}, 6) AS distance FROM embeddings WHERE label = 1 ORDER BY {constant}, vec_id LIMIT 5",
+        ),
         "graph_label_counts": (lambda s, d: t(s, d).label_counts(), "SELECT 'Customer' AS label, count(*) AS count FROM customer UNION ALL SELECT 'Supplier', count(*) FROM supplier UNION ALL SELECT 'Part', count(*) FROM part UNION ALL SELECT 'Order', count(*) FROM orders UNION ALL SELECT 'Nation', count(*) FROM nation UNION ALL SELECT 'Region', count(*) FROM region"),
         "graph_dangling_edges": (lambda s, d: t(s, d).dangling_edges().agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)"),
         "graph_degrees": (lambda s, d: t(s, d).degrees(("LOCATED_IN",)).where("degree > 0").agg(F.count(F.lit(1)).alias("n"), F.sum("degree").alias("d")), "SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier)) AS n, CAST(2 * ((SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier)) AS BIGINT) AS d"),
