@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.algorithms import compact
-from arcweave.algorithms.traversal import nodes_of, small_adjacency
+from arcweave.algorithms.traversal import nodes_of
 from arcweave.cluster import checkpointed, shuffle_partitions
 from arcweave.graph import PropertyGraph
 
@@ -59,46 +60,63 @@ def pagerank(graph: PropertyGraph, damping: float = 0.85, max_iterations: int =
     return rank.select("id", "rank")
 
 
-def _all_sources(graph: PropertyGraph, types, work, schema: str, most_edges: int) -> DataFrame:
-    """work(adjacency, sources) on partitions of all nodes; the adjacency goes to every executor, so that its number of
-    edges is checked against ``most_edges`` first."""
-    out = graph.spark.sparkContext.broadcast(small_adjacency(graph, types, most_edges))
+def _all_sources(graph: PropertyGraph, types, work: Callable, schema: str, most_edges: int) -> DataFrame:
+    """work(edges, places of sources) on partitions of all nodes. The edges go to every executor as arrays, 24 bytes
+    each, so that their number is checked against ``most_edges`` first."""
+    e = graph.edge_scan(types).select("src", "dst")
+    if e.count() > most_edges:
+        raise ValueError(f"more than {most_edges} edges for an algorithm that searches from every node")
+    held = e.toArrow()
+    shared = graph.spark.sparkContext.broadcast(compact.Numbered(*(np.array(held.column(c)) for c in ("src", "dst"))))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = shared.value
         for pdf in frames:
-            yield work(out.value, pdf["id"].tolist())
+            ids = pdf["id"].to_numpy(np.int64)
+            place = np.minimum(np.searchsorted(g.ids, ids), max(g.n - 1, 0))
+            known = g.ids[place] == ids if g.n else np.zeros(len(ids), bool)
+            yield work(g, ids, np.where(known, place, -1))
 
     return nodes_of(graph).repartition(graph.spark.sparkContext.defaultParallelism * 2, "id").mapInPandas(run, schema)
 
 
-def _brandes(out: dict[int, list[int]], sources: list[int]) -> pd.DataFrame:
-    total: dict[int, float] = {}
-    for s in sources:
-        order, parents, paths, depth = [], {s: []}, {s: 1.0}, {s: 0}
-        queue = [s]
-        for v in queue:
-            order.append(v)
-            for w in out.get(v, ()):
-                if w not in depth:
-                    depth[w], paths[w], parents[w] = depth[v] + 1, 0.0, []
-                    queue.append(w)
-                if depth[w] == depth[v] + 1:
-                    paths[w] += paths[v]
-                    parents[w].append(v)
-        due = dict.fromkeys(order, 0.0)
-        for w in reversed(order):
-            for v in parents[w]:
-                due[v] += paths[v] / paths[w] * (1 + due[w])
-            if w != s:
-                total[w] = total.get(w, 0.0) + due[w]
-    return pd.DataFrame({"id": list(total), "b": list(total.values())}).astype({"id": "int64", "b": "float64"})
+def _levels(g: compact.Numbered, source: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Level by level: the nodes of the next one, and the edges that lead there (from, to)."""
+    seen, front = np.zeros(g.n, bool), np.array([source])
+    seen[source] = True
+    while len(front):
+        e = g.out_of(front)
+        a, b = g.a[e], g.b[e]
+        new = ~seen[b]
+        a, b = a[new], b[new]
+        front = np.unique(b)
+        seen[front] = True
+        if len(front):
+            yield front, a, b
+
+
+def _dependencies(g: compact.Numbered, ids: np.ndarray, places: np.ndarray) -> pd.DataFrame:
+    """Brandes: what the shortest paths from these sources owe to each node."""
+    total = np.zeros(g.n)
+    for s in places[places >= 0].tolist():
+        paths, levels = np.zeros(g.n), []
+        paths[s] = 1
+        for _, a, b in _levels(g, s):
+            np.add.at(paths, b, paths[a])
+            levels.append((a, b))
+        due = np.zeros(g.n)
+        for a, b in reversed(levels):
+            np.add.at(due, a, paths[a] / paths[b] * (1 + due[b]))
+        due[s] = 0
+        total += due
+    return pd.DataFrame({"id": g.ids[total > 0], "b": total[total > 0]})
 
 
 def betweenness_centrality(graph: PropertyGraph, normalized: bool = True, types=(), most_edges: int = 5_000_000) -> DataFrame:
     """id, betweenness: Brandes over directed, unweighted edges; normalized: times 2 / ((n - 1)(n - 2))."""
     n = nodes_of(graph).count()
     scale = 2.0 / ((n - 1) * (n - 2)) if normalized and n > 2 else 1.0
-    part = _all_sources(graph, types, _brandes, "id long, b double", most_edges).groupBy("id").agg(F.sum("b").alias("b"))
+    part = _all_sources(graph, types, _dependencies, "id long, b double", most_edges).groupBy("id").agg(F.sum("b").alias("b"))
     return nodes_of(graph).join(part, "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 
 
@@ -106,18 +124,13 @@ def closeness_centrality(graph: PropertyGraph, wf: bool = False, types=(), most_
     """id, closeness: reached nodes over the sum of their distances; wf: times the share of the others that is reached."""
     n = nodes_of(graph).count()
 
-    def work(out: dict[int, list[int]], sources: list[int]) -> pd.DataFrame:
-        rows = []
-        for s in sources:
-            depth, queue = {s: 0}, [s]
-            for v in queue:
-                for w in out.get(v, ()):
-                    if w not in depth:
-                        depth[w] = depth[v] + 1
-                        queue.append(w)
-            far, reached = sum(depth.values()), len(depth) - 1
+    def work(g: compact.Numbered, ids: np.ndarray, places: np.ndarray) -> pd.DataFrame:
+        out = np.zeros(len(ids))
+        for i, s in enumerate(places.tolist()):
+            size = [len(front) for front, _, _ in _levels(g, s)] if s >= 0 else []
+            far, reached = sum(k * x for k, x in enumerate(size, 1)), sum(size)
             c = reached / far if far else 0.0
-            rows.append((s, c * reached / (n - 1) if wf and n > 1 else c))
-        return pd.DataFrame(rows, columns=["id", "closeness"]).astype({"id": "int64", "closeness": "float64"})
+            out[i] = c * reached / (n - 1) if wf and n > 1 else c
+        return pd.DataFrame({"id": ids, "closeness": out})
 
     return _all_sources(graph, types, work, "id long, closeness double", most_edges)
