@@ -537,7 +537,6 @@ def _algorithms() -> dict[str, tuple[Callable, str | None]]:
         "algo_triangles": (lambda s, d: structure.triangle_count(r(s, d)), tri + " SELECT v.id, coalesce(t, 0) AS triangles FROM v LEFT JOIN c USING (id)"),
         "algo_clustering": (lambda s, d: structure.clustering(r(s, d)).select("id", F.round("coefficient", 9).alias("coefficient")), tri + ", k AS (SELECT a AS id, count(*) AS k FROM u GROUP BY 1) SELECT v.id, round(CASE WHEN coalesce(k, 0) < 2 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(t, 0) / (k * (k - 1)) END, 9) AS coefficient FROM v LEFT JOIN c USING (id) LEFT JOIN k USING (id)"),
         "algo_spanning_forest": (lambda s, d: structure.spanning_forest(r(s, d), "w"), None),
-        "algo_closeness": (lambda s, d: centrality.closeness_centrality(r(s, d)), None),
     }
 
 

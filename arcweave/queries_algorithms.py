@@ -155,6 +155,14 @@ def queries(referral_graph: Callable[[SparkSession, str], PropertyGraph]) -> dic
                  WHERE x.d > 0 AND y.d > 0 GROUP BY 1)
             SELECT id, round(coalesce(b, 0::DOUBLE), 9) AS betweenness FROM v LEFT JOIN b USING (id)""",
         ),
+        "algo_closeness": (
+            lambda s, d: centrality.closeness_centrality(r(s, d)).select("id", F.round("closeness", 9).alias("closeness")),
+            f"""WITH RECURSIVE {REFERRALS}, s AS (SELECT DISTINCT src, dst FROM e),
+            t(s, id, d) USING KEY (s, id) AS (
+                SELECT id, id, 0 FROM v
+                UNION SELECT t.s, s.dst, t.d + 1 FROM t JOIN s ON t.id = s.src LEFT JOIN recurring.t o ON o.s = t.s AND o.id = s.dst WHERE o.s IS NULL)
+            SELECT s AS id, round(CASE WHEN sum(d) > 0 THEN CAST(count(*) - 1 AS DOUBLE) / sum(d) ELSE 0::DOUBLE END, 9) AS closeness FROM t GROUP BY 1""",
+        ),
         "algo_closeness_nations": (
             lambda s, d: centrality.closeness_centrality(n(s, d)).select("id", F.round("closeness", 9).alias("closeness")),
             _HOPS + " SELECT s AS id, round(CASE WHEN sum(d) > 0 THEN CAST(count(*) - 1 AS DOUBLE) / sum(d) ELSE 0::DOUBLE END, 9) AS closeness FROM h GROUP BY 1",
