@@ -8,6 +8,7 @@ from arcweave import queries
 
 FOLDER = "/root/testdata/sf0.001"
 NAMES = ["scan_edges", "chain_of_hops", "shared_variables", "variable_length", "optional_match", "percentiles", "with_pipeline", "factorized_count", "gremlin_where", "graphql_nested", "sparql_group", "algo_triangles", "mutation_set"]
+NAMES += ["walks_counted", "unbounded_paths", "sparql_unbound", "sparql_in_order", "sparql_aggregates", "sparql_named_graphs", "algo_articulation_points", "algo_topological_levels", "algo_core_numbers", "algo_dfs", "mutation_replace", "vector_join"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
 
 
@@ -17,7 +18,7 @@ def test_query_and_sql_agree(spark, name):
     query, sql = queries.registry()[name]
     got = query(spark, FOLDER)
     with duckdb.connect() as c:
-        for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "embeddings"):
             c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
         rows = c.sql(sql)
         columns, want = rows.columns, rows.fetchall()
