@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import Counter, defaultdict, deque
 
+import pyarrow as pa
 import pytest
 
 from arcweave.algorithms import centrality, compact, sequential, structure, traversal
@@ -260,3 +261,20 @@ def test_degrees(dense):
     g, e = dense
     got = {r.id: (r.out_degree, r.in_degree) for r in centrality.degree_centrality(g).collect()}
     assert got == {v: (sum(a == v for _, a, _, _, _ in e), sum(b == v for _, _, b, _, _ in e)) for v in range(12)}
+
+
+def test_cut_points_of_more_edges_than_the_driver_takes(sparse, monkeypatch):
+    monkeypatch.setattr(sequential, "MOST_EDGES", 5)
+    links, count = undirected(sparse[1]), lambda vs, ls: len({parts(16, ls)[v] for v in vs})
+    base = count(range(16), links)
+    assert {(r.src, r.dst) for r in sequential.bridges(sparse[0]).collect()} == {x for x in links if count(range(16), links - {x}) > base}
+    want = {v for v in range(16) if count([u for u in range(16) if u != v], {x for x in links if v not in x}) > base - (not any(v in x for x in links))}
+    assert {r.id for r in sequential.articulation_points(sparse[0]).collect()} == want
+
+
+def test_adjacency_of_runs_that_go_on_in_the_next_batch_and_ranges_in_any_order():
+    rows = [(7, 1, 2), (7, 4, 1), (9, 1, 5), (1, 4, 3), (1, 7, 2), (1, 9, 5), (4, 1, 3), (4, 7, 1)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i:j], strict=True)], ["a", "b", "m"]) for i, j in ((0, 1), (1, 4), (4, 5), (5, 8))]
+    g = compact.Adjacency(iter(batches), len(rows))
+    got = {int(v): [(int(g.ids[x]), int(m)) for x, m in zip(g.to[i : i + k], g.m[i : i + k], strict=True)] for v, i, k in zip(g.ids, g.first, g.size, strict=True)}
+    assert got == {1: [(4, 3), (7, 2), (9, 5)], 4: [(1, 3), (7, 1)], 7: [(1, 2), (4, 1)], 9: [(1, 5)]}
