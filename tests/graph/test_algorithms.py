@@ -278,3 +278,11 @@ def test_adjacency_of_runs_that_go_on_in_the_next_batch_and_ranges_in_any_order(
     g = compact.Adjacency(iter(batches), len(rows))
     got = {int(v): [(int(g.ids[x]), int(m)) for x, m in zip(g.to[i : i + k], g.m[i : i + k], strict=True)] for v, i, k in zip(g.ids, g.first, g.size, strict=True)}
     assert got == {1: [(4, 3), (7, 2), (9, 5)], 4: [(1, 3), (7, 1)], 7: [(1, 2), (4, 1)], 9: [(1, 5)]}
+
+
+def test_louvain_of_more_edges_than_the_driver_takes(spark, monkeypatch):
+    monkeypatch.setattr(sequential, "MOST_EDGES", 5)
+    cliques = [(a + c * 6, b + c * 6) for c in range(3) for a, b in itertools.combinations(range(6), 2)] + [(5, 6), (11, 12), (3, 3)]
+    nodes = spark.createDataFrame([(i, ["N"]) for i in range(19)], "id long, labels array<string>")
+    g = PropertyGraph.from_frames(nodes, spark.createDataFrame([(i, a, b, "E") for i, (a, b) in enumerate(cliques)], "eid long, src long, dst long, type string"))
+    assert pairs(sequential.louvain(g)) == {v: v // 6 * 6 for v in range(19)}
