@@ -118,26 +118,22 @@ def global_clustering(graph: PropertyGraph, types=()) -> float:
 
 
 def core_numbers(graph: PropertyGraph, types=()) -> DataFrame:
-    """id, core: the largest k of which the node is in the k-core. Peels all nodes at or below a level at once."""
+    """id, core: the largest k of which the node is in the k-core. Peels all nodes at or below a level at once, and
+    finishes in one task once few edges are left. The joins are merges: a broadcast would pass through the driver every round."""
     e = checkpointed(simple_edges(graph, types))
     degree = lambda: e.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count()
-    found = nodes_of(graph).join(e.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_anti").select("id", F.lit(0).alias("core"))
-    k = 1
-    while not e.isEmpty():
-        if k == 1 and compact.small(e):
-            return found.unionByName(compact.in_one_task(e, compact.cores, "id long, core int"))
-        d = checkpointed(degree())
-        least = d.agg(F.min("count")).first()[0]
-        k = max(k, least)
-        gone = checkpointed(d.where(F.col("count") <= k).select("id", F.lit(k).alias("core")))
-        found = found.unionByName(gone)
-        rest = checkpointed(e.join(gone, F.col("a") == F.col("id"), "left_anti").join(gone, F.col("b") == F.col("id"), "left_anti"))
-        # Ends that lose their last edge here have no core of their own level left: they peel at k, too.
-        ends = e.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        still = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        bare = ends.join(still, "id", "left_anti").join(gone, "id", "left_anti")
-        found = checkpointed(found.unionByName(bare.select("id", F.lit(k).alias("core"))))
-        e = rest
+    d, k = checkpointed(degree()), 1
+    found = nodes_of(graph).join(d.hint("merge"), "id", "left_anti").select("id", F.lit(0).alias("core"))
+    while not d.isEmpty():
+        if compact.small(e):
+            rest = compact.in_one_task(e, compact.cores(k), "id long, core int")
+            return found.unionByName(d.join(rest, "id", "left").select("id", F.coalesce("core", F.lit(k)).alias("core")))
+        k = max(k, d.agg(F.min("count")).first()[0])
+        found = found.unionByName(d.where(F.col("count") <= k).select("id", F.lit(k).alias("core")))
+        stay = d.where(F.col("count") > k).select("id").hint("merge")
+        e = checkpointed(e.join(stay, F.col("a") == F.col("id"), "left_semi").join(stay, F.col("b") == F.col("id"), "left_semi"))
+        # Nodes whose last edge went here are left with degree 0 and peel at k, too.
+        d = checkpointed(stay.join(degree().hint("merge"), "id", "left").select("id", F.coalesce("count", F.lit(0)).alias("count")))
     return found
 
 

@@ -286,3 +286,33 @@ def test_louvain_of_more_edges_than_the_driver_takes(spark, monkeypatch):
     nodes = spark.createDataFrame([(i, ["N"]) for i in range(19)], "id long, labels array<string>")
     g = PropertyGraph.from_frames(nodes, spark.createDataFrame([(i, a, b, "E") for i, (a, b) in enumerate(cliques)], "eid long, src long, dst long, type string"))
     assert pairs(sequential.louvain(g)) == {v: v // 6 * 6 for v in range(19)}
+
+
+def test_levels_above_many_ends_take_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(compact, "ONE_TASK", 40)
+    rows, written = [(i, i + 1) for i in range(30)] + [(i % 31, 100 + i) for i in range(200)], []
+    real = traversal.checkpointed
+    monkeypatch.setattr(traversal, "checkpointed", lambda *x: written.append(x) or real(*x))
+    edges = spark.createDataFrame([(i, a, b, "E") for i, (a, b) in enumerate(rows)], "eid long, src long, dst long, type string")
+    nodes = spark.createDataFrame([(i, ["N"]) for i in {x for r in rows for x in r}], "id long, labels array<string>")
+    want = {i: i for i in range(31)} | {100 + i: i % 31 + 1 for i in range(200)}
+    assert pairs(traversal.topological_levels(PropertyGraph.from_frames(nodes, edges))) == want
+    assert len(written) < 10  # three a level before
+
+
+def test_rounds_of_cores_broadcast_nothing(spark, monkeypatch, dense):
+    monkeypatch.setattr(compact, "ONE_TASK", 12)
+    plans, real = [], structure.checkpointed
+    monkeypatch.setattr(structure, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    near = defaultdict(set)
+    for a, b in undirected(dense[1]):
+        near[a].add(b)
+        near[b].add(a)
+    core = {}
+    for k in range(12):
+        left = set(range(12))
+        while drop := {v for v in left if len(near[v] & left) < k}:
+            left -= drop
+        core |= dict.fromkeys(left, k)
+    assert pairs(structure.core_numbers(dense[0])) == core
+    assert len(plans) > 3 and not any("BroadcastExchange" in p for p in plans)
