@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,17 +121,87 @@ def betweenness_centrality(graph: PropertyGraph, normalized: bool = True, types=
     return nodes_of(graph).join(part, "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 
 
-def closeness_centrality(graph: PropertyGraph, wf: bool = False, types=(), most_edges: int = 5_000_000) -> DataFrame:
-    """id, closeness: reached nodes over the sum of their distances; wf: times the share of the others that is reached."""
-    n = nodes_of(graph).count()
+#: Nodes that edges lead to of which a worker holds all distances, two bytes a pair, and cells of the sources worked on at once.
+TABLE, CELLS = 4_000, 4_000_000
+
 
-    def work(g: compact.Numbered, ids: np.ndarray, places: np.ndarray) -> pd.DataFrame:
-        out = np.zeros(len(ids))
-        for i, s in enumerate(places.tolist()):
-            size = [len(front) for front, _, _ in _levels(g, s)] if s >= 0 else []
-            far, reached = sum(k * x for k, x in enumerate(size, 1)), sum(size)
-            c = reached / far if far else 0.0
-            out[i] = c * reached / (n - 1) if wf and n > 1 else c
-        return pd.DataFrame({"id": ids, "closeness": out})
+def closeness_centrality(graph: PropertyGraph, wf: bool = False, types=(), most_edges: int = 5_000_000) -> DataFrame:
+    """id, closeness: reached nodes over the sum of their distances; wf: times the share of the others that is reached.
 
-    return _all_sources(graph, types, work, "id long, closeness double", most_edges)
+    After its first step a search only meets nodes that edges lead to, so that the edges between those go to every executor
+    and each source brings its own. If they are more than ``most_edges``, the searches are rounds of joins, a row a pair.
+    """
+    n = nodes_of(graph).count()
+    e = checkpointed(graph.edge_scan(types).where("src <> dst").select("src", "dst").distinct())
+    inside = checkpointed(e.join(e.select(F.col("dst").alias("id")).distinct(), F.col("src") == F.col("id"), "left_semi"))
+    met = e.select("dst").distinct()
+    if max(inside.count(), met.count()) > most_edges:
+        found = _reached_by_joins(e)
+    else:
+        found = _reached(e, inside.toArrow(), met.toArrow())
+    c = F.coalesce(F.col("reached") / F.nullif("far", F.lit(0)), F.lit(0.0))
+    share = F.coalesce("reached", F.lit(0)) / (n - 1) if wf and n > 1 else F.lit(1.0)
+    return nodes_of(graph).join(found, "id", "left").select("id", (c * share).alias("closeness"))
+
+
+def _reached(e: DataFrame, inside: pa.Table, met: pa.Table) -> DataFrame:
+    """id, reached, far: how many other nodes each source reaches, and the sum of their distances."""
+    inner = compact.Numbered(*(np.array(inside.column(c)) for c in ("src", "dst")), more=np.array(met.column("dst")))
+    shared, table, cells = e.sparkSession.sparkContext.broadcast(inner), TABLE, CELLS
+
+    def by_search(g: compact.Numbered, source: int, out: np.ndarray) -> tuple[int, int]:
+        seen, front, far, reached, depth = np.zeros(g.n, bool), out, 0, 0, 1
+        seen[out] = True
+        if source >= 0:
+            seen[source] = True
+        while len(front):
+            reached, far, depth = reached + len(front), far + depth * len(front), depth + 1
+            front = g.b[g.out_of(front)]
+            front = np.unique(front[~seen[front]])
+            seen[front] = True
+        return reached, far
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, all_pairs = shared.value, None
+        none = np.int16(np.iinfo(np.int16).max)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, lists = batch.column(0).to_numpy(), batch.column(1)
+            flat, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            to, begin = np.searchsorted(g.ids, flat), np.cumsum(size) - size
+            place = np.minimum(np.searchsorted(g.ids, ids), g.n - 1)
+            place = np.where(g.ids[place] == ids, place, -1)
+            reached, far = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            if g.n > table:
+                for i, (b, k) in enumerate(zip(begin.tolist(), size.tolist(), strict=True)):
+                    reached[i], far[i] = by_search(g, int(place[i]), to[b : b + k])
+            else:
+                if all_pairs is None:  # one step further on than the distance, as seen by what leads there
+                    all_pairs = np.full((g.n, g.n), none)
+                    for s in range(g.n):
+                        all_pairs[s, s] = 1
+                        for depth, (front, _, _) in enumerate(_levels(g, s), 2):
+                            all_pairs[s, front] = depth
+                i, ends = 0, begin + size
+                while i < len(ids):
+                    j = max(i + 1, int(np.searchsorted(ends, begin[i] + cells // g.n, "right")))
+                    best = np.minimum.reduceat(all_pairs[to[begin[i] : ends[j - 1]]], begin[i:j] - begin[i])
+                    own = np.flatnonzero(place[i:j] >= 0)
+                    best[own, place[i:j][own]] = none
+                    there = best < none
+                    reached[i:j], far[i:j] = there.sum(axis=1), np.where(there, best, 0).sum(axis=1, dtype=np.int64)
+                    i = j
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(reached), pa.array(far)], names=["id", "reached", "far"])
+
+    return e.groupBy(F.col("src").alias("id")).agg(F.collect_list("dst").alias("to")).mapInArrow(run, "id long, reached long, far long")
+
+
+def _reached_by_joins(e: DataFrame) -> DataFrame:
+    front = checkpointed(e.select(F.col("src").alias("s"), F.col("dst").alias("t"), F.lit(1).alias("d")))
+    seen = front
+    while not front.isEmpty():
+        new = front.join(e.hint("merge"), F.col("t") == F.col("src")).where("s <> dst").select("s", F.col("dst").alias("t"), (F.col("d") + 1).alias("d")).distinct()
+        front = checkpointed(new.join(seen.hint("merge"), ["s", "t"], "left_anti"))
+        seen = seen.unionByName(front)
+    return seen.groupBy(F.col("s").alias("id")).agg(F.count(F.lit(1)).alias("reached"), F.sum("d").alias("far"))

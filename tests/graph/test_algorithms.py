@@ -316,3 +316,17 @@ def test_rounds_of_cores_broadcast_nothing(spark, monkeypatch, dense):
         core |= dict.fromkeys(left, k)
     assert pairs(structure.core_numbers(dense[0])) == core
     assert len(plans) > 3 and not any("BroadcastExchange" in p for p in plans)
+
+
+@pytest.mark.parametrize(("most", "table", "cells"), [(0, 4000, 64), (20, 4000, 64), (20, 4, 64)], ids=["joins", "table", "searches"])
+def test_closeness_of_more_edges_than_executors_take(spark, monkeypatch, most, table, cells):
+    monkeypatch.setattr(centrality, "TABLE", table)
+    monkeypatch.setattr(centrality, "CELLS", cells)
+    rng = random.Random(8)
+    edges = [(i, rng.randrange(40), rng.randrange(6), "E", 1.0) for i in range(60)]
+    nodes = spark.createDataFrame([(i, ["N"]) for i in range(41)], "id long, labels array<string>")
+    g = PropertyGraph.from_frames(nodes, spark.createDataFrame(edges, "eid long, src long, dst long, type string, w double"))
+    depth = {v: hops(edges, v) for v in range(41)}
+    close = {v: (len(d) - 1) / sum(d.values()) if sum(d.values()) else 0.0 for v, d in depth.items()}
+    assert pairs(centrality.closeness_centrality(g, most_edges=most)) == pytest.approx(close)
+    assert pairs(centrality.closeness_centrality(g, wf=True, most_edges=most)) == pytest.approx({v: c * (len(depth[v]) - 1) / 40 for v, c in close.items()})
