@@ -7,6 +7,7 @@ from collections import Counter, defaultdict, deque
 import pyarrow as pa
 import pytest
 
+from arcweave import cluster
 from arcweave.algorithms import centrality, compact, sequential, structure, traversal
 from arcweave.graph import PropertyGraph
 
@@ -330,3 +331,14 @@ def test_closeness_of_more_edges_than_executors_take(spark, monkeypatch, most, t
     close = {v: (len(d) - 1) / sum(d.values()) if sum(d.values()) else 0.0 for v, d in depth.items()}
     assert pairs(centrality.closeness_centrality(g, most_edges=most)) == pytest.approx(close)
     assert pairs(centrality.closeness_centrality(g, wf=True, most_edges=most)) == pytest.approx({v: c * (len(depth[v]) - 1) / 40 for v, c in close.items()})
+
+
+def test_dangling_edges_are_found_in_partitions_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "PARTITION_ROWS", 3, raising=False)
+    rows = [(0, 0, 1), (1, 1, 9), (2, 8, 9), (3, None, 2), (4, 2, 2), (5, 9, 0)]
+    edges = spark.createDataFrame([(*r, "E") for r in rows], "eid long, src long, dst long, type string")
+    nodes = spark.createDataFrame([(i, ["N"]) for i in range(3)], "id long, labels array<string>")
+    g = PropertyGraph.from_frames(nodes, edges)
+    assert sorted(r.eid for r in g.dangling_edges().collect()) == [1, 2, 3, 5]
+    assert cluster.partitions_for(spark, 300) == 101
+    assert PropertyGraph.from_frames(nodes, edges.where("eid in (0, 4)")).dangling_edges().isEmpty()
