@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 from collections import Counter, defaultdict, deque
 
 import pyarrow as pa
@@ -342,3 +343,13 @@ def test_dangling_edges_are_found_in_partitions_of_bounded_size(spark, monkeypat
     assert sorted(r.eid for r in g.dangling_edges().collect()) == [1, 2, 3, 5]
     assert cluster.partitions_for(spark, 300) == 101
     assert PropertyGraph.from_frames(nodes, edges.where("eid in (0, 4)")).dangling_edges().isEmpty()
+
+
+def test_walks_are_counted_between_levels_only_and_go_on_as_they_are(spark, sparse, monkeypatch):
+    monkeypatch.setattr(cluster, "PARTITION_ROWS", 5, raising=False)
+    g, e = sparse
+    found = g.cypher("MATCH (a)-[*1..2]->(b) RETURN a AS a, b AS b")
+    want = Counter((a, b) for _, a, b, _, _ in e) + Counter((a, d) for _, a, b, _, _ in e for _, c, d, _, _ in e if b == c)
+    assert Counter(tuple(r) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Aggregate \[_s#\w+, _[ty]#", plan)) == 2  # 3 before: the last level, too
